@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tapeloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tapeloom.llm.packing import op1_best_fit_packing
+from tapeloom.llm.simhash import op5_simhash_near_dedup
 from tapeloom.llm.token_counts import op3_token_counts
 from tapeloom.llm.token_files import op7_token_files
 
@@ -11,9 +13,11 @@ def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_token_counts": op3_token_counts,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_token_files": op7_token_files,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
