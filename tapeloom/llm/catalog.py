@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tapeloom.llm.language_id import op10_language_id
 from tapeloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tapeloom.llm.packing import op1_best_fit_packing
 from tapeloom.llm.simhash import op5_simhash_near_dedup
 from tapeloom.llm.token_counts import op3_token_counts
 from tapeloom.llm.token_files import op7_token_files
+from tapeloom.llm.topk_search import OP9_SQL, op9_exact_topk
 
 
 def queries():
@@ -16,8 +18,10 @@ def queries():
         "op4_line_dedup": op4_line_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_token_files": op7_token_files,
+        "op9_exact_topk": op9_exact_topk,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_exact_topk": OP9_SQL}
