@@ -79,7 +79,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return rows.join(starts, "part").withColumn("start", F.col("before") + F.col("at")).drop("before")
+    # a row of two numbers for each file: broadcast, so that ids aren't shuffled
+    return rows.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("at")).drop("before")
 
 
 def ids_digest(rows: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words kept per Python worker; the memo starts anew beyond it.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 300_000
 #: Longer words are encoded each time.
 MEMO_CHARS = 48
 #: Text bytes worked on at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
