@@ -5,6 +5,7 @@ from __future__ import annotations
 from tapeloom.llm.language_id import op10_language_id
 from tapeloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tapeloom.llm.packing import op1_best_fit_packing
+from tapeloom.llm.quality import op8_quality_classifier
 from tapeloom.llm.simhash import op5_simhash_near_dedup
 from tapeloom.llm.token_counts import op3_token_counts
 from tapeloom.llm.token_files import op7_token_files
@@ -18,6 +19,7 @@ def queries():
         "op4_line_dedup": op4_line_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_token_files": op7_token_files,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_topk": op9_exact_topk,
         "op10_language_id": op10_language_id,
     }
