@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tapeloom.llm.contamination import op2_decontamination
 from tapeloom.llm.language_id import op10_language_id
 from tapeloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tapeloom.llm.packing import op1_best_fit_packing
@@ -15,6 +16,7 @@ from tapeloom.llm.topk_search import OP9_SQL, op9_exact_topk
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
         "op4_line_dedup": op4_line_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
