@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.llm.contamination import op2_decontamination
 from tapeloom.llm.language_id import op10_language_id
+from tapeloom.llm.language_model import op6_hmm_scoring
 from tapeloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tapeloom.llm.packing import op1_best_fit_packing
 from tapeloom.llm.quality import op8_quality_classifier
@@ -20,6 +21,7 @@ def queries():
         "op3_token_counts": op3_token_counts,
         "op4_line_dedup": op4_line_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_hmm_scoring": op6_hmm_scoring,
         "op7_token_files": op7_token_files,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_topk": op9_exact_topk,
