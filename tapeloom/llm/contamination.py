@@ -7,11 +7,13 @@ window.  A part's score is BM25, divided by the score that it gives itself, so
 one threshold serves short and long items: parts at or above it are all
 retrieved, none is cut off by rank.
 
-Postings are in order of part, in blocks with the largest impact of each.  WAND
-keeps a cursor for each of a passage's terms; terms are taken in order of their
-cursors until their largest impacts reach the threshold, and blocks that can't
-reach it are passed over.  Terms whose impacts can't reach the threshold in any
-part, even together, never start a search, so most passages end without one.
+Postings are in order of part, in blocks of parts with the largest impact of
+each.  Blocks whose largest impacts don't reach the threshold together are passed
+over; frequent terms, which can't reach half of it in any part even together,
+enter this bound by what they can add at most, so they are looked up for few
+passages.  In a block that may hold a match WAND keeps a cursor for each of the
+passage's terms, takes terms in order of their cursors until their largest
+impacts reach the threshold, and scores that part.
 
 Retrieved pairs are verified: of the part's word 5-grams in its question (all
 but its last quarter) and in its answer (that last quarter, 5 words at least),
@@ -42,7 +44,7 @@ from tapeloom.llm.tokens import text_slices
 PART_WORDS, WINDOW, STEP = 64, 128, 64
 SCORE, OVERLAP, GRAM = 0.5, 0.8, 5
 K1, B = 1.2, 0.75
-POSTING_BLOCK = 16
+POSTING_BLOCK = 4
 INDEX_BYTES = 32 << 20
 _WORD = re.compile(r"\w+")
 
@@ -84,107 +86,119 @@ class ItemIndex:
             for t, x in impact.items():
                 postings[t].append((p, x / own))
         self.postings = dict(postings)
-        self.most = {t: max(x for _, x in v) for t, v in postings.items()}
-        self.blocks = {t: [(v[min(at + POSTING_BLOCK, len(v)) - 1][0], max(x for _, x in v[at : at + POSTING_BLOCK])) for at in range(0, len(v), POSTING_BLOCK)] for t, v in postings.items()}
+        #: By term and block of parts: its postings there, and the largest impact.
+        self.blocks: dict[str, dict[int, list[tuple[int, float]]]] = {}
+        for t, v in self.postings.items():
+            own = self.blocks[t] = {}
+            for p, x in v:
+                own.setdefault(p // POSTING_BLOCK, []).append((p, x))
         self._essential()
 
     def _essential(self) -> None:
-        """Leave out the most frequent terms as long as no part can reach half the threshold by them alone."""
-        room = [self.threshold / 2] * len(self.parts)
+        """Leave out the most frequent terms as long as no part can reach half the threshold by them alone.
+
+        For the others, a table of blocks and largest impacts by term.
+        """
+        room = np.full(len(self.parts), self.threshold / 2)
         common = set()
-        for t in sorted(self.most, key=lambda t: (-len(self.postings[t]), t)):
-            if all(room[p] - x > 0 for p, x in self.postings[t]):
+        for t in sorted(self.postings, key=lambda t: (-len(self.postings[t]), t)):
+            if all(room[p] > x for p, x in self.postings[t]):
                 for p, x in self.postings[t]:
                     room[p] -= x
                 common.add(t)
-        self.spare = max((self.threshold / 2 - r for r in room), default=0.0) + 1e-9
-        #: What a window's essential terms must reach together, by their largest impacts.
-        self.essential = {t: x for t, x in self.most.items() if t not in common}
-
-    def search(self, terms: set[str]) -> list[tuple[int, float]]:
-        """All parts that score at least the threshold for a passage's distinct terms, by block-max WAND."""
-        lists = [(self.postings[t], self.blocks[t], self.most[t]) for t in terms if t in self.postings]
-        heap = [(pl[0][0], j) for j, (pl, _, _) in enumerate(lists)]
+        self.n_blocks = -(-len(self.parts) // POSTING_BLOCK)
+        spent = self.threshold / 2 - room
+        #: What the left-out terms can add in each block.
+        self.spare = np.array([spent[k * POSTING_BLOCK : (k + 1) * POSTING_BLOCK].max() for k in range(self.n_blocks)])
+        terms = [t for t in self.postings if t not in common]
+        self.essential = {t: i for i, t in enumerate(terms)}
+        rows = [[(k, max(x for _, x in v)) for k, v in self.blocks[t].items()] for t in terms]
+        self.n = np.array([len(r) for r in rows], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.block = np.array([k for r in rows for k, _ in r], np.int64)
+        self.most = np.array([x for r in rows for _, x in r], float)
+
+    def search(self, terms: set[str], block: int) -> list[tuple[int, float]]:
+        """Parts of a block that score at least the threshold for a passage's distinct terms, by WAND."""
+        lists = [own[block] for t in terms if (own := self.blocks.get(t)) and block in own]
+        most = [max(x for _, x in v) for v in lists]
+        heap = [(v[0][0], j) for j, v in enumerate(lists)]
         heapq.heapify(heap)
         at = [0] * len(lists)
         found, need = [], self.threshold - 1e-12
         while heap:
-            # terms in order of their cursors, until their bounds reach the threshold
+            # terms in order of their cursors, until their bounds reach the threshold: the last one's part is the pivot
             front, bound = [], 0.0
             while heap and bound < need:
                 p, j = heapq.heappop(heap)
-                front.append((p, j))
-                bound += lists[j][2]
+                front.append(j)
+                bound += most[j]
             if bound < need:
                 break
-            pivot = front[-1][0]
+            pivot = p
             while heap and heap[0][0] == pivot:
-                front.append(heapq.heappop(heap))
-            # tighter bound: the blocks that hold the pivot
-            bound, ends = 0.0, []
-            for _, j in front:
-                k = at[j] // POSTING_BLOCK
-                blocks = lists[j][1]
-                while k < len(blocks) and blocks[k][0] < pivot:
+                front.append(heapq.heappop(heap)[1])
+            score = 0.0
+            for j in front:
+                v, k = lists[j], at[j]
+                while k < len(v) and v[k][0] < pivot:
                     k += 1
-                if k < len(blocks):
-                    bound += blocks[k][1]
-                    ends.append(blocks[k][0])
-            if bound < need:
-                target = min(ends, default=pivot) + 1  # no part up to there can reach it by these terms
-                if heap:
-                    target = min(target, heap[0][0])
-                target = max(target, pivot + 1 if not heap or heap[0][0] > pivot else pivot)
-            else:
-                score = 0.0
-                for _, j in front:
-                    pl, k = lists[j][0], at[j]
-                    while k < len(pl) and pl[k][0] < pivot:
-                        k += 1
-                    if k < len(pl) and pl[k][0] == pivot:
-                        score += pl[k][1]
-                    at[j] = k
-                if score >= need:
-                    found.append((pivot, score))
-                target = pivot + 1
-            for _, j in front:
-                pl, k = lists[j][0], at[j]
-                while k < len(pl) and pl[k][0] < target:
+                if k < len(v) and v[k][0] == pivot:
+                    score += v[k][1]
                     k += 1
                 at[j] = k
-                if k < len(pl):
-                    heapq.heappush(heap, (pl[k][0], j))
+                if k < len(v):
+                    heapq.heappush(heap, (v[k][0], j))
+            if score >= need:
+                found.append((pivot, score))
         return found
 
-    def candidates(self, words: list[str]):
-        """``(first word of the window, part, score)`` over a text's passages."""
+    def candidates(self, texts: list[list[str]]):
+        """``(text, first word of the passage, part, score)`` over all passages of all texts."""
+        if not self.parts:
+            return
         get = self.essential.get
-        bounds = [get(w, 0.0) for w in words]
-        if sum(bounds) < self.threshold - self.spare:
+        windows = np.array([max(1, -(-(len(w) - (WINDOW - STEP)) // STEP)) for w in texts], np.int64)
+        base = np.cumsum(windows) - windows
+        window, term = [], []
+        for i, words in enumerate(texts):
+            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            at = np.flatnonzero(ids >= 0)
+            if len(at):
+                k = at // STEP
+                for shift in (0, 1):  # a word stands in two windows
+                    ok = (k >= shift) & (k - shift < windows[i])
+                    window.append(base[i] + k[ok] - shift)
+                    term.append(ids[at[ok]])
+        if not window:
             return
-        for at in range(0, max(1, len(words) - (WINDOW - STEP)), STEP):
-            if sum(bounds[at : at + WINDOW]) < self.threshold - self.spare:
-                continue
-            own = set(words[at : at + WINDOW])
-            if sum(map(get, own, [0.0] * len(own))) < self.threshold - self.spare:
-                continue
-            for p, score in self.search(own):
-                yield at, p, score
-
-    def leaks(self, text: str | None) -> dict[int, list]:
-        """By item: passages, score, question overlap, answer overlap, of verified pairs."""
-        words = words_of(text)
-        found: dict[int, list] = {}
-        for at, p, score in self.candidates(words):
+        pairs = np.unique(np.concatenate(window) * len(self.essential) + np.concatenate(term))
+        window, term = pairs // len(self.essential), pairs % len(self.essential)
+        n = self.n[term]
+        where = np.repeat(self.start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        keys, place = np.unique(np.repeat(window, n) * self.n_blocks + self.block[where], return_inverse=True)
+        bound = np.bincount(place, weights=self.most[where])
+        for key in keys[bound + self.spare[keys % self.n_blocks] >= self.threshold - 1e-9].tolist():
+            w, block = divmod(key, self.n_blocks)
+            i = int(np.searchsorted(base, w, side="right")) - 1
+            at = (w - int(base[i])) * STEP
+            for p, score in self.search(set(texts[i][at : at + WINDOW]), block):
+                yield i, at, p, score
+
+    def leaks(self, texts: list[str | None]):
+        """``(text, item, [passages, score, question overlap, answer overlap])`` of verified pairs."""
+        split = [words_of(t) for t in texts]
+        found: dict[tuple[int, int], list] = {}
+        for i, at, p, score in self.candidates(split):
             item, _ = self.parts[p]
             question, answer = self.checks[p]
-            near = grams(words[max(0, at - GRAM) : at + WINDOW + GRAM]) | (grams(words) if len(words) < GRAM else set())
+            near = grams(split[i][max(0, at - GRAM) : at + WINDOW + GRAM])
             q, a = len(question & near) / len(question), len(answer & near) / len(answer)
             if q >= OVERLAP and a >= OVERLAP:
-                have = found.setdefault(item, [0, 0.0, 0.0, 0.0])
+                have = found.setdefault((i, item), [0, 0.0, 0.0, 0.0])
                 have[0] += 1
                 have[1:] = [max(x, y) for x, y in zip(have[1:], (score, q, a))]
-        return found
+        return [(i, item, x) for (i, item), x in sorted(found.items())]
 
 
 def index_blocks(items: DataFrame, most: int = INDEX_BYTES):
@@ -212,7 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches, sent=sent):
             own = sent.value
             for b in text_slices(batches):
-                rows = [(i, item, *x) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for item, x in sorted(own.leaks(t).items())]
+                ids = b.column("doc_id").to_pylist()
+                rows = [(ids[i], item, *x) for i, item, x in own.leaks(b.column("text").to_pylist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
