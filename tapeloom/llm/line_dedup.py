@@ -148,7 +148,8 @@ def repeated_lines(docs: DataFrame, least: int = 10, bits_per_line: int = 16, ma
             yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in where], pa.int64()), pa.array([_digest(keys[j]) for j in where], pa.binary())], schema=schema)
 
     held = cut(docs.mapInArrow(suspects, "id long, digest binary"))
-    first = held.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    # a table of its own, so that the join below is of two plain shuffles, of which Spark can split a hot digest's
+    first = cut(held.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
     lost = held.join(first, "digest").where("id > first").select("id", "digest")
     return lost.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
