@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from tapeloom.plans import graph
+from tapeloom.plans import market  # noqa: F401  registers the queries
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return graph.run(spark, sf_dir, "entry_scan" if "entry_scan" in graph.QUERIES else "b1_daily_bars")
 
 
 def queries():
-    return {}
+    return {name: partial(_run, name) for name in graph.QUERIES}
+
+
+def _run(name, spark, sf_dir):
+    return graph.run(spark, sf_dir, name)
 
 
 def oracle_sql():
-    return {}
+    return {name: graph.duckdb_sql(name) for name in graph.QUERIES}
