@@ -35,7 +35,7 @@ class Dialect:
         return self.pick(f"filter({a}, {v} -> {cond})", f"list_filter({a}, lambda {v}: {cond})")
 
     def size(self, a: str) -> str:
-        return self.pick(f"size({a})", f"len({a})")
+        return self.pick(f"size({a})", f"CAST(len({a}) AS INTEGER)")
 
     def total(self, a: str) -> str:
         return self.pick(f"aggregate({a}, CAST(0 AS DOUBLE), (acc, x) -> acc + x)", f"coalesce(list_sum({a}), 0)")
@@ -66,7 +66,7 @@ class Dialect:
 
     def seconds(self, a: str, b: str) -> str:
         """Seconds from b to a, as a double."""
-        return self.pick(f"((unix_micros({a}) - unix_micros({b})) / 1000000D)", f"((epoch_us({a}) - epoch_us({b})) / 1000000.0::DOUBLE)")
+        return self.pick(f"((unix_micros(CAST({a} AS TIMESTAMP)) - unix_micros(CAST({b} AS TIMESTAMP))) / 1000000D)", f"((epoch_us({a}) - epoch_us({b})) / 1000000.0::DOUBLE)")
 
     def bucket(self, ts: str, minutes: int) -> str:
         """Start of the tumbling interval that holds a timestamp."""

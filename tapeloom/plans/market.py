@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from tapeloom.operators import bars as B
+from tapeloom.operators import cross as A
+from tapeloom.operators import factors as R
+from tapeloom.operators import intraday as M
+from tapeloom.operators import joins as J
+from tapeloom.operators import outcomes as O
+from tapeloom.operators import scores as P
 from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
 from tapeloom.plans.graph import node, query
@@ -81,3 +87,122 @@ query("w39_low_run", KEY + "run", W.low_run, "w16_percentile_of_last")
 query("w40_derived_factors", KEY + "~mom_5 ~mom_20 ~mom_60 ~vs_20 ~vs_60 ~synergy ~reversal", W.derived_factors, "rets")
 query("w41_alignment", KEY + "bull bear ~accel", W.alignment, "w2_moving_averages")
 query("w42_order_flow", KEY + "~4:flow", W.order_flow, "b1_daily_bars")
+
+# joins and predicates
+query("j1_asof_context", KEY + "~week_close ~week_ret ~month_close ~month_ret", J.asof_context, "b1_bar_returns", "b2_weekly_bars", "b2_monthly_bars")
+query("j3_asof_macro", "trade_date ~2:rzye ~on_rate", J.asof_macro, "s14_calendar", "s6_margin", "s7_interbank_rate")
+query("j4_latest_rows", KEY + "~close ~r1 n_rows", J.latest_rows, "rets")
+query("j11_r16_offset_labels", KEY + "~gain_short ~gain_long big_short big_long", J.offset_labels, "b1_daily_bars", "s14_calendar")
+query("j12_o1_picks", KEY + "entry_date ~entry_price exit_date ~exit_price ~ret", J.picks, "rets")
+query("j13_interval_stats", "symbol entry_date exit_date ~hi ~lo ~mean_close n_bars", J.interval_stats, "j12_o1_picks", "b1_daily_bars")
+query("j14_first_exit", "symbol entry_date hit_date ~hit_close", J.first_exit, "j12_o1_picks", "b1_daily_bars")
+query("j15_a5_limit_hits", "trade_date n_up n_down n", J.limit_hits, "b1_daily_bars", "s5_limit_prices")
+query("f5_f7_candidate_filter", KEY + "passes reason", J.candidate_filter, "b1_daily_bars", "s8_security_master")
+query("f8_f10_universe", KEY + "liquid ~4:sd", J.universe, "b1_daily_bars")
+query("f1_f4_scalar_scores", KEY + "~clipped ~scaled ~tent trinary", J.scalar_scores, "b1_daily_bars")
+query("f16_resolved_symbols", "asked symbol how", J.resolved_symbols, "s8_security_master", "b1_daily_bars")
+
+# scores and states
+node("hurst_10", W.hurst, "b1_daily_bars", n=10)
+node("entropy_rel", W.relative_entropy, "rets")
+query("p1_physics", KEY + "~energy ~temperature ~order_term ~phase_term ~switch_term ~score ~score_min state", P.physics, "b1_bar_returns", "entropy_rel", "hurst_10", "w14_hurst")
+for _p in ("week", "month"):
+    node(f"{_p}_rets", W.returns, "b2_weekly_bars" if _p == "week" else "b2_monthly_bars")
+    node(f"{_p}_entropy", W.relative_entropy, f"{_p}_rets", short=6, long=12)
+    node(f"{_p}_h6", W.hurst, f"{_p}_rets", n=6)
+    node(f"{_p}_h12", W.hurst, f"{_p}_rets", n=12)
+    query(f"p1_physics_{_p}", KEY + "~score ~score_min state", P.physics, "b2_weekly_bars" if _p == "week" else "b2_monthly_bars", f"{_p}_entropy", f"{_p}_h6", f"{_p}_h12", short=6, long=12)
+query("p2_resonance", KEY + "~score_min support_count ~resonance_score resonance_state", P.resonance, "p1_physics", "p1_physics_week", "p1_physics_month")
+query("p3_first_signal", "symbol signal_date entry_date ~entry_price ~ret_to_end ~runup n_signals", P.first_signal, "p2_resonance")
+query("p5_p7_setup", KEY + "~entropy_quality ~bifurcation_quality ~trigger_quality ~execution_cost ~setup_score setup", P.setup_frame, "rets", "w8_permutation_entropy", "w8_permutation_entropy_60", "w10_irreversibility", "w11_dominant_eigenvalue", "w15_recovery_rate", "w20_variance_lift")
+query("p6_latent_states", KEY + "state", P.latent_states, "p5_p7_setup")
+query("p8_p14_accumulation", KEY + "met accumulating ~quality broke breakout fell collapse phase", P.accumulation, "rets", "w8_permutation_entropy", "w16_percentile_of_last")
+query("p16_p17_expansion", KEY + "~expansion ~exhaustion hold_seed exit_seed", P.expansion, "rets")
+query("p18_p19_hold_path", KEY + "exited path_state", P.hold_path, "p16_p17_expansion")
+query("p20_path_transitions", "symbol path_state n_days first_date last_date n_entries", P.path_transitions, "p18_p19_hold_path")
+query("p21_recovery", KEY + "~damage ~repair ~entry_window ~flow_support ~stability ~overheat repair_flag early_flag overheat_flag candidate", P.recovery, "rets")
+query("p25_stock_state", KEY + "state_flow ~signal ~abandonment action reasons", P.stock_state, "p5_p7_setup", "w10_irreversibility")
+query("p32_p36_volume_breakout", KEY + "~score exit_votes", P.volume_breakout, "rets")
+
+# cross sections
+node("inputs", A.stock_inputs, "rets", "s8_security_master")
+query("a2_stock_inputs", KEY + "industry above_20 new_high ~sd", None, "inputs")
+query("a1_breadth", "trade_date n ~advance ~above_ma ~new_high ~inflow ~panic ~sd_median ~r_median", A.breadth, "inputs")
+query("a3_sector_flow", "trade_date industry n ~2:net ~mean_r ~momentum place", A.sector_flow, "inputs")
+query("a4_a16_dispersion", "trade_date ~dispersion ~flow_entropy ~hhi", A.dispersion, "a3_sector_flow")
+query("a6_macro", "trade_date ~2:rzye ~change ~2:ma_5 ~2:ma_20 ~rate_diff", A.macro, "j3_asof_macro")
+query("a7_ema", "trade_date ~ema ~thrust", A.ema, "a1_breadth")
+query("a8_c9_trend", "trade_date ~composite trend", A.trend, "a1_breadth", "a7_ema", "a4_a16_dispersion", "a6_macro")
+query("a9_s21_trend_returns", "trend n ~share ~same_day ~later", A.trend_returns, "a8_c9_trend", "s4_index_bars")
+query("a10_market_row", "trade_date n ~damaged ~repairing ~overheated ~candidates ~repair ~flow_support ~washout", A.market_row, "p21_recovery")
+query("a11_market_timing", "trade_date timing ~washout_6", A.market_timing, "a10_market_row")
+query("a12_s22_sector_rank", "trade_date industry n ~sector_score place state", A.sector_rank, "p21_recovery", "s8_security_master")
+query("p22_p23_entry_plan", KEY + "industry ~strategy_score mode ~scale damaged", P.entry_plan, "p21_recovery", "a12_s22_sector_rank", "s8_security_master")
+query("a13_a15_cross_section", KEY + "~entropy_rank ~setup_rank ~low_share ~noise phase", A.cross_section, "p5_p7_setup")
+query("a17_industry_days", "industry trade_date day_no ~ret", A.industry_days, "inputs")
+query("j19_lead_lag", "industry leader ~lead_corr n", J.lead_lag, "a17_industry_days")
+query("a17_coupling", "~coupling", A.coupling, "j19_lead_lag")
+query("a18_a19_noise_cost", "trade_date ~cost ~gate", A.noise_cost, "s4_index_bars")
+query("a20_industry_factors", KEY + "~industry_momentum ~industry_breadth ~relative", A.industry_factors, "inputs")
+query("a21_hot_industries", "industry n_days", A.hot_industries, "a3_sector_flow")
+query("a22_leaders", KEY + "~score place", A.leaders, "a20_industry_factors")
+query("j16_in_hot_industries", KEY + "industry", J.in_hot_industries, "j12_o1_picks", "s8_security_master", "a21_hot_industries")
+query("j17_not_recent", KEY + "~close", J.not_recent, "b1_daily_bars", "j12_o1_picks")
+query("j18_merged_picks", KEY + "origin", J.merged_picks, "j12_o1_picks", "a22_leaders")
+query("a23_index_regime", "trade_date regime ~ma_20 ~dd", A.index_regime, "s4_index_bars")
+query("a24_month_regime", "month_end ~close raw lasting", A.month_regime, "s4_index_bars")
+query("a25_a26_summary", "industry state n n_symbols ~mean_score", A.summary, "p2_resonance", "s8_security_master")
+query("a27_standardized", KEY + "~mom_5_z ~mom_20_z ~vs_20_z ~reversal_z", A.standardized, "w40_derived_factors")
+
+# outcomes, ranking and sets
+query("o1_fixed_horizon", KEY + "~ret ~runup ~drawdown held full_hold", O.fixed_horizon, "rets")
+query("o2_o3_first_hit", "symbol entry_date exit_date reason ~ret", O.first_hit, "j12_o1_picks", "b1_daily_bars")
+query("o5_o6_marked", "symbol entry_date trade_date ~day_ret scale", O.marked, "j12_o1_picks", "b1_daily_bars")
+query("o7_cohort_nav", "trade_date n_live ~ret", O.cohort_nav, "o5_o6_marked")
+query("o8_nav_metrics", "n_days ~sharpe", O.nav_metrics, "o7_cohort_nav")
+query("o9_o12_trade_metrics", "reason n ~win_rate ~mean_ret ~median_ret ~profit_factor ~best ~worst verdict", O.trade_metrics, "o2_o3_first_hit")
+query("o10_period_performance", "period n_days ~up_share", O.period_performance, "o7_cohort_nav")
+query("o11_blockers", "blocker n n_only", O.blockers, "p21_recovery")
+query("o13_top_gainers", "symbol ~gain n_picks outcome", O.top_gainers, "b1_daily_bars", "j12_o1_picks")
+query("o14_contribution", "bucket n ~total", O.contribution, "o2_o3_first_hit")
+query("o15_coverage_gap", "factor ~gap n", O.coverage_gap, "w40_derived_factors", "o13_top_gainers")
+query("o4_o16_hit_rates", "yr n_short ~hit_short n_long ~hit_long", O.hit_rates, "j11_r16_offset_labels")
+query("o17_o23_exit_quality", "reason n ~later ~premature ~own_corr intervene", O.exit_quality, "o2_o3_first_hit", "rets")
+query("o18_rolling_summary", "quarter n ~mean_ret ~win_rate", O.rolling_summary, "j12_o1_picks")
+query("o21_cohort_replay", "trade_date n ~cohort_ret", O.cohort_replay, "rets", "s14_calendar")
+query("o20_fees", "symbol entry_date ~ret ~net_ret", O.fees, "j12_o1_picks")
+query("k1_k2_capped_top", KEY + "industry ~score place", O.capped_top, "p1_physics", "s8_security_master")
+query("k4_nth_dates", "trade_date cal_no", O.nth_dates, "s14_calendar")
+query("k6_last_of_week", "week_end trade_date", O.last_of_week, "s14_calendar")
+query("k5_extremes", "symbol entry_date ~ret side", O.extremes, "o2_o3_first_hit")
+query("u2_u3_missed", "symbol what", O.missed, "o13_top_gainers", "j12_o1_picks")
+query("u4_last_kept", KEY + "~ret", O.last_kept, "j12_o1_picks")
+query("j22_blindness", "industry n_missed n_caught", J.blindness, "inputs", "j16_in_hot_industries")
+
+# factor research
+query("r1_r2_panel", KEY + "~fwd_5 ~fwd_10 ~fwd_20 ~weight", R.panel, "w40_derived_factors", "rets")
+query("r7_factor_rows", KEY + "factor ~value ~fwd_5", R.factor_rows, "r1_r2_panel")
+query("r3_rank_ic", "symbol factor n ~ic", R.rank_ic, "r7_factor_rows")
+query("r5_recent_ic", "symbol factor ~spearman ~pearson n", R.recent_ic, "r7_factor_rows")
+query("r13_date_ic", "factor ~mean_ic ~ic_ir n_months", R.date_ic, "r7_factor_rows")
+query("r6_r14_quantile_returns", "factor bucket n ~mean_fwd", R.quantile_returns, "r7_factor_rows")
+query("r8_r9_factor_summary", "factor n n_pos n_neg ~median_ic ~consensus ~weight", R.factor_summary, "r3_rank_ic")
+query("r10_r12_ic_score", KEY + "~score n_factors main_factor", R.ic_score, "r7_factor_rows", "r8_r9_factor_summary")
+query("r11_horizon_residual", KEY + "~residual", R.horizon_residual, "r1_r2_panel")
+query("r15_event_study", "rel n ~path", R.event_study, "rets")
+query("r17_stay_labels", KEY + "stays collapses bars_to_fall", R.stay_labels, "rets")
+query("r18_holding_features", "symbol entry_date trade_date days_held ~pnl ~max_pnl ~from_peak", R.holding_features, "o5_o6_marked", "j12_o1_picks")
+query("r19_sequences", KEY + "steps ~sum_a ~sum_b split", R.sequences, "w40_derived_factors")
+query("r20_neutralized", KEY + "~neutral", R.neutralized, "r1_r2_panel", "b1_daily_bars")
+query("r27_adjusted_weights", "factor ~weight", R.adjusted_weights, "r3_rank_ic")
+
+# ticks and minutes
+query("m1_tick_returns", "event_id symbol ~lr ~flow ~waited", M.tick_returns, "s3_ticks")
+query("m1_m13_tick_state", "event_id symbol ~pe state", M.tick_state, "m1_tick_returns")
+query("m2_waiting_entropy", "event_id symbol ~we", M.waiting_entropy, "m1_tick_returns")
+query("m3_m7_volume_share", KEY + "~entropy ~hhi ~active_ratio ~range_ratio", M.volume_share, "r2_minute_bars")
+query("m4_m8_whole_day", KEY + "n_ticks ~pe ~pi ~shift label", M.whole_day, "m1_tick_returns", least=4)
+query("m9_m10_day_deltas", KEY + "~entropy_drop ~entropy_rise ~hhi_drop ~entropy_5", M.day_deltas, "m3_m7_volume_share")
+query("m11_multi_scale", "symbol scale n_bars ~spread ~entropy", M.multi_scale, "s3_ticks")
+query("p28_p31_fusion", KEY + "~buy_score ~sell_score decision", M.fusion, "m3_m7_volume_share", "m9_m10_day_deltas", "m4_m8_whole_day")
+query("entry_scan", KEY + "industry ~score place", None, "k1_k2_capped_top")
