@@ -36,7 +36,8 @@ PER_CLASS, MOST_BYTES = 1200, 24_000
 WIDTH, FILTERS, EMBED = 6, 16, 8
 #: Bytes of a segment; a chunk is CHUNK segments, of which it shares one with the next.
 SEGMENT, CHUNK = 64, 8
-EPOCHS, BATCH, RATE = 14, 32, 0.01
+#: Passes over the sample, or as many as make STEPS batches.
+EPOCHS, STEPS, BATCH, RATE = 14, 1000, 32, 0.01
 #: Positions convolved at a time.
 BLOCK = 1 << 15
 THRESHOLD = 0.7
@@ -147,18 +148,19 @@ class ByteCnn:
 
     def fit(self, texts: list[bytes], y: np.ndarray, prior: float, seed: int = 7) -> ByteCnn:
         """Adam over shuffled batches with both classes weighing the same; then the logit is moved to the classes' true shares."""
-        if len(set(y.tolist())) < 2:
+        if len(set(y.tolist())) < 2 or not texts:
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
         r = np.random.default_rng(seed)
         m, s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))
+        for epoch in range(epochs):
             order = r.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
                 step += 1
-                rate = RATE * (1 if epoch < EPOCHS * 2 // 3 else 0.2)
+                rate = RATE * (1 if epoch < epochs * 2 // 3 else 0.2)
                 for k, g in self.gradients([texts[i] for i in own], y[own]).items():
                     m[k] += 0.1 * (g - m[k])
                     s[k] += 0.01 * (g * g - s[k])
@@ -168,25 +170,25 @@ class ByteCnn:
         return self
 
 
-def fit_quality(labelled: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> ByteCnn:
-    """``labelled`` has ``doc_id, text, label``.  What comes to the driver is at most about 2 x per_class x most_bytes bytes."""
-    rows = labelled.where(F.col("label").isin(0, 1))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> ByteCnn:
+    """Fit on labelled documents that aren't held out; of repeated labels of an id the lowest counts.
+
+    The sample's ids are chosen among the labels: at most about 2 x per_class,
+    which are broadcast, so that no text is shuffled.  What comes to the driver
+    is at most about 2 x per_class x most_bytes bytes.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label")).where(~held_out(4))
+    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return ByteCnn().fit([], np.array(list(counts), float), 0.5)
-    short = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     share = F.when(F.col("label") == 1, int(1e6 * min(1, per_class / counts[1]))).otherwise(int(1e6 * min(1, per_class / counts[0])))
-    got = short.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", "text", "label").orderBy("doc_id", F.xxhash64("text")).toArrow()
+    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).select("doc_id", "text")
+    got = short.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).toArrow()
     texts = [(t or "").encode() for t in got.column("text").to_pylist()]
     return ByteCnn().fit(texts, got.column("label").to_numpy().astype(float), counts[1] / (counts[0] + counts[1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents that aren't held out; of repeated labels of an id the lowest."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return docs.where(~held_out(4)).select("doc_id", "text").join(own, "doc_id")
-
-
 def scores(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """``docs``' columns with ``__tl_score``, the probability of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -205,6 +207,6 @@ def scores(docs: DataFrame, model: ByteCnn) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = fit_quality(training_rows(docs, read_table(spark, sf_dir, "labels")))
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
     rows = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return rows.select("doc_id", held_out(4).alias("held_out"), F.col("__tl_score").alias("score"), (F.col("__tl_score") >= THRESHOLD).cast("int").alias("predicted"))
