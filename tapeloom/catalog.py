@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from tapeloom.plans import graph
+from tapeloom.plans import graph, learned
 from tapeloom.plans import market  # noqa: F401  registers the queries
 
 
@@ -17,7 +17,7 @@ NO_SQL = {"p6_latent_states"}
 
 
 def queries():
-    return {name: partial(_run, name) for name in graph.QUERIES}
+    return {name: partial(_run, name) for name in graph.QUERIES} | learned.QUERIES
 
 
 def _run(name, spark, sf_dir):
