@@ -172,3 +172,8 @@ def picks(d, rets, hold=10):
     SELECT symbol, trade_date, entry_date, entry_price, exit_date, exit_price, exit_price / nullif(entry_price, 0) - 1 AS ret FROM (
       SELECT symbol, trade_date, r1, r5, {lead('trade_date')} AS entry_date, {lead('open')} AS entry_price, {lead('trade_date', hold)} AS exit_date, {lead('close', hold)} AS exit_price FROM {rets}) x
     WHERE r5 > 2 AND exit_date IS NOT NULL"""
+
+
+@operator
+def trades_by_industry(d, trades, master):
+    return f"SELECT t.symbol, t.trade_date, t.ret, m.industry FROM {trades} t JOIN {master} m ON t.symbol = m.symbol"

@@ -7,7 +7,10 @@ from tapeloom.functions.sqlkit import BY, bit, clip, clip_term, div, flag, lag,
 
 @operator
 def physics(d, bars, entropy, hurst_short, hurst_long, short=10, long=40, entry=0.1, persist=2):
-    """Energy, temperature, order, phase and switch terms; their weighted score, its least of the last bars, the state."""
+    """Energy, temperature, order, phase and switch terms; their weighted score, its least of the last bars, the state.
+
+    Weights and scales are fixed values.
+    """
     ps, pl = max(3, short // 3), max(5, long // 3)
     def z(x):
         return div(f"{x} - ({rolling('avg', x, max(long, 12), max(long, 12) // 3)})", rolling("stddev_pop", x, max(long, 12), max(long, 12) // 3))
@@ -146,7 +149,10 @@ def path_transitions(d, paths):
 
 @operator
 def recovery(d, rets):
-    """Decline and recovery: damage, repair, entry window, flow support, stability, overheating, and four flags."""
+    """Decline and recovery: damage, repair, entry window, flow support, stability, overheating, and four flags.
+
+    Weights, bounds and thresholds are fixed values.
+    """
     r = lambda k: f"close / nullif({lag('close', k)}, 0) - 1"
     return f"""
     SELECT symbol, trade_date, close, amount, ret_20, damage, repair, entry_window, flow_support, stability, overheat, {flag('above_5 = 1 AND ret_3 >= 0.01 AND amount_ratio >= 0.90')} AS repair_flag,
@@ -194,3 +200,37 @@ def volume_breakout(d, rets):
     SELECT symbol, trade_date, 0.3 * ({scaled('compression', 0.0, 0.6)}) + 0.3 * ({scaled('vol_ratio', 1.0, 3.0)}) + 0.2 * position + 0.2 * ({scaled('momentum', 0.0, 0.5)}) AS score, CAST({' + '.join(f'({bit(v)})' for v in votes)} AS INT) AS exit_votes FROM (
       SELECT symbol, trade_date, r1, 1 - {div(rolling('stddev_samp', 'close', 10, 5), rolling('stddev_samp', 'close', 40, 20))} AS compression, {div('vol', rolling('avg', 'vol', 20, 10, end=1))} AS vol_ratio,
         {clip(div(f'close - ({rolling("min", "low", 20, 10)})', f'({rolling("max", "high", 20, 10)}) - ({rolling("min", "low", 20, 10)})'), 0.0, 1.0)} AS position, close / nullif({lag('close', 10)}, 0) - 1 AS momentum FROM {rets}) x"""
+
+
+@operator
+def prefilter(d, accumulated, pct):
+    """Loose accumulation or loose break-out; compressed symbols; hard gates with the reason of failing."""
+    return f"""
+    SELECT a.symbol, a.trade_date, coalesce(a.met >= 2 OR a.broke >= 2, false) AS kept, coalesce(p.pct <= 0.4, false) AS compressed,
+      CASE WHEN a.quality < 0.2 THEN 'quality' WHEN p.pct > 0.9 THEN 'percentile' WHEN a.fell >= 3 THEN 'collapse' ELSE 'pass' END AS gate
+    FROM {accumulated} a JOIN {pct} p ON a.symbol = p.symbol AND a.trade_date = p.trade_date"""
+
+
+@operator
+def entropy_hold(d, setups, expansions):
+    """Hold and exit seeds of the entropy model beside the expansion model's, on the dates both have."""
+    return f"""
+    SELECT s.symbol, s.trade_date, 0.6 * s.entropy_quality + 0.4 * s.bifurcation_quality AS hold_score, {flag('0.6 * s.entropy_quality + 0.4 * s.bifurcation_quality >= 0.45')} AS entropy_hold, e.hold_seed AS rapid_hold, e.exit_seed AS exhausted
+    FROM {setups} s JOIN {expansions} e ON s.symbol = e.symbol AND s.trade_date = e.trade_date WHERE s.setup_score IS NOT NULL AND e.expansion IS NOT NULL"""
+
+
+@operator
+def trade_factors(d, trades, factors, rets, ahead=10):
+    """Trades with the factors of their signal date and what followed; buy quality and sell weight."""
+    return f"""
+    SELECT t.symbol, t.entry_date, t.ret, 0.4 * ({scaled('f.mom_20', -0.5, 1.0)}) + 0.3 * ({scaled('f.vs_20', -0.5, 1.0)}) + 0.3 * ({scaled('f.reversal', -2.0, 2.0)}) AS buy_quality,
+      0.5 * ({scaled('-t.ret', 0.0, 0.5)}) + 0.5 * ({scaled('-f.mom_5', 0.0, 0.5)}) AS sell_weight, r.later FROM {trades} t
+    LEFT JOIN {factors} f ON t.symbol = f.symbol AND t.trade_date = f.trade_date
+    LEFT JOIN (SELECT symbol, trade_date, lead(close, {ahead}) OVER ({BY}) / nullif(close, 0) - 1 AS later FROM {rets}) r ON t.symbol = r.symbol AND t.exit_date = r.trade_date"""
+
+
+@operator
+def factor_health(d, summary):
+    """Issues and status of factors by coverage, size and consensus."""
+    issues = "concat_ws(',', CASE WHEN n < 50 THEN 'few symbols' END, CASE WHEN abs(median_ic) < 0.02 THEN 'weak' END, CASE WHEN consensus < 0.4 THEN 'no consensus' END)"
+    return f"SELECT factor, {issues} AS issues, CASE WHEN {issues} = '' THEN 'ok' ELSE 'check' END AS status FROM {summary}"

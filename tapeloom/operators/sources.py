@@ -201,3 +201,9 @@ def wide_dates(d, texts):
     spelled = "CASE o_orderkey % 4 WHEN 0 THEN iso WHEN 1 THEN replace(iso, '-', '/') WHEN 2 THEN replace(iso, '-', '') ELSE 'n/a' END"
     iso = d.pick("date_format(o_orderdate, 'yyyy-MM-dd')", "strftime(o_orderdate, '%Y-%m-%d')")
     return f"SELECT o_orderkey, {parsed} AS parsed FROM (SELECT o_orderkey, {spelled} AS s FROM (SELECT o_orderkey, {iso} AS iso FROM {texts}) a) b"
+
+
+@operator
+def precomputed_weekly(d, weekly):
+    """The part of the weekly bars that a vendor's table holds."""
+    return f"SELECT symbol, bar_end, close FROM {weekly} WHERE symbol % 3 <> 0"

@@ -431,3 +431,37 @@ def alignment(d, ma):
 def order_flow(d, bars):
     """Net flow, else the body over the range."""
     return f"SELECT symbol, trade_date, coalesce(nullif(net_mf, 0), {div('close - open', 'high - low')}, 0.0) AS flow FROM {bars}"
+
+
+@operator
+def ordinal_entropy(d, rows, x="lr", n=30, order=4):
+    """Entropy of ordinal patterns of any order, over ln of the number of patterns; codes are made of pairwise comparisons."""
+    import math
+
+    lagged = [lag(x, k) if k else x for k in range(order - 1, -1, -1)]
+    pairs = [(i, j) for i in range(order) for j in range(i + 1, order)]
+    code = " + ".join(f"{2**k} * ({bit(f'{lagged[i]} > {lagged[j]}')})" for k, (i, j) in enumerate(pairs))
+    share = d.pick("size(filter(a, y -> y = x))", "len(list_filter(a, lambda y: y = x))") + f" / CAST({d.size('a')} AS DOUBLE)"
+    distinct = d.pick("array_distinct(a)", "list_distinct(a)")
+    return f"""
+    SELECT symbol, trade_date, -({d.total(d.map('p', 'x * ln(x)'))}) / ln({float(math.factorial(order))}) AS pe FROM (
+      SELECT symbol, trade_date, {d.map(distinct, share)} AS p FROM (
+        SELECT symbol, trade_date, {d.collect('code')} {w(n - order + 1)} AS a, count(code) {w(n - order + 1)} AS m FROM (
+          SELECT symbol, trade_date, CASE WHEN {lagged[0]} IS NOT NULL THEN {code} END AS code FROM {rows} WHERE {x} IS NOT NULL) c WHERE code IS NOT NULL) b WHERE m = {n - order + 1}) e"""
+
+
+@operator
+def structure_score(d, rets, n=20):
+    """Four components of the last bars: trend over noise, volume trend, balance of tails, calm."""
+    return f"""
+    SELECT symbol, trade_date, 0.3 * least(abs({div('m', 'sd')}), 1) + 0.3 * ({clip(div('v5 - v20', 'v20'), -1.0, 1.0)}) + 0.2 * (1 - least(abs(hi + lo) / nullif(hi - lo, 0), 1)) + 0.2 * least(1 / (1 + sd), 1) AS structure FROM (
+      SELECT symbol, trade_date, {rolling('avg', 'lr', n)} AS m, {rolling('stddev_pop', 'lr', n)} AS sd, {rolling('avg', 'vol', 5)} AS v5, {rolling('avg', 'vol', n)} AS v20, {rolling('max', 'lr', n)} AS hi, {rolling('min', 'lr', n)} AS lo FROM {rets}) x"""
+
+
+@operator
+def filled_sequences(d, factors, n=20):
+    """Factors carried forward over gaps, the factor's mean before the first value; sums over the last rows."""
+    carry = d.pick("last(reversal, true)", "last_value(reversal IGNORE NULLS)") + f" {so_far()}"
+    return f"""
+    SELECT symbol, trade_date, filled, CASE WHEN count(*) {w(n)} = {n} THEN avg(filled) {w(n)} END AS mean_filled FROM (
+      SELECT symbol, trade_date, coalesce({carry}, avg(reversal) OVER (PARTITION BY symbol), 0e0) AS filled FROM {factors}) x"""

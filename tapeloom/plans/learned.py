@@ -8,7 +8,7 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tapeloom.operators import models
+from tapeloom.operators import kernels, models
 from tapeloom.plans import graph
 from tapeloom.streaming import market as stream
 
@@ -74,7 +74,17 @@ def stream_track(spark, sf_dir):
     return _through(spark, sf_dir, lambda r: stream.track(r.select("symbol", "ts", F.col("price").alias("close"))))
 
 
+def von_neumann(spark, sf_dir):
+    return kernels.von_neumann(graph.frame(spark, sf_dir, "w23_coherence"))
+
+
+def rolling_rank_ic(spark, sf_dir):
+    return kernels.rolling_rank_ic(graph.frame(spark, sf_dir, "r7_factor_rows"))
+
+
 QUERIES = {
+    "w24_von_neumann": von_neumann,
+    "r4_rolling_rank_ic": rolling_rank_ic,
     "r22_r25_boosted_return": boosted_return,
     "r23_gain_classifier": gain_classifier,
     "r26_walk_forward": walk_forward,

@@ -206,3 +206,14 @@ query("m9_m10_day_deltas", KEY + "~entropy_drop ~entropy_rise ~hhi_drop ~entropy
 query("m11_multi_scale", "symbol scale n_bars ~spread ~entropy", M.multi_scale, "s3_ticks")
 query("p28_p31_fusion", KEY + "~buy_score ~sell_score decision", M.fusion, "m3_m7_volume_share", "m9_m10_day_deltas", "m4_m8_whole_day")
 query("entry_scan", KEY + "industry ~score place", None, "k1_k2_capped_top")
+query("w9_ordinal_entropy", KEY + "~pe", W.ordinal_entropy, "rets")
+query("p26_structure_score", KEY + "~structure", W.structure_score, "rets")
+query("r21_filled_sequences", KEY + "~filled ~mean_filled", W.filled_sequences, "w40_derived_factors")
+query("f9_f14_prefilter", KEY + "kept compressed gate", P.prefilter, "p8_p14_accumulation", "w16_percentile_of_last")
+query("p15_j10_entropy_hold", KEY + "~hold_score entropy_hold rapid_hold exhausted", P.entropy_hold, "p5_p7_setup", "p16_p17_expansion")
+query("j21_p33_p34_trade_factors", "symbol entry_date ~ret ~buy_quality ~sell_weight ~later", P.trade_factors, "j12_o1_picks", "w40_derived_factors", "rets")
+query("o22_factor_health", "factor issues status", P.factor_health, "r8_r9_factor_summary")
+node("weekly_table", S.precomputed_weekly, "b2_weekly_bars")
+query("s11_weekly_or_resampled", "symbol bar_end ~close origin", S.weekly_or_resampled, "weekly_table", "b2_weekly_bars")
+node("industry_trades", J.trades_by_industry, "j12_o1_picks", "s8_security_master")
+query("j23_stop_list", KEY + "industry", J.stop_list, "industry_trades", losses=150)
