@@ -1,80 +1,94 @@
-"""Near-duplicate texts: SimHash finds pairs, word 5-gram shingles confirm them.
+"""Near-duplicate texts: bands of shingle minima find pairs, word 5-gram shingles confirm them.
 
 Used by the corpus pipeline, where near-duplicates are texts whose sets of word
-5-grams have a Jaccard similarity of at least 0.8.  Fingerprints over such
-shingles lie many bits apart at that similarity; fingerprints over single words
-stay within a few.  So the search takes SimHash over words, once for each of
-several hash seeds, by ball hashing at 2 bits, and what it finds is verified on
-the shingles.  Short words are left out where enough others remain: a language's
-texts share them, and their fingerprints would be near one another for that.
+5-grams have a Jaccard similarity of at least 0.8.  The search takes ROWS * BANDS
+minima of each set under as many hashes; ROWS of them make the key of a band, and
+texts with a key in common are candidates.  A pair of similarity J has no key in
+common with probability (1 - J ** ROWS) ** BANDS, which is 1.1e-10 at 0.8 and less
+above, whatever the length of the texts.  Candidates are verified on the shingles.
 
 Texts of the same words in the same order are one class first, by a digest, and
-cost one row each after that.  Within a variant's bucket (and among texts with
-the same fingerprint) a text is compared with the least id there and with its
-neighbour, so that no bucket emits all its pairs.
+cost one row each after that.  In a key's bucket a class is compared with the least
+id there and with its neighbour, so that no bucket emits all its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, materialize
-from tapeloom.llm.simhash import _signed, ball, components, fingerprint, shingle_hashes
+from tapeloom.llm.simhash import components, shingle_hashes
 from tapeloom.llm.tokens import text_slices
 
-SEEDS = (42, 43, 44)
-SHINGLE, SIMILAR, DIFFERING = 5, 0.8, 2
+SHINGLE, SIMILAR = 5, 0.8
+#: Minima in a band's key, and bands.
+ROWS, BANDS = 3, 32
+#: Shingles whose ROWS * BANDS hashes are made at a time.
+BLOCK = 1 << 10
+
+_SALTS = np.random.default_rng(42).integers(0, 1 << 64, ROWS * BANDS, np.uint64)
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-#: Words of fewer bytes are left out where at least ENOUGH others remain.
-LONG, ENOUGH = 6, 8
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    blocks = list(shingle_hashes(text, SHINGLE))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
 
-def word_hashes(text: str | None, seeds):
-    """For each seed the hashes of a text's words, as one block."""
-    w = (text or "").encode().lower().split()
-    long = [x for x in w if len(x) >= LONG]
-    own = long if len(long) >= ENOUGH else w
-    for s in seeds:
-        yield [np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(s)), np.uint64, len(own))] if own else []
 
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band; none for a text without shingles."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(len(_SALTS), ~np.uint64(0))
+    for at in range(0, len(shingles), BLOCK):
+        least = np.minimum(least, _mixed(shingles[at : at + BLOCK, None] ^ _SALTS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ row) + row
+    return key.view(np.int64)
 
-def signatures(docs: DataFrame, seeds=SEEDS) -> DataFrame:
-    """``id, class_key, fps``: digest of the words, one fingerprint for each seed."""
-    schema = pa.schema([("id", pa.int64()), ("class_key", pa.binary()), ("fps", pa.list_(pa.int64()))])
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``id, class_key, n, keys``: digest of the words, number of shingles, a key for each band."""
+    schema = pa.schema([("id", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in text_slices(batches):
             texts = b.column("text").to_pylist()
-            keys = [hashlib.sha256(b" ".join((t or "").encode().lower().split())).digest()[:16] for t in texts]
-            fps = [[_signed(fingerprint(hashes)) for hashes in word_hashes(t, seeds)] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], schema=schema)
-
-    return docs.mapInArrow(run, "id long, class_key binary, fps array<long>")
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of classes to verify."""
-    one = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    masks = F.array(*[F.lit(m) for m in ball((DIFFERING + 1) // 2)])
-    # texts with one fingerprint: each with the least and with its neighbour; their least stands for them in the buckets
-    same = Window.partitionBy("seed", "fp").orderBy("node")
-    ranked = one.select("seed", "fp", "node", F.lag("node").over(same).alias("prev"))
-    heads = ranked.where("prev is null").select("seed", "fp", "node")
-    least = heads.select("seed", "fp", F.col("node").alias("head"))
-    followers = ranked.where("prev is not null").join(least, ["seed", "fp"])
-    pairs = followers.select(F.col("prev").alias("a"), F.col("node").alias("b")).union(followers.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    variants = heads.select("seed", "node", F.explode(masks).alias("mask"), "fp").select("seed", "node", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    w = Window.partitionBy("seed", "variant").orderBy("node")  # no more than the ball holds
-    chained = variants.select("node", F.lag("node").over(w).alias("prev"), F.min("node").over(w).alias("head")).where("prev is not null")
-    pairs = pairs.union(chained.select(F.col("prev").alias("a"), F.col("node").alias("b"))).union(chained.select(F.col("head").alias("a"), F.col("node").alias("b")))
+            digests = [hashlib.sha256(b" ".join((t or "").encode().lower().split())).digest()[:16] for t in texts]
+            n, keys = [], []
+            for t in texts:
+                own = shingle_set(t)
+                n.append(len(own))
+                keys.append(band_keys(own))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+
+    return docs.mapInArrow(run, "id long, class_key binary, n long, keys array<long>")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``key, node, n, prev, head`` of the buckets with more than one class: the neighbour before and the least id."""
+    one = classes.select("node", "n", F.explode("keys").alias("key"))
+    w = Window.partitionBy("key").orderBy("node")
+    ranked = one.select("key", "node", "n", F.lag("node").over(w).alias("prev"), F.lead("node").over(w).alias("next"), F.first("node").over(w).alias("head"))
+    return ranked.where("prev is not null or next is not null").drop("next")
+
+
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs ``a < b``: each class with its neighbour and with the least of its bucket."""
+    later = buckets.where("prev is not null")
+    pairs = later.select(F.col("prev").alias("a"), F.col("node").alias("b")).union(later.select(F.col("head").alias("a"), F.col("node").alias("b")))
     return pairs.where("a < b").distinct()
 
 
@@ -86,8 +100,7 @@ def _shingles(rows: DataFrame) -> DataFrame:
         for b in text_slices(batches):
             packed = []
             for t in b.column("text").to_pylist():
-                blocks = list(shingle_hashes(t, SHINGLE))
-                packed.append(np.unique(np.concatenate(blocks)).astype("<u8").tobytes() if blocks else b"")
+                packed.append(shingle_set(t).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packed, pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, "node long, shingles binary")
@@ -119,12 +132,13 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``id, component`` for every document that isn't the least id of its group of near-duplicates, nulls apart."""
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     signed = materialize(signatures(plain), "signatures")
-    classes = signed.groupBy("class_key").agg(F.min("id").alias("node"), F.first("fps").alias("fps"))
+    classes = signed.groupBy("class_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = cut(classes)
-    pairs = cut(_candidates(classes.select("node", "fps")))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    buckets = materialize(_buckets(classes), "buckets")
+    wanted = buckets.select("node").distinct()
     texts = plain.withColumnRenamed("id", "node").join(wanted, "node").dropDuplicates(["node"])
-    edges = _verified(pairs, materialize(_shingles(texts), "shingles"), similar)
-    found = components(edges)
+    sets = materialize(_shingles(texts), "shingles")
+    first = cut(_first_pairs(buckets))
+    found = components(_verified(first, sets, similar))
     keys = classes.join(found, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"))
     return signed.join(keys, "class_key").where("id <> component").select("id", "component")

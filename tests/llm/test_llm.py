@@ -315,3 +315,24 @@ def test_near_texts(spark, empty):
     assert got.pop(200) == 3 and got.pop(202) == 201
     assert set(got.items()) <= {(100 + i, i) for i in range(12)} and len(got) >= 9
     assert near_text.near_text_groups(empty).count() == 0
+
+
+def test_near_texts_lose_no_pair_at_any_similarity(spark):
+    r = random.Random(9)
+    base = [" ".join(f"{r.choice(WORDS)}{r.randrange(300)}" for _ in range(n)) for n in (30, 60, 90, 200, 400) * 24]
+
+    def edited(t):
+        w = t.split()
+        for k in r.sample(range(len(w)), max(1, round(len(w) * r.uniform(0.002, 0.022)))):
+            w[k] = f"{r.choice(WORDS)}{r.randrange(300)}"
+        return " ".join(w)
+
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, edited(t)) for i, t in enumerate(base)]
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    got = {x["id"]: x["component"] for x in near_text.near_text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bands = collections.defaultdict(list)
+    for i, t in enumerate(base):
+        x, y = grams(t), grams(rows[len(base) + i][1])
+        j = len(x & y) / len(x | y)
+        bands[min(int(j * 20), 19) if j >= 0.8 else 0].append((1000 + i in got) == (j >= 0.8) and got.get(1000 + i, i) == i)
+    assert {16, 17, 18, 19} <= set(bands) and all(all(x) for x in bands.values()), {k: (sum(x), len(x)) for k, x in bands.items()}
