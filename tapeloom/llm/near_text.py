@@ -8,8 +8,10 @@ common with probability (1 - J ** ROWS) ** BANDS, which is 1.1e-10 at 0.8 and le
 above, whatever the length of the texts.  Candidates are verified on the shingles.
 
 Texts of the same words in the same order are one class first, by a digest, and
-cost one row each after that.  In a key's bucket a class is compared with the least
-id there and with its neighbour, so that no bucket emits all its pairs.
+cost one row each after that.  In a key's bucket a class is first compared with
+the least id there and with its neighbour.  What this links needs no more
+comparing; then all classes of a bucket that aren't linked so far are compared
+with each other, so that a failed check hides no pair.
 """
 
 from __future__ import annotations
@@ -92,6 +94,17 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.where("a < b").distinct()
 
 
+def _other_pairs(buckets: DataFrame, first: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    """All other pairs ``a < b`` of a bucket whose classes aren't linked so far and whose sizes allow the similarity."""
+    labelled = buckets.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    apart = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("size > 2 and low < high").select("key")
+    own = cut(labelled.join(apart, "key"))
+    x = own.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    y = own.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similar * F.greatest("na", "nb")))
+    return pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+
+
 def _shingles(rows: DataFrame) -> DataFrame:
     """``node, shingles``: sorted distinct hashes of a text's shingles, packed."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -139,6 +152,10 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = plain.withColumnRenamed("id", "node").join(wanted, "node").dropDuplicates(["node"])
     sets = materialize(_shingles(texts), "shingles")
     first = cut(_first_pairs(buckets))
-    found = components(_verified(first, sets, similar))
+    edges = cut(_verified(first, sets, similar))
+    found = components(edges)
+    others = cut(_other_pairs(buckets, first, found, similar))
+    if others.count():
+        found = components(edges.union(_verified(others, sets, similar)))
     keys = classes.join(found, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"))
     return signed.join(keys, "class_key").where("id <> component").select("id", "component")

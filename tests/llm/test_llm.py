@@ -336,3 +336,21 @@ def test_near_texts_lose_no_pair_at_any_similarity(spark):
         j = len(x & y) / len(x | y)
         bands[min(int(j * 20), 19) if j >= 0.8 else 0].append((1000 + i in got) == (j >= 0.8) and got.get(1000 + i, i) == i)
     assert {16, 17, 18, 19} <= set(bands) and all(all(x) for x in bands.values()), {k: (sum(x), len(x)) for k, x in bands.items()}
+
+
+def test_near_texts_compare_all_classes_of_a_bucket(spark):
+    r = random.Random(3)
+    first, second = ([f"{r.choice(WORDS)}{i}{k}" for k in range(300)] for i in "xy")
+    other = lambda w, k: " ".join(["of", *w[:k], "in", *w[k + 1 :]])
+    shuffled = r.sample(first, len(first))
+    rows = [(1, " ".join(first)), (2, " ".join(shuffled)), (3, other(first, 150)), (4, other(shuffled, 150)), (5, " ".join(second))]
+    got = {x["id"]: x["component"] for x in near_text.near_text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 1, 4: 2}
+
+    # one bucket by hand: 1 and 3, 2 and 4 are alike; neighbours and the least id alone miss the second pair
+    buckets = spark.createDataFrame([(7, 1, 10, None, 1), (7, 2, 10, 1, 1), (7, 3, 10, 2, 1), (7, 4, 10, 3, 1)], "key long, node long, n long, prev long, head long")
+    pairs = near_text._first_pairs(buckets)
+    found = spark.createDataFrame([(1, 1), (3, 1)], "node long, component long")
+    others = near_text._other_pairs(buckets, pairs, found, 0.8)
+    assert {tuple(x) for x in pairs.collect()} == {(1, 2), (2, 3), (3, 4), (1, 3), (1, 4)}
+    assert {tuple(x) for x in others.collect()} == {(2, 4)}
