@@ -37,46 +37,59 @@ FILLINGS, LOOKED_AT = 4, 400
 STEPS = 60_000
 
 
+def best_fit(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, ...]:
+    """The best-fit filling of ``room``: the largest item left that fits, as often as it does, again and again."""
+    out: list[int] = []
+    i = bisect_right(sizes, room) - 1
+    while i >= 0:
+        s = sizes[i]
+        k = min(left[s], room // s)
+        out += [s] * k
+        room -= s * k
+        i = min(i, bisect_right(sizes, room)) - 1
+    return tuple(out)
+
+
 def fillings(room: int, sizes: list[int], left: dict[int, int], most: int = FILLINGS, looks: int = LOOKED_AT) -> list[tuple[int, ...]]:
     """Fillings of ``room`` by sizes left (ascending list), undominated ones first: least waste, then fewest and largest items.
 
-    The first filling found is the best-fit one: the largest item that fits,
-    again and again.  A branch ends where even its best completion wastes more
-    than the worst filling kept.
+    The best-fit filling is found first and outside the budget, however many
+    items it takes.  ``looks`` bounds the search for others, which branches on
+    how often a size is used.  A filling that leaves room for an item left is
+    dominated, and so are others where one item fits exactly.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
+    first = best_fit(room, sizes, left)
+    found: list[tuple[int, tuple[int, ...]]] = [(room - sum(first), first)]
     budget = [looks]
-    chosen: list[int] = []
-    used: dict[int, int] = {}
+    chosen: list[tuple[int, int]] = []
 
-    def extend(room: int, upto: int) -> None:
+    def extend(room: int, upto: int, skipped: int) -> None:
         if budget[0] <= 0:
             return
         budget[0] -= 1
-        i = bisect_right(sizes, min(room, upto)) - 1
-        closed = True
-        while i >= 0:
-            s = sizes[i]
-            if used.get(s, 0) < left[s]:
-                closed = False
-                chosen.append(s)
-                used[s] = used.get(s, 0) + 1
-                extend(room - s, s)
-                used[s] -= 1
-                chosen.pop()
-                if budget[0] <= 0 or (len(found) >= most and found[0][0] == 0):
-                    return
-                # what's smaller than s can only be dominated unless it combines: leave when the room was met exactly
-                if s == room:
-                    break
+        i = min(upto, bisect_right(sizes, room) - 1)
+        while i >= 0 and not left[sizes[i]]:
             i -= 1
-        if closed:
-            found.append((room, tuple(chosen)))
-            found.sort(key=lambda f: (f[0], len(f[1])))
-            del found[most:]
-
-    extend(room, room)
-    return [f for _, f in found] or [()]
+        if i < 0:
+            if room >= skipped:
+                return
+            own = tuple(s for s, k in chosen for _ in range(k))
+            if (room, own) not in found:
+                found.append((room, own))
+                found.sort(key=lambda f: (f[0], len(f[1])))
+                del found[most:]
+            return
+        s = sizes[i]
+        for k in range(min(left[s], room // s), -1, -1):
+            chosen.append((s, k))
+            extend(room - s * k, i - 1, min(skipped, s) if k < left[s] else skipped)
+            chosen.pop()
+            if budget[0] <= 0 or (len(found) >= most and found[-1][0] == 0) or (k == 1 and s == room):
+                return
+
+    if found[0][0] or most > 1:
+        extend(room, len(sizes) - 1, room + 1)
+    return [f for _, f in found]
 
 
 def plan_packing(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:

@@ -354,3 +354,15 @@ def test_near_texts_compare_all_classes_of_a_bucket(spark):
     others = near_text._other_pairs(buckets, pairs, found, 0.8)
     assert {tuple(x) for x in pairs.collect()} == {(1, 2), (2, 3), (3, 4), (1, 3), (1, 4)}
     assert {tuple(x) for x in others.collect()} == {(2, 4)}
+
+
+@pytest.mark.parametrize("counts", [{1: 10000}, {1: 9000, 2: 800, 9: 3}, {k: 1000 for k in range(1, 10)}, {3000: 5, 1: 20000, 7: 300}])
+def test_plan_fills_sequences_with_many_short_pieces(counts):
+    plan = packing.plan_packing(dict(counts), 4096)
+    used = collections.Counter()
+    for pattern, times in plan:
+        assert sum(pattern) <= 4096
+        for s in pattern:
+            used[s] += times
+    assert used == counts
+    assert sum(t for _, t in plan) == -(-sum(s * n for s, n in counts.items()) // 4096)
