@@ -18,7 +18,9 @@ with its end id it is a piece of length 1.  Repeated rows are packed each time.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,20 @@ def best_fit(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, ..
     return tuple(out)
 
 
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the items of ``b`` fit into those of ``a`` (first fit, which may miss some), so that ``a`` is as good as ``b``."""
+    if sum(b) > sum(a):
+        return False
+    own, other = Counter(a), Counter(b)
+    rooms = sorted((own - other).elements())
+    for s in sorted((other - own).elements(), reverse=True):
+        i = bisect_left(rooms, s)
+        if i == len(rooms):
+            return False
+        insort(rooms, rooms.pop(i) - s)
+    return True
+
+
 def fillings(room: int, sizes: list[int], left: dict[int, int], most: int = FILLINGS, looks: int = LOOKED_AT) -> list[tuple[int, ...]]:
     """Fillings of ``room`` by sizes left (ascending list), undominated ones first: least waste, then fewest and largest items.
 
@@ -74,8 +90,8 @@ def fillings(room: int, sizes: list[int], left: dict[int, int], most: int = FILL
             if room >= skipped:
                 return
             own = tuple(s for s, k in chosen for _ in range(k))
-            if (room, own) not in found:
-                found.append((room, own))
+            if not any(dominates(f, own) for _, f in found):
+                found[:] = [f for f in found if not dominates(own, f[1])] + [(room, own)]
                 found.sort(key=lambda f: (f[0], len(f[1])))
                 del found[most:]
             return
@@ -153,47 +169,72 @@ def plan_packing(counts: dict[int, int], capacity: int, steps: int = STEPS) -> l
 
 
 def _search(counts: dict[int, int], capacity: int, incumbent: int, least: int, steps: int):
-    """Branch and bound over one sequence at a time; a plan of fewer sequences than ``incumbent``, or None, and steps taken."""
-    if incumbent > 400:
-        return None, 0
+    """Branch and bound on a pattern times its count; the best plan of fewer sequences than ``incumbent``, or None, and steps taken.
+
+    A pattern is used as often as it can be, or ``grain`` times; as what is left
+    may take it again, its count is any multiple.  Grains go from the counts'
+    common divisor or a quarter of the sequences down to one, so the number of
+    sequences doesn't matter.  Each grain has its share of the steps left.
+    """
+    grains = sorted({gcd(*counts.values()), *(max(1, incumbent // k) for k in (4, 8, 16, 64)), 1}, reverse=True)
+    best, spent = None, 0
+    for i, grain in enumerate(grains):
+        found, used = _search_by(counts, capacity, incumbent, least, (steps - spent) // (len(grains) - i), grain)
+        spent += used
+        if found:
+            best, incumbent = found, sum(t for _, t in found)
+        if incumbent <= least:
+            break
+    return best, spent
+
+
+def _search_by(counts: dict[int, int], capacity: int, incumbent: int, least: int, steps: int, grain: int):
     left = dict(counts)
-    total = sum(s * n for s, n in left.items())
-    allowed = (incumbent - 1) * capacity - total  # waste beyond this can't give a better plan
-    spent, stack = 0, []
-    best: list[tuple[int, ...]] | None = None
-
-    def go(waste: int, allowed: int) -> list[tuple[int, ...]] | None:
-        nonlocal spent
-        if not left:
-            return []
-        spent += 1
-        if spent > steps:
-            return None
-        sizes = sorted(left)
-        top = sizes[-1]
+    # waste beyond this can't give a better plan
+    allowed = (incumbent - 1) * capacity - sum(s * n for s, n in left.items())
+
+    def branches():
+        top = max(left)
         left[top] -= 1
-        options = fillings(capacity - top, [s for s in sizes if left[s]], left)
+        options = fillings(capacity - top, sorted(s for s, n in left.items() if n), left)
         left[top] += 1
         for fill in options:
-            w = capacity - top - sum(fill)
-            if waste + w > allowed:
-                break  # options are in order of waste
-            for s in (top, *fill):
-                left[s] -= 1
+            waste = capacity - top - sum(fill)
+            need = Counter((top, *fill))
+            most = min(left[s] // k for s, k in need.items())
+            for times in dict.fromkeys((most, min(most, grain))):
+                if waste * times <= allowed:
+                    yield (top, *fill), need, times, waste * times
+
+    best, spent, taken, stack = None, 0, [], [branches()]
+    while stack and spent < steps:
+        step = next(stack[-1], None)
+        if step is not None:
+            spent += 1
+            _, need, times, waste = step
+            taken.append(step)
+            allowed -= waste
+            for s, k in need.items():
+                left[s] -= k * times
                 if not left[s]:
                     del left[s]
-            tail = go(waste + w, allowed)
-            for s in (top, *fill):
-                left[s] = left.get(s, 0) + 1
-            if tail is not None:
-                return [(top, *fill), *tail]
-            if spent > steps:
-                return None
-        return None
-
-    if allowed >= 0:
-        best = go(0, allowed)
-    return ([(p, 1) for p in best] if best is not None else None), spent
+            if left:
+                stack.append(branches())
+                continue
+            best = [(pattern, times) for pattern, _, times, _ in taken]
+            bins = sum(t for _, t in best)
+            if bins <= least:
+                break
+            allowed -= (incumbent - bins) * capacity
+            incumbent = bins
+        else:
+            stack.pop()
+        if taken:
+            _, need, times, waste = taken.pop()
+            allowed += waste
+            for s, k in need.items():
+                left[s] = left.get(s, 0) + k * times
+    return best, spent
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:

@@ -366,3 +366,22 @@ def test_plan_fills_sequences_with_many_short_pieces(counts):
             used[s] += times
     assert used == counts
     assert sum(t for _, t in plan) == -(-sum(s * n for s, n in counts.items()) // 4096)
+
+
+def test_plan_search_does_not_depend_on_the_number_of_pieces():
+    counts = {38: 3, 42: 3, 24: 3, 41: 3, 18: 2}  # best fit takes 6 sequences, 5 do
+    assert sum(t for _, t in packing.plan_packing(dict(counts), 100)) == 5
+    plan = packing.plan_packing({s: 1000 * n for s, n in counts.items()}, 100)  # best fit alone: 5250
+    used = collections.Counter()
+    for pattern, times in plan:
+        assert sum(pattern) <= 100
+        for s in pattern:
+            used[s] += times
+    assert used == {s: 1000 * n for s, n in counts.items()} and sum(t for _, t in plan) <= 5000
+
+
+def test_dominated_fillings_are_left_out():
+    assert packing.dominates((60, 40), (40, 30, 20)) and packing.dominates((50,), (30, 20)) and not packing.dominates((50, 30), (40, 40))
+    found = packing.fillings(100, [20, 30, 40, 50, 60], dict.fromkeys([20, 30, 40, 50, 60], 1))
+    assert found[0] == (60, 40)
+    assert not any(packing.dominates(a, b) for a in found for b in found if a != b)
