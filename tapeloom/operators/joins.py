@@ -103,6 +103,17 @@ def merged_picks(d, model, leaders, most=50):
     WHERE n <= {most}"""
 
 
+@operator
+def merged_picks_by_date(d, model, leaders, most=50):
+    """Of each date the model picks, then leaders that aren't among them, up to a number."""
+    return f"""
+    SELECT symbol, trade_date, origin FROM (
+      SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY origin DESC, symbol) AS n FROM (
+        SELECT symbol, trade_date, 'model' AS origin FROM {model} UNION ALL
+        SELECT l.symbol, l.trade_date, 'leader' AS origin FROM {leaders} l WHERE NOT EXISTS (SELECT 1 FROM {model} m WHERE m.symbol = l.symbol AND m.trade_date = l.trade_date)) u) v
+    WHERE n <= {most}"""
+
+
 @operator
 def lead_lag(d, industry_days):
     """Correlation of each industry's return with every other's of the day before; pairs of industries, which are few."""

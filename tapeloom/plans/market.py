@@ -149,6 +149,7 @@ query("a22_leaders", KEY + "~score place", A.leaders, "a20_industry_factors")
 query("j16_in_hot_industries", KEY + "industry", J.in_hot_industries, "j12_o1_picks", "s8_security_master", "a21_hot_industries")
 query("j17_not_recent", KEY + "~close", J.not_recent, "b1_daily_bars", "j12_o1_picks")
 query("j18_merged_picks", KEY + "origin", J.merged_picks, "j12_o1_picks", "a22_leaders")
+query("j18_merged_picks_by_date", KEY + "origin", J.merged_picks_by_date, "j12_o1_picks", "a22_leaders")
 query("a23_index_regime", "trade_date regime ~ma_20 ~dd", A.index_regime, "s4_index_bars")
 query("a24_month_regime", "month_end ~close raw lasting", A.month_regime, "s4_index_bars")
 query("a25_a26_summary", "industry state n n_symbols ~mean_score", A.summary, "p2_resonance", "s8_security_master")

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tapeloom import catalog
+from tapeloom.operators import joins
 from tapeloom.plans import graph
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,11 @@ def test_streams_follow_batch(spark, name):
         assert batch.count() - got.count() < 0.05 * batch.count()
     else:
         assert got.count() == ticks.count()
+
+
+def test_merged_picks_are_capped_by_date(spark):
+    days = range(1, 9)
+    model = spark.sql("SELECT concat('m', id) AS symbol, make_date(2001, 1, d) AS trade_date FROM range(9) CROSS JOIN (SELECT explode(sequence(1, 8)) AS d)")
+    leaders = spark.sql("SELECT concat('l', id) AS symbol, make_date(2001, 1, d) AS trade_date FROM range(60) CROSS JOIN (SELECT explode(sequence(1, 8)) AS d)")
+    got = joins.merged_picks_by_date(model, leaders).toPandas()
+    assert got.groupby(["trade_date", "origin"]).size().tolist() == [41, 9] * len(days)
