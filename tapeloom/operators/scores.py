@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tapeloom.functions.sqlkit import BY, bit, clip, clip_term, div, flag, lag, operator, rolling, scaled, so_far, triangular, w
 
 
@@ -82,24 +86,30 @@ def setup_frame(d, rets, pe, pe_long, pi, eig, recovery, lift):
               {rolling('stddev_pop', 'lr', 20, 10)} AS sd, {rolling('stddev_pop', 'turnover_rate', 20, 10)} AS tsd, {rolling('avg', 'amount', 20, 10)} AS am FROM {rets}) r {joins}) x) y) z"""
 
 
-@operator
-def latent_states(d, setups, margin=0.05):
-    """Four latent states by fold over each symbol's rows in order: the state changes only if another leads by a margin."""
-    if d.spark:
-        rows = "array_sort(collect_list(struct(trade_date, s0, s1, s2, s3)))"
-        best = "greatest(x.s0, x.s1, x.s2, x.s3)"
-        arg = f"CASE WHEN x.s0 = {best} THEN 0 WHEN x.s1 = {best} THEN 1 WHEN x.s2 = {best} THEN 2 ELSE 3 END"
-        own = "CASE acc[size(acc) - 1].state WHEN 0 THEN x.s0 WHEN 1 THEN x.s1 WHEN 2 THEN x.s2 ELSE x.s3 END"
-        step = f"concat(acc, array(named_struct('trade_date', x.trade_date, 'state', CASE WHEN size(acc) = 0 OR {best} - ({own}) >= {margin} THEN {arg} ELSE acc[size(acc) - 1].state END)))"
-        return f"""
-        SELECT symbol, r.trade_date, r.state FROM (
-          SELECT symbol, explode(aggregate(rows, CAST(array() AS ARRAY<STRUCT<trade_date: DATE, state: INT>>), (acc, x) -> {step})) AS r FROM (
-            SELECT symbol, {rows} AS rows FROM ({_latent_scores(setups)}) s GROUP BY symbol) g) e"""
-    return ""
+def latent_states(setups: DataFrame, margin: float = 0.05, since: int | None = None) -> DataFrame:
+    """Four latent states along each symbol's rows in order: the state changes only if another leads by a margin.
 
+    A symbol's sorted rows stream through a step that carries the state; ``since``
+    leaves out the years before it.
+    """
 
-def _latent_scores(setups: str) -> str:
-    return f"SELECT symbol, trade_date, 1 - setup_score AS s0, entropy_quality AS s1, bifurcation_quality AS s2, trigger_quality AS s3 FROM {setups} WHERE setup_score IS NOT NULL AND year(trade_date) >= 2000"
+    def run(batches):
+        symbol, state = object(), None
+        for b in batches:
+            states = []
+            for own, *s in zip(*(b.column(c).to_pylist() for c in ("symbol", "s0", "s1", "s2", "s3"))):
+                best = max(x for x in s if x is not None)
+                if own != symbol or (s[state] is not None and best - s[state] >= margin):
+                    state = s.index(best)
+                symbol = own
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([b.column("symbol"), b.column("trade_date"), pa.array(states, pa.int32())], names=["symbol", "trade_date", "state"])
+
+    rows = setups.where("setup_score IS NOT NULL")
+    if since is not None:
+        rows = rows.where(F.year("trade_date") >= since)
+    rows = rows.selectExpr("symbol", "CAST(trade_date AS DATE) AS trade_date", "CAST(1 - setup_score AS DOUBLE) AS s0", "CAST(entropy_quality AS DOUBLE) AS s1", "CAST(bifurcation_quality AS DOUBLE) AS s2", "CAST(trigger_quality AS DOUBLE) AS s3")
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "trade_date").mapInArrow(run, f"symbol {dict(setups.dtypes)['symbol']}, trade_date date, state int")
 
 
 @operator

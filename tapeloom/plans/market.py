@@ -115,7 +115,8 @@ for _p in ("week", "month"):
 query("p2_resonance", KEY + "~score_min support_count ~resonance_score resonance_state", P.resonance, "p1_physics", "p1_physics_week", "p1_physics_month")
 query("p3_first_signal", "symbol signal_date entry_date ~entry_price ~ret_to_end ~runup n_signals", P.first_signal, "p2_resonance")
 query("p5_p7_setup", KEY + "~entropy_quality ~bifurcation_quality ~trigger_quality ~execution_cost ~setup_score setup", P.setup_frame, "rets", "w8_permutation_entropy", "w8_permutation_entropy_60", "w10_irreversibility", "w11_dominant_eigenvalue", "w15_recovery_rate", "w20_variance_lift")
-query("p6_latent_states", KEY + "state", P.latent_states, "p5_p7_setup")
+query("p6_latent_states", KEY + "state", P.latent_states, "p5_p7_setup", since=2000)
+query("p6_latent_states_whole", KEY + "state", P.latent_states, "p5_p7_setup")
 query("p8_p14_accumulation", KEY + "met accumulating ~quality broke breakout fell collapse phase", P.accumulation, "rets", "w8_permutation_entropy", "w16_percentile_of_last")
 query("p16_p17_expansion", KEY + "~expansion ~exhaustion hold_seed exit_seed", P.expansion, "rets")
 query("p18_p19_hold_path", KEY + "exited path_state", P.hold_path, "p16_p17_expansion")

@@ -83,3 +83,17 @@ def test_merged_picks_are_capped_by_date(spark):
     leaders = spark.sql("SELECT concat('l', id) AS symbol, make_date(2001, 1, d) AS trade_date FROM range(60) CROSS JOIN (SELECT explode(sequence(1, 8)) AS d)")
     got = joins.merged_picks_by_date(model, leaders).toPandas()
     assert got.groupby(["trade_date", "origin"]).size().tolist() == [41, 9] * len(days)
+
+
+def test_latent_states_cover_all_years(spark):
+    frames = {}
+    setups = graph.frame(spark, SF, "p5_p7_setup", frames).where("setup_score IS NOT NULL").toPandas().sort_values(["symbol", "trade_date"])
+    got = {(r["symbol"], r["trade_date"]): r["state"] for r in graph.frame(spark, SF, "p6_latent_states_whole", frames).collect()}
+    assert len(got) == len(setups) and min(d.year for _, d in got) < 2000
+    for symbol, own in setups.groupby("symbol"):
+        state = None
+        for r in own.itertuples():
+            s = (1 - r.setup_score, r.entropy_quality, r.bifurcation_quality, r.trigger_quality)
+            if state is None or max(s) - s[state] >= 0.05:
+                state = s.index(max(s))
+            assert got[symbol, r.trade_date] == state
