@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from tapeloom.llm.common import read_table
-from tapeloom.llm.tokens import MEMO_CHARS, MEMO_WORDS, _byte_letters, split_words, text_slices, tokenizer_path
+from tapeloom.llm.tokens import MEMO_CHARS, _byte_letters, split_words, text_slices, tokenizer_path
 
+#: Distinct words kept per Python worker; the memo starts anew beyond it.
+MEMO_WORDS = 300_000
 #: White space as the tokenizer's patterns see it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

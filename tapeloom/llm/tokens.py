@@ -18,9 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words kept per Python worker; the memo starts anew beyond it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 #: Longer words are encoded each time.
-MEMO_CHARS = 48
+MEMO_CHARS, MEMO_BYTES = 48, 96
+#: Pieces that are encoded in one call.
+TOGETHER = 8192
 #: Text bytes worked on at a time.
 SLICE_BYTES = 8 << 20
 
@@ -50,11 +52,9 @@ def text_slices(batches, column: str = "text", most: int = SLICE_BYTES):
             start = end
 
 
-def split_words(texts: pa.Array, line_ends: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Pieces between spaces (and line ends): offsets by document, a code for each piece, the distinct pieces."""
-    if line_ends:
-        texts = pc.replace_substring(texts, "\n", " ")
-    lists = pc.split_pattern(texts, " ")
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Pieces between spaces and line ends: offsets by document, a code for each piece, the distinct pieces."""
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), out=offsets[1:])
     coded = lists.flatten().dictionary_encode()
@@ -71,6 +71,36 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.
     return flat[where], at
 
 
+def cut_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Cut texts where a pre-token begins whatever stands around: offsets by document, a code for each piece, the distinct pieces.
+
+    Cuts are before a run of ASCII white space; after a run that is one line
+    end; and between an ASCII letter and a full stop or comma that white space
+    follows.
+    """
+    begins = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[begins[0] : begins[-1]] if data is not None else np.zeros(0, np.uint8)
+    begins = begins - begins[0]
+    space = _IS_SPACE[data]
+    plain = ~space
+    cut = space.copy()
+    cut[1:] &= plain[:-1]
+    cut[2:] |= plain[2:] & (data[1:-1] == 10) & plain[:-2]
+    cut[1:-1] |= _IS_MARK[data[1:-1]] & _IS_LETTER[data[:-2]] & space[2:]
+    cut[begins[:-1][begins[1:] > begins[:-1]]] = True
+    at = np.flatnonzero(cut)
+    bounds = np.append(at, len(data)).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+    return np.searchsorted(at, begins), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+_IS_SPACE, _IS_MARK, _IS_LETTER = np.zeros((3, 256), bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_MARK[[ord("."), ord(",")]] = True
+_IS_LETTER[65:91] = _IS_LETTER[97:123] = True
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,126 +108,129 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+#: Any white space, and what some count as such, as the inside of a class of RE2.
+_ANY_SPACE = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Blocks whose letters every edition of Unicode in use has; the one letter whose small form is two characters is left out.
+_OLD_BLOCKS = r"^[\x00-\x{12f}\x{131}-\x{52f}\x{5d0}-\x{5ea}\x{620}-\x{64a}\x{904}-\x{939}\x{3041}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]*$"
+
+
+def _matches(pieces: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(pieces, pattern).to_numpy(zero_copy_only=False)
+
+
 class _Encoder:
+    """Ids of pieces of text, kept from batch to batch in flat arrays beside an Arrow array of the pieces.
+
+    A piece of letters only is one pre-token, which goes to the library's model;
+    any other goes through the library's whole chain.  A text in which other
+    white space than ASCII's touches a cut isn't cut.
+    """
+
     def __init__(self, path: str):
         self.library = load_tokenizer(path)
         self.model = self.library.model
-        self.letters = _byte_letters()
-        self.marks = {m: self.whole(m).tobytes() for m in ".,"}
-        self.memo: dict[str, bytes | None] = {}
+        self.letters = np.arange(256, dtype="<u4")
+        for b, c in _byte_letters().items():
+            self.letters[b] = c
+        self.letters[10] = 10  # stands between words
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces = pa.array([], pa.string())
+        self.flat, self.starts, self.lengths, self.safe = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.kept = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: list[str], before: str, memo: dict) -> None:
-        """Ids of new words.
-
-        A word of letters only is one pre-token, which goes to the library's
-        model; one that ends in a full stop or comma after letters is its two
-        parts; any other goes through the library's whole chain.
-        """
-        tokenize, form = self.model.tokenize, self.form
-        other = []
-        for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in self.marks else (w, "")
-            if stem.isalpha() and (stem.isascii() or self.stays(stem)):
-                ids = memo.get(stem)
-                if ids is None:
-                    memo[stem] = ids = array("I", [t.id for t in tokenize(form(stem, before))]).tobytes()
-                if mark:
-                    memo[w] = ids + self.marks[mark]
-            else:
-                other.append(w)
-        for w, e in zip(other, self.library.encode_batch_fast([before + w for w in other], add_special_tokens=False)):
-            memo[w] = array("I", e.ids).tobytes()
-
-    def bytes_of(self, words: list[str], before: str, memo: dict) -> list[bytes | None]:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        fit = [w for w in new if self.fits(w)]
-        self.learn(fit, before, memo)
-        for w in new:
-            memo.setdefault(w, None)
-        out = [memo[w] for w in words]
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                memo.pop(w)
+    def learn(self, new: pa.Array) -> None:
+        """Add pieces to what is known."""
+        letters = _matches(new, self.one_word) & _matches(new, _OLD_BLOCKS)
+        inner = rf"[^{_ANY_SPACE}]"
+        safe = letters | _matches(new, rf"^[\t-\r ]*({inner}(?s:.*{inner})?)?$")
+        groups = [new.filter(pa.array(x)) for x in (letters, safe & ~letters, ~safe)]
+        flat, counts = array("I"), array("q")
+        if len(groups[0]):
+            tokenize, add, count = self.model.tokenize, flat.extend, counts.append
+            formed = self.form("\n".join(self.words(groups[0]).to_pylist())).encode()
+            for w in self.letters[np.frombuffer(formed, np.uint8)].tobytes().decode("utf-32-le").split("\n"):
+                ids = [t.id for t in tokenize(w)]
+                add(ids)
+                count(len(ids))
+        for at in range(0, len(groups[1]), TOGETHER):
+            for e in self.library.encode_batch_fast(groups[1].slice(at, TOGETHER).to_pylist(), add_special_tokens=False):
+                flat.extend(e.ids)
+                counts.append(len(e.ids))
+        n = np.concatenate([np.frombuffer(counts, np.int64) if counts else np.zeros(0, np.int64), np.zeros(len(groups[2]), np.int64)])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.flat = np.concatenate([self.flat, np.frombuffer(flat, "<u4") if flat else np.zeros(0, "<u4")])
+        self.safe = np.concatenate([self.safe, np.arange(len(n)) < len(n) - len(groups[2])])
+        self.pieces = pa.concat_arrays([self.pieces, *groups])
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece stands among those known, after learning the new ones; long ones follow the others."""
+        if len(self.pieces) > MEMO_WORDS:
+            self.forget()
+        at = pc.index_in(pieces, value_set=self.pieces)
+        missing = at.null_count
+        if not missing:
+            return at.to_numpy(zero_copy_only=False)
+        new = pieces.filter(pc.is_null(at))
+        long = pc.greater(pc.binary_length(new), MEMO_BYTES)
+        begin = len(self.pieces)
+        self.learn(new.filter(pc.invert(long)))
+        self.kept = len(self.pieces)
+        if pc.any(long).as_py():
+            self.learn(new.filter(long))
+        out = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+        out[out < 0] = begin + pc.index_in(new, value_set=self.pieces.slice(begin)).to_numpy(zero_copy_only=False)
         return out
 
-    def runs(self, words: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        safe = np.array([w is not None for w in words], bool)
-        lengths = np.array([len(w) // 4 if w is not None else 0 for w in words], np.int64)
-        starts = np.zeros(len(words), np.int64)
-        np.cumsum(lengths[:-1], out=starts[1:])
-        return np.frombuffer(b"".join(w for w in words if w), "<u4"), starts, lengths, safe
+    def drop_long(self) -> None:
+        if self.kept < len(self.pieces):
+            self.pieces = self.pieces.take(pa.array(range(self.kept), pa.int32()))
+            self.flat = self.flat[: self.starts[self.kept]].copy()
+            self.starts, self.lengths, self.safe = self.starts[: self.kept], self.lengths[: self.kept], self.safe[: self.kept]
 
-    def finish(self, texts: pa.Array, offsets, codes, words) -> list[np.ndarray]:
-        flat, starts, lengths, safe = self.runs(words)
-        ids, at = gather(flat, starts, lengths, codes)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text; none may be null."""
+        if not len(texts):
+            return []
+        offsets, codes, pieces = cut_pieces(texts)
+        codes = self.places(pieces)[codes] if len(pieces) else codes
+        ids, at = gather(self.flat, self.starts, self.lengths, codes)
         bad = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(~safe[codes], out=bad[1:])
+        np.cumsum(~self.safe[codes], out=bad[1:])
         bad = bad[offsets[1:]] > bad[offsets[:-1]]
+        self.drop_long()
         cut = at[offsets].tolist()
         return [self.whole(texts[i].as_py()) if bad[i] else ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
 
 
 class SpacedEncoder(_Encoder):
-    """For byte-level BPE whose pre-tokens may begin with one space: a single space between other characters begins a pre-token."""
+    """For byte-level BPE whose pre-tokens may begin with one space."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.first: dict[str, bytes | None] = {}
-
-    def stays(self, word: str) -> bool:
-        return True
+    one_word = r"^ ?\p{L}+$"
 
-    def form(self, word: str, before: str) -> str:
-        """What the byte-level step makes of letters."""
-        if word.isascii():
-            return "\u0120" + word if before else word
-        return (before + word).encode().decode("latin-1").translate(self.letters)
+    def words(self, pieces: pa.Array) -> pa.Array:
+        return pieces
 
-    def fits(self, w: str) -> bool:
-        return bool(w) and not w[0].isspace() and not w[-1].isspace()
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text; none may be null."""
-        if not len(texts):
-            return []
-        offsets, codes, words = split_words(texts, line_ends=False)
-        heads = codes[offsets[:-1]]
-        own, place = np.unique(heads, return_inverse=True)
-        codes = codes.copy()
-        codes[offsets[:-1]] = len(words) + place
-        found = self.bytes_of(words, " ", self.memo) + self.bytes_of([words[i] for i in own], "", self.first)
-        return self.finish(texts, offsets, codes, found)
+    def form(self, words: str) -> str:
+        return words
 
 
 class WordEncoder(_Encoder):
-    """For tokenizers that drop white space: every space and line end separates."""
+    """For tokenizers that compose, lower-case and drop white space."""
 
-    def fits(self, w: str) -> bool:
-        return True
+    one_word = r"^[\t-\r ]*\p{L}+$"
 
-    def stays(self, word: str) -> bool:
-        return self.normal(word).isalpha()
+    def words(self, pieces: pa.Array) -> pa.Array:
+        return pc.ascii_ltrim_whitespace(pieces)
 
-    def normal(self, word: str) -> str:
-        return "".join([c.lower() for c in unicodedata.normalize("NFC", word)])  # by letter: no rule for a final sigma
-
-    def form(self, word: str, before: str) -> str:
-        """What normalization and the byte-level step make of letters."""
-        if word.isascii():
-            return word.lower()
-        return self.normal(word).encode().decode("latin-1").translate(self.letters)
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text; none may be null."""
-        if not len(texts):
-            return []
-        offsets, codes, words = split_words(texts)
-        return self.finish(texts, offsets, codes, self.bytes_of(words, "", self.memo))
+    def form(self, words: str) -> str:
+        """Composed and lower-cased; a final sigma is like any other."""
+        return unicodedata.normalize("NFC", words).replace("\u03a3", "\u03c3").lower()
 
 
 _ENCODERS: dict[tuple[type, str], _Encoder] = {}
