@@ -15,7 +15,10 @@ suspected and shuffled, and results stay the same.
 
 A null or empty text is one empty line.  Documents with a null id are neither
 counted nor changed.  Rows that share a ``doc_id`` are one document in the
-count.  Other columns pass through ``dedup_lines`` unchanged.
+count; each loses its own lines, by its text.  A line that a document repeats is
+lost each time or never.  Texts of any length are worked on whole; an empty
+table gives an empty one.  Other columns pass through ``dedup_lines`` unchanged,
+whatever their names but for those that begin with ``__tl_``.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,20 +36,23 @@ from tapeloom.llm.common import cut, read_table
 from tapeloom.llm.tokens import text_slices
 
 STRIPPED = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bits of a segment, the unit in which filters are merged.
 SEGMENT = 1 << 18
 HASHES = 2
 
 
-def line_key(line: str) -> str:
-    key = line.strip(STRIPPED)
-    return key.lower() if key.isascii() else key.translate(_LOWER)
+def _keys(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of all lines of some texts whose key is long enough: the text's place, the line's place in it, the key."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = pc.ascii_lower(pc.ascii_trim(lists.flatten(), characters=STRIPPED))
+    long = np.flatnonzero(pc.utf8_length(keys).to_numpy(zero_copy_only=False) >= least)
+    text = np.repeat(np.arange(len(n)), n)[long]
+    return text, long - (np.cumsum(n) - n)[text], keys.take(pa.array(long)).cast(pa.binary())
 
 
-def line_keys(text: str | None, least: int) -> list[str | None]:
-    """Key of each line, or None where it is too short to count."""
-    return [k if len(k := line_key(line)) >= least else None for line in (text or "").split("\n")]
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -54,8 +61,8 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask])
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.sha256(key.encode()).digest()
+def _digest(key: bytes) -> bytes:
+    return hashlib.sha256(key).digest()
 
 
 def _partial_filters(docs: DataFrame, bits: int, least: int) -> DataFrame:
@@ -65,11 +72,16 @@ def _partial_filters(docs: DataFrame, bits: int, least: int) -> DataFrame:
     def run(batches):
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in text_slices(batches):
-            ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
-            found = [xxhash.xxh3_64_intdigest(k) for i, t in zip(ids, texts) if i is not None for k in {k for k in line_keys(t, least) if k is not None}]
-            if not found:
+            b = b.filter(pc.is_valid(b.column("id")))
+            text, _, keys = _keys(b.column("text"), least)
+            if not len(keys):
                 continue
-            for row in _places(np.array(found, np.uint64), bits):
+            own = _hashes(keys.to_pylist())
+            # a key that a document repeats counts once
+            order = np.lexsort((own, text))
+            own, text = own[order], text[order]
+            new = np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1]))
+            for row in _places(own[new], bits):
                 place, times = np.unique(row, return_counts=True)
                 byte, bit = (place >> np.uint64(3)).astype(np.int64), np.left_shift(1, (place & np.uint64(7)).astype(np.int64)).astype(np.uint8)
                 seen = (once[byte] & bit) != 0
@@ -124,48 +136,61 @@ def repeat_filter(docs: DataFrame, least: int, bits_per_line: int, max_bits: int
 
 
 def repeated_lines(docs: DataFrame, least: int = 10, bits_per_line: int = 16, max_bits: int = 1 << 29) -> DataFrame:
-    """``id, digests``: per document the digests of keys that a smaller id holds as well.  ``docs`` has ``id, text``."""
+    """``id, mark, at``: of each document (id and its text's mark) the places of lines whose key a smaller id holds as well.
+
+    ``docs`` has ``id, text, mark``.
+    """
     spark = docs.sparkSession
     filt = spark.sparkContext.broadcast(repeat_filter(docs, least, bits_per_line, max_bits))
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("digest", pa.binary()), ("at", pa.int32())])
 
     def suspects(batches):
         f = filt.value
         bits = len(f) * 8
         for b in text_slices(batches):
-            ids, keys = [], []
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                if i is not None:
-                    own = [k for k in dict.fromkeys(line_keys(t, least)) if k is not None]
-                    keys += own
-                    ids += [i] * len(own)
-            if not keys:
+            b = b.filter(pc.is_valid(b.column("id")))
+            text, at, keys = _keys(b.column("text"), least)
+            if not len(keys):
                 continue
+            keys = keys.to_pylist()
             hit = np.ones(len(keys), bool)
-            for place in _places(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits).astype(np.int64):
+            for place in _places(_hashes(keys), bits).astype(np.int64):
                 hit &= (f[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            where = np.flatnonzero(hit).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in where], pa.int64()), pa.array([_digest(keys[j]) for j in where], pa.binary())], schema=schema)
+            where = np.flatnonzero(hit)
+            text = pa.array(text[where])
+            digests = pa.array([_digest(keys[j]) for j in where.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(text), b.column("mark").take(text), digests, pa.array(at[where], pa.int32())], schema=schema)
 
-    held = cut(docs.mapInArrow(suspects, "id long, digest binary"))
+    held = cut(docs.mapInArrow(suspects, "id long, mark long, digest binary, at int"))
     # a table of its own, so that the join below is of two plain shuffles, of which Spark can split a hot digest's
     first = cut(held.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
-    lost = held.join(first, "digest").where("id > first").select("id", "digest")
-    return lost.groupBy("id").agg(F.collect_set("digest").alias("digests"))
+    lost = held.join(first, "digest").where("id > first")
+    return lost.groupBy("id", "mark").agg(F.collect_set("at").alias("at"))
 
 
-def _kept(text: str | None, lost: set[bytes], least: int) -> tuple[int, int, str]:
-    lines = (text or "").split("\n")
-    if not lost:
-        return len(lines), 0, text or ""
-    kept = [line for line in lines if len(k := line_key(line)) < least or _digest(k) not in lost]
-    return len(lines), len(lines) - len(kept), "\n".join(kept)
+def _kept(text: bytes, lost: np.ndarray | None) -> tuple[int, int, bytes]:
+    """Lines of a text, lines lost, and what is left of it."""
+    if lost is None:
+        return text.count(b"\n") + 1, 0, text
+    lines = text.split(b"\n")
+    gone = set(lost.tolist())
+    return len(lines), len(gone), b"\n".join([line for k, line in enumerate(lines) if k not in gone])
 
 
 def _with_lost(docs: DataFrame, id_col: str, text_col: str, least: int, **size) -> DataFrame:
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    lost = repeated_lines(plain, least, **size).withColumnsRenamed({"id": "__tl_id", "digests": "__tl_digests"})
-    return docs.join(lost, docs[id_col].cast("long") == F.col("__tl_id"), "left").drop("__tl_id")
+    """``docs`` with ``__tl_at``, the places of the lines that a document loses."""
+    marked = docs.withColumn("__tl_mark", F.xxhash64(text_col))
+    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(text_col).alias("mark"))
+    lost = repeated_lines(plain, least, **size).withColumnsRenamed({"id": "__tl_id", "mark": "__tl_own", "at": "__tl_at"})
+    same = (marked[id_col].cast("long") == F.col("__tl_id")) & (F.col("__tl_mark") == F.col("__tl_own"))
+    return marked.join(lost, same, "left").drop("__tl_id", "__tl_own", "__tl_mark")
+
+
+def _texts_and_lost(b: pa.RecordBatch, text_col: str):
+    lists = b.column("__tl_at")
+    flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for k, (t, some) in enumerate(zip(pc.fill_null(b.column(text_col).cast(pa.binary()), b"").to_pylist(), lists.is_valid().to_pylist())):
+        yield t, flat[cuts[k] : cuts[k + 1]] if some else None
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, **size) -> DataFrame:
@@ -173,11 +198,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for b in text_slices(batches, text_col):
-            texts = b.column(text_col).to_pylist()
-            lost = b.column("__tl_digests").to_pylist()
-            new = [t if not d else _kept(t, set(d), least)[2] for t, d in zip(texts, lost)]
-            cols = [pa.array(new, b.schema.field(c).type) if c == text_col else b.column(c) for c in b.schema.names if c != "__tl_digests"]
-            yield pa.RecordBatch.from_arrays(cols, names=[c for c in b.schema.names if c != "__tl_digests"])
+            new = [None if lost is None else _kept(t, lost)[2].decode() for t, lost in _texts_and_lost(b, text_col)]
+            field = b.schema.field(text_col).type
+            text = pc.coalesce(pa.array(new, field), b.column(text_col))
+            names = [c for c in b.schema.names if c != "__tl_at"]
+            yield pa.RecordBatch.from_arrays([text if c == text_col else b.column(c) for c in names], names=names)
 
     return _with_lost(docs, id_col, text_col, least, **size).mapInArrow(run, docs.schema)
 
@@ -188,13 +213,13 @@ def line_report(docs: DataFrame, least: int = 10, **size) -> DataFrame:
 
     def run(batches):
         for b in text_slices(batches):
-            rows = [_kept(t, set(d or ()), least) for t, d in zip(b.column("text").to_pylist(), b.column("__tl_digests").to_pylist())]
+            rows = [_kept(t, lost) for t, lost in _texts_and_lost(b, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string()),
+                    pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string()),
                 ],
                 schema=schema,
             )
