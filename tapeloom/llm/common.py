@@ -5,15 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-#: Rows of an Arrow batch that are worked on at a time; long texts make larger slices needless.
-SLICE_ROWS = 256
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) a fresh temporary one."""
+    """Folder all executors share: ``spark.checkpoint.dir``, or where that is unset a fresh temporary one, in local mode only."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
@@ -21,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapeloom-shared-"))
     return sc.getCheckpointDir()
 
@@ -48,12 +47,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches, rows: int = SLICE_ROWS):
-    """Arrow batches cut into short record batches, so that Python objects of few texts live at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def hash_below(hashed: Column, wanted: int, count: int) -> Column:
+    """Is a 64-bit hash among the lowest, so that of ``count`` rows about ``wanted`` are?  Holds for any count, however large."""
+    if wanted >= count:
+        return F.lit(True)
+    return hashed < F.lit(-(1 << 63) + max(1, (wanted << 64) // count))
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def bounded(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df`` (a written table of ids) to be broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -45,51 +45,58 @@ def log10_likelihood(model: dict[str, np.ndarray], classes: np.ndarray, offsets:
     return out
 
 
+#: Steps between which forward and backward values are scaled; emissions are scaled to a largest of 1 for each token.
+SCALED_EVERY = 4
+
+
 def expectations(model: dict[str, np.ndarray], classes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Expected counts of first states, transitions and emissions over all sequences."""
+    """Expected counts of first states, transitions and emissions over all whole sequences, and their log likelihood."""
     states, kinds = model["emit"].shape
-    got = {"first": np.zeros(states), "trans": np.zeros((states, states)), "emit": np.zeros((states, kinds))}
+    got = {"first": np.zeros(states), "trans": np.zeros((states, states)), "emit": np.zeros((states, kinds)), "loglik": np.zeros(1)}
     tm = TimeMajor(offsets)
     if not len(tm.order):
         return got
     own = classes[tm.places()]
-    e = model["emit"].T.astype(np.float32)[own]
-    trans = model["trans"].astype(np.float32)
-    alpha = np.empty_like(e)
-    scale = np.empty(len(e), np.float32)
+    top = model["emit"].max(axis=0)
+    after = (model["emit"] / top).T.astype(np.float32)[own]  # emissions; times the backward value below
+    trans, back = model["trans"].astype(np.float32), np.ascontiguousarray(model["trans"].T.astype(np.float32))
+    alpha, beta, scale = np.empty_like(after), np.ones_like(after), np.ones(len(after), np.float32)
     at, active = tm.at.tolist(), tm.active.tolist()
-    for t, n in enumerate(active):
-        a = e[at[t] : at[t + 1]] * (alpha[at[t - 1] : at[t - 1] + n] @ trans if t else model["first"].astype(np.float32))
-        s = a.sum(axis=1)
-        scale[at[t] : at[t + 1]] = s
-        alpha[at[t] : at[t + 1]] = a / s[:, None]
-    beta = np.ones((active[-1], states), np.float32)
+    room = np.empty((active[0], states), np.float32)
+    np.multiply(after[: active[0]], model["first"].astype(np.float32), out=alpha[: active[0]])
+    for t, n in enumerate(active[1:], 1):
+        here, before = alpha[at[t] : at[t + 1]], at[t - 1]
+        np.matmul(alpha[before : before + n], trans, out=room[:n])
+        np.multiply(room[:n], after[at[t] : at[t + 1]], out=here)
+        if t % SCALED_EVERY == 0:
+            s = scale[at[t] : at[t + 1]] = here.sum(axis=1)
+            here /= s[:, None]
     for t in range(len(active) - 1, -1, -1):
-        here = slice(at[t], at[t + 1])
-        after = e[here] * beta
-        after /= scale[here, None]
-        alpha_t = alpha[here]
-        if t:
-            before = alpha[at[t - 1] : at[t - 1] + active[t]]
-            got["trans"] += trans * (before.T @ after)
-        e[here] = alpha_t * beta  # the posterior takes the emission's place
+        here, b = after[at[t] : at[t + 1]], beta[at[t] : at[t + 1]]
+        if t % SCALED_EVERY == 0:
+            b /= b.sum(axis=1)[:, None]
+        np.multiply(here, b, out=here)
         if t:
-            beta = np.ones((active[t - 1], states), np.float32)
-            beta[: active[t]] = after @ trans.T
-    got["first"] = e[: active[0]].sum(axis=0, dtype=np.float64)
+            np.matmul(here, back, out=beta[at[t - 1] : at[t - 1] + active[t]])
+    steps = np.diff(offsets)[tm.order]
+    ends = alpha[tm.at[steps - 1] + np.arange(len(steps))].sum(axis=1, dtype=np.float64)
+    got["loglik"][0] = np.log(top)[own].sum() + np.log(scale, dtype=np.float64).sum() + np.log(ends).sum()
+    beta *= alpha  # posteriors, but for their sum
+    total = np.maximum(beta.sum(axis=1), np.float32(1e-37))
+    beta /= total[:, None]
+    if len(active) > 1:
+        later = slice(active[0], None)
+        total[later] *= scale[later]
+        after[later] /= total[later, None]
+        t = np.repeat(np.arange(1, len(active)), active[1:])
+        source = np.arange(active[0], len(alpha)) - tm.at[t] + tm.at[t - 1]
+        got["trans"] = model["trans"] * (alpha[source].T @ after[later]).astype(np.float64)
+    got["first"] = beta[: active[0]].sum(axis=0, dtype=np.float64)
     for k in range(states):
-        got["emit"][k] = np.bincount(own, weights=e[:, k], minlength=kinds)
+        got["emit"][k] = np.bincount(own, weights=beta[:, k], minlength=kinds)
     return got
 
 
-def cut_sequences(offsets: np.ndarray, most: int) -> np.ndarray:
-    """Offsets with long sequences cut into runs of at most ``most``."""
-    n = np.diff(offsets)
-    runs = -(-n // most)
-    k = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    return np.append(np.repeat(offsets[:-1], runs) + k * most, offsets[-1])
-
-
 def maximized(got: dict[str, np.ndarray], prior: np.ndarray, unknown: int, p_unknown: float, weight: float = 100.0) -> dict[str, np.ndarray]:
     """Parameters from expected counts, emissions smoothed towards ``prior``; the unknown class has one probability in all states."""
     emit = got["emit"] + weight * prior

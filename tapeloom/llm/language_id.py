@@ -1,18 +1,23 @@
 """Language identification by spans.
 
 A word's letters fall into script ranges; only the languages whose training text
-uses the word's script are candidates for it.  A word's score for a language is
-the sum of its letter trigrams' log-probabilities there.  Viterbi over a
-document's words, with a penalty for each switch of language, labels spans; the
-language with the most letters is the document's, and its share of the letters
-the score.
+uses the script of most of the word's letters are candidates for it.  A word's
+score for a language is the sum of its letter trigrams' log-probabilities there.
+Viterbi over a document's words, with a penalty for each switch of language,
+labels spans; the language with the most letters is the document's.  The score
+is that language's mean probability over the document's letters, each word's
+candidates being weighed by the word alone: it is low where spans of other
+languages are long, where words fit several languages, and where no language
+uses the script.
 
 The model is a table of hashed trigrams by language: its size is fixed, and it
-is fitted on a bounded sample of documents for each language.
+is fitted on a bounded sample, at most about ``per_language`` distinct texts of
+each language.
 
 ``und`` with score 0 is given for null texts and texts without a letter; where
-nothing could be learned every text gets that.  Repeated rows are labelled each
-time; very long texts are worked on whole.
+nothing could be learned every text gets that.  Of equal languages the first by
+name is taken.  Repeated rows are labelled each time; very long texts are worked
+on whole; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,10 +90,18 @@ class WordModel:
         letter = np.zeros(len(points) + 1, np.int64)
         np.cumsum(script > 0, out=letter[1:])
         letters = letter[at[1:]] - letter[starts]
-        # candidates: languages that use the script of the word's first letter
-        place = np.where(script > 0, np.arange(len(points)), len(points))
-        first = np.minimum.reduceat(place, starts) if len(starts) else place[:0]
-        kind = np.append(script, 0)[first].astype(np.int64)
+        # candidates: languages that use the script of most of the word's letters
+        kinds = len(SCRIPTS) + 2
+        word = np.searchsorted(starts, np.arange(len(points)), side="right") - 1
+        own = np.flatnonzero(script > 0)
+        common = np.bincount(script[own], minlength=kinds)
+        kind = np.zeros(len(starts), np.int64)
+        if np.count_nonzero(common) == 1:
+            kind[word[own]] = int(common.argmax())
+        elif len(own):
+            pairs, times = np.unique(word[own] * kinds + script[own], return_counts=True)
+            order = np.lexsort((-pairs, times))  # of equally many letters the lower range
+            kind[pairs[order] // kinds] = pairs[order] % kinds
         allowed = self.uses[kind]
         some = allowed.any(axis=1)
         scores[some] = np.where(allowed[some], scores[some], -1e4)
@@ -102,11 +115,11 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = SWITCH) ->
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
     begin, n = offsets[:-1][order], n[order]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if not len(order):
         return labels
     switched = np.zeros(scores.shape, bool)
-    source = np.zeros(len(scores), np.int8)
+    source = np.zeros(len(scores), np.int16)
     value = scores[begin].copy()
     active = np.searchsorted(-n, -np.arange(1, n[0]), side="left") if n[0] > 1 else np.zeros(0, np.int64)  # sequences longer than t
     for t, k in enumerate(active.tolist(), 1):
@@ -128,29 +141,49 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = SWITCH) ->
     return labels
 
 
-def label_documents(model: WordModel, texts: pa.Array) -> tuple[list[str], list[float]]:
-    """Language and score of each text; none may be null."""
+def label_documents(model: WordModel, texts: pa.Array) -> tuple[list[str], np.ndarray, pa.Array]:
+    """Language, score and spans of each text; none may be null."""
     offsets, codes, words = split_words(texts)
     scores, letters = model.words(words)
     labels = viterbi(scores[codes], offsets)
-    size = len(model.langs)
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    weight = np.bincount(doc * size + labels, weights=letters[codes], minlength=len(texts) * size).reshape(len(texts), size)
+    size, n = len(model.langs), np.diff(offsets)
+    doc = np.repeat(np.arange(len(texts)), n)
+    own = letters[codes]
+    weight = np.bincount(doc * size + labels, weights=own, minlength=len(texts) * size).reshape(len(texts), size)
     total, best = weight.sum(axis=1), weight.argmax(axis=1)
-    share = weight[np.arange(len(texts)), best] / np.maximum(total, 1)
-    return [model.langs[b] if t else "und" for b, t in zip(best.tolist(), total.tolist())], np.where(total > 0, share, 0.0).tolist()
+    chance = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+    chance /= chance.sum(axis=1, keepdims=True)
+    sure = np.bincount(doc, weights=own * chance[codes, best[doc]], minlength=len(texts)) / np.maximum(total, 1)
+    # a span: words in a row with one label; its place and size in characters, without the space after it
+    begins = np.ones(len(codes), bool)
+    begins[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
+    chars = np.fromiter(map(len, words), np.int64, len(words))[codes] + 1
+    at = np.cumsum(chars) - chars
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(codes)) - 1
+    base = at[np.minimum(offsets[:-1], max(len(codes) - 1, 0))] if len(codes) else np.zeros(len(texts), np.int64)
+    start = at[first] - base[doc[first]]
+    length = at[last] + chars[last] - 1 - at[first]
+    spans = pa.StructArray.from_arrays(
+        [pa.array(start), pa.array(length), pa.DictionaryArray.from_arrays(pa.array(labels[first].astype(np.int32)), pa.array(model.langs, pa.string())).dictionary_decode()], ["start", "length", "lang"]
+    )
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets).astype(np.int32)), spans)
+    return [model.langs[b] if t else "und" for b, t in zip(best.tolist(), total.tolist())], np.where(total > 0, sure, 0.0), lists
 
 
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> WordModel:
-    """Count trigrams of at most about ``per_language`` documents of each language, chosen by a hash of their id."""
-    learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Count trigrams of at most about ``per_language`` distinct texts of each language, the lowest by a 64-bit hash."""
+    hashed = F.xxhash64("text", "doc_id")
+    learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", hashed.alias("hashed"))
+    counts = {r["lang"]: r for r in learn.groupBy("lang").agg(F.approx_count_distinct("hashed").alias("n"), F.min("hashed").alias("least")).collect()}
     langs = sorted(counts)
     if not langs:
         return WordModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS) + 2, 0), bool))
     place = {x: i for i, x in enumerate(langs)}
-    share = F.create_map(*[F.lit(y) for x in langs for y in (x, int(1e6 * min(1.0, per_language / counts[x])))])
-    sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    # the highest hash of the sample by language; the least of all is always in it
+    upto = {x: (1 << 63) - 1 if r["n"] <= per_language else max(r["least"], (per_language << 64) // r["n"] - (1 << 63)) for x, r in counts.items()}
+    share = F.create_map(*[F.lit(y) for x in langs for y in (x, upto[x])])
+    sample = learn.where(F.col("hashed") <= share[F.col("lang")]).dropDuplicates(["lang", "hashed"]).select("lang", "text")
     schema = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -178,21 +211,26 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Wor
     return WordModel(langs, np.clip(logp, logp.max(axis=1, keepdims=True) - 6, None), uses)
 
 
+SPANS = "array<struct<start: bigint, length: bigint, lang: string>>"
+
+
 def languages(docs: DataFrame, model: WordModel) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    """``doc_id, lang_pred, score, spans`` of every document; spans are in characters of the text."""
+    span = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("lang", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         for b in text_slices(batches):
             if b.num_rows and m.langs:
-                lang, score = label_documents(m, pc.fill_null(b.column("text"), ""))
+                lang, score, spans = label_documents(m, pc.fill_null(b.column("text"), ""))
             else:
-                lang, score = ["und"] * b.num_rows, [0.0] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
+                lang, score, spans = ["und"] * b.num_rows, [0.0] * b.num_rows, [[]] * b.num_rows
+            spans = spans.cast(pa.list_(span)) if isinstance(spans, pa.Array) else pa.array(spans, pa.list_(span))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), spans], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {SPANS}")
 
 
 def held_out(divisor: int, remainder: int = 2):
@@ -203,4 +241,4 @@ def held_out(divisor: int, remainder: int = 2):
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(~held_out(4)))
-    return languages(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+    return languages(docs, model).select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -10,8 +10,9 @@ exact probability of a whole text.  Probabilities sum to 1 over the V known
 tokens and one unknown.
 
 The unknown class has the share of tokens that are seen once in training
-(Good-Turing).  A start for the states is found on a bounded sample; the rounds
-that count run over all training texts, cut for this into runs of RUN tokens.
+(Good-Turing).  States start from the corpus' counts, each varied at random;
+every round runs over all training texts, whole, and rounds end when a token's
+mean log likelihood gains less than ``SETTLED``, or after ``ROUNDS``.
 
 How the corpus' counts reach the texts: a slice of texts (a block) is coded
 against its own distinct words; counts are summed by word over blocks, and go
@@ -19,8 +20,11 @@ back to the blocks' words, so that a word is shuffled once a block however often
 it occurs.  What is broadcast (frequent words' classes, parameters) is bounded by
 the number of classes.
 
-Null and empty texts are their end alone.  Repeated rows count each time.  A
-null id counts as training.  With no training text the score is the base score.
+Null and empty texts are their end alone.  Repeated rows count and are scored
+each time.  A null id counts as training.  Of words equally frequent the lesser
+is a class of its own first.  Texts of any length are one sequence; a task's
+memory grows with its longest.  With no training text the score is the base
+score; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import materialize, read_table
-from tapeloom.llm.hmm import cut_sequences, expectations, log10_likelihood, maximized, random_model
+from tapeloom.llm.hmm import expectations, log10_likelihood, maximized, random_model
 from tapeloom.llm.language_id import held_out
 from tapeloom.llm.tokens import text_slices
 
@@ -40,10 +44,11 @@ FREQUENT, ENDINGS, STATES = 8000, 1024, 8
 END, UNKNOWN = FREQUENT + ENDINGS, FREQUENT + ENDINGS + 1
 KINDS = UNKNOWN + 1
 PACK = 1 << 14
-#: Texts and tokens of each, at most, of the sample for the start; its rounds; rounds over everything.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 1500, 4000, 25, 2
-RUN = 256
-BLOCK_BYTES = 12 << 20
+#: Rounds of Baum-Welch at most; gain a token (natural log) below which they end.
+ROUNDS, SETTLED = 8, 0.01
+#: Tokens of texts that are put in order of length, and of those worked on side by side.
+SORTED, SIDE_BY_SIDE = 1 << 22, 1 << 19
+BLOCK_BYTES, BLOCKS_A_TASK = 12 << 20, 2
 
 CODED = "block long, doc_id long, held boolean, codes binary, code int, word string, n long"
 
@@ -149,6 +154,10 @@ def _with_kinds(coded: DataFrame, classed: DataFrame, total: int, known: int, si
         )
 
     docs = coded.where("codes is not null").select("block", "doc_id", "held", "codes")
+    # a task has few blocks, however many there are
+    blocks = docs.agg(F.approx_count_distinct("block")).first()[0]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // BLOCKS_A_TASK)
+    docs, words = docs.repartition(parts, "block"), words.repartition(parts, "of")
     return docs.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(block, out)
 
 
@@ -160,6 +169,36 @@ def _sequences(batches, most: int = 1 << 18):
             yield b, np.frombuffer(b"".join(b.column("kinds").to_pylist()), "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(n)])
 
 
+def _by_length(batches):
+    """Kinds and offsets of whole texts of about one length, so that few steps are for long ones alone."""
+
+    def groups(texts: list[bytes]):
+        texts.sort(key=len)
+        own, n = [], 0
+        for t in texts:
+            if own and n + len(t) > 2 * SIDE_BY_SIDE:
+                yield own
+                own, n = [], 0
+            own.append(t)
+            n += len(t)
+        yield own
+
+    def held():
+        texts, n = [], 0
+        for b in batches:
+            for t in b.column("kinds").to_pylist():
+                texts.append(t)
+                n += len(t)
+                if n > 2 * SORTED:
+                    yield from groups(texts)
+                    texts, n = [], 0
+        if texts:
+            yield from groups(texts)
+
+    for own in held():
+        yield np.frombuffer(b"".join(own), "<u2").astype(np.int64), np.concatenate([[0], np.cumsum([len(t) // 2 for t in own])])
+
+
 #: Numbers in one piece of a table of counts, the unit in which tasks' counts are summed.
 PIECE = 1 << 12
 
@@ -168,12 +207,12 @@ def _round(rows: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.ndarra
     """Expected counts over all rows; tasks' tables are summed by piece, as a stream."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("piece", pa.int32()), ("sums", pa.binary())])
-    shapes = {k: model[k].shape for k in ("first", "trans", "emit")}
+    shapes = {k: model[k].shape for k in ("first", "trans", "emit")} | {"loglik": (1,)}
 
     def expect(batches):
         total = None
-        for _, kinds, offsets in _sequences(batches):
-            got = expectations(sent.value, kinds, cut_sequences(offsets, RUN))
+        for kinds, offsets in _by_length(batches):
+            got = expectations(sent.value, kinds, offsets)
             flat = np.concatenate([got[k].ravel() for k in shapes])
             total = flat if total is None else total + flat
         if total is not None:
@@ -190,6 +229,7 @@ def _round(rows: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
 
     parts = rows.select("kinds").mapInArrow(expect, "piece int, sums binary").repartition("piece").mapInArrow(add, "piece int, sums binary").collect()
+    sent.destroy()
     flat = np.concatenate([np.frombuffer(r["sums"], "<f8") for r in sorted(parts, key=lambda r: r["piece"])])
     got, at = {}, 0
     for k, shape in shapes.items():
@@ -199,19 +239,17 @@ def _round(rows: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return got
 
 
-def train(rows: DataFrame, size: np.ndarray, p_unknown: float) -> dict[str, np.ndarray]:
-    """``rows`` has ``doc_id, kinds`` of all training texts."""
+def train(rows: DataFrame, size: np.ndarray, p_unknown: float, rounds: int = ROUNDS, settled: float = SETTLED) -> dict[str, np.ndarray]:
+    """``rows`` has the ``kinds`` of all training texts; ``size`` their counts by kind."""
     prior = size / size.sum()
-    short = rows.where(F.octet_length("kinds") <= 2 * SAMPLE_TOKENS)
-    share = int(1e6 * min(1.0, SAMPLE / max(1, short.count())))
-    sample = short.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).orderBy("doc_id").select("kinds").toArrow().combine_chunks()
-    model = random_model(STATES, prior, UNKNOWN, p_unknown)
-    if sample.num_rows:
-        ((_, kinds, offsets),) = _sequences(sample.to_batches(), 1 << 40)
-        for _ in range(SAMPLE_ROUNDS):
-            model = maximized(expectations(model, kinds, cut_sequences(offsets, RUN)), prior, UNKNOWN, p_unknown)
-    for _ in range(ROUNDS):
-        model = maximized(_round(rows, model), prior, UNKNOWN, p_unknown)
+    model, last = random_model(STATES, prior, UNKNOWN, p_unknown), None
+    for _ in range(rounds):
+        got = _round(rows, model)
+        model = maximized(got, prior, UNKNOWN, p_unknown)
+        mean = float(got["loglik"][0]) / size.sum()
+        if last is not None and mean - last < settled:
+            break
+        last = mean
     return model
 
 

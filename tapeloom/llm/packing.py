@@ -12,7 +12,10 @@ best plan so far allows.  Where the waste bound shows that a plan can't be
 improved, the search ends.
 
 Texts are cut only where they exceed the capacity.  Null text is an empty one;
-with its end id it is a piece of length 1.  Repeated rows are packed each time.
+with its end id it is a piece of length 1.  Repeated rows are packed each time;
+pieces of one length are alike to the plan, and go by task and place in it.
+Texts of any length are encoded whole; an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations

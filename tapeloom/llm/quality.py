@@ -9,13 +9,16 @@ As a filter is linear in the embeddings, its response is a sum of table rows,
 one table for each place of the filter; training keeps the tables' factors
 (embedding and filter weights) and scoring looks bytes up in their products.
 
-The classifier is fitted on a bounded sample: at most about ``per_class``
-labelled documents of each class, chosen by a hash of their id, none longer than
-``most_bytes``.  Scoring takes whole texts of any length, in blocks.
-
-Null and empty texts are scored as a text of padding only.  Where a class is
-missing in the labels, the score is the other class's share.  Labels, language,
-source and id are never inputs of a score.
+The classifier is fitted on a bounded sample: at most ``per_class`` labelled ids
+of each class, the lowest by a 64-bit hash of the id, and of each the least of
+its texts, if no longer than ``most_bytes``.  Scoring takes whole texts of any
+length, in blocks; a text's score depends on its own bytes alone.
+
+Null and empty texts are scored as a text of padding only.  Repeated rows are
+scored each time, rows with a null id as well; an empty table gives an empty
+one; other columns pass through, whatever their names but for those that begin
+with ``__tl_``.  Where a class is missing in the labels, the score is the other
+class's share.  Labels, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import read_table
+from tapeloom.llm.common import hash_below, read_table
 from tapeloom.llm.language_id import held_out
 from tapeloom.llm.tokens import text_slices
 
@@ -75,9 +78,13 @@ class ByteCnn:
     def tables(self) -> np.ndarray:
         return np.einsum("be,wef->wbf", self.p["embed"], self.p["filters"]).astype(np.float32)
 
-    def segment_maxima(self, tables: np.ndarray, data: np.ndarray, places: bool = False):
-        """Each filter's largest response in each segment, and where it is."""
+    def segment_maxima(self, tables: np.ndarray, data: np.ndarray, segments: np.ndarray, places: bool = False):
+        """Each filter's largest response in each segment, and where it is.
+
+        Places at a text's end, where a filter would reach into the next text, don't count.
+        """
         total = len(data) - WIDTH
+        beyond = (np.cumsum(segments)[:, None] * SEGMENT - np.arange(WIDTH - 1, 0, -1)).ravel()
         best = np.empty((total // SEGMENT, FILTERS), np.float32)
         where = np.empty((total // SEGMENT, FILTERS), np.int64) if places else None
         for at in range(0, total, BLOCK):
@@ -85,6 +92,8 @@ class ByteCnn:
             r = tables[0][data[at : at + n]]
             for w in range(1, WIDTH):
                 r += tables[w][data[at + w : at + w + n]]
+            first, last = np.searchsorted(beyond, (at, at + n))
+            r[beyond[first:last] - at] = -np.inf
             r = r.reshape(-1, SEGMENT, FILTERS)
             own = slice(at // SEGMENT, (at + n) // SEGMENT)
             if places:
@@ -108,14 +117,14 @@ class ByteCnn:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         data, segments = layout(texts)
-        seg, _ = self.segment_maxima(self.tables() if tables is None else tables, data)
+        seg, _ = self.segment_maxima(self.tables() if tables is None else tables, data, segments)
         z = self.features(seg, segments)[-1] @ self.p["out"] + self.p["last"]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss.  Through the maxima a filter learns from one place of each chunk only."""
         data, segments = layout(texts)
-        seg, where = self.segment_maxima(self.tables(), data, places=True)
+        seg, where = self.segment_maxima(self.tables(), data, segments, places=True)
         pooled, bounds, chunks, starts, x = self.features(seg, segments)
         z = x @ self.p["out"] + self.p["last"]
         d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
@@ -173,19 +182,22 @@ class ByteCnn:
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> ByteCnn:
     """Fit on labelled documents that aren't held out; of repeated labels of an id the lowest counts.
 
-    The sample's ids are chosen among the labels: at most about 2 x per_class,
-    which are broadcast, so that no text is shuffled.  What comes to the driver
-    is at most about 2 x per_class x most_bytes bytes.
+    The sample's ids are chosen among the labels: at most 2 x per_class, which
+    are broadcast, so that no text is shuffled but theirs.  What comes to the
+    driver is at most 2 x per_class x most_bytes bytes.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label")).where(~held_out(4))
     counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return ByteCnn().fit([], np.array(list(counts), float), 0.5)
-    share = F.when(F.col("label") == 1, int(1e6 * min(1, per_class / counts[1]))).otherwise(int(1e6 * min(1, per_class / counts[0])))
-    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    hashed = F.xxhash64("doc_id")
+    chosen = [
+        own.where(F.col("label") == k).where(hash_below(hashed, 2 * per_class, n)).orderBy(hashed, "doc_id").limit(per_class) for k, n in sorted(counts.items())
+    ]
     short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).select("doc_id", "text")
-    got = short.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).toArrow()
-    texts = [(t or "").encode() for t in got.column("text").to_pylist()]
+    one = short.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    got = one.orderBy("doc_id").toArrow()
+    texts = [t.encode() for t in got.column("text").to_pylist()]
     return ByteCnn().fit(texts, got.column("label").to_numpy().astype(float), counts[1] / (counts[0] + counts[1]))
 
 

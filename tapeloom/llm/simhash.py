@@ -14,7 +14,9 @@ edges, checkpointed each round.
 Null and empty texts have no shingle and fingerprint 0.  A document with a null
 id gets its fingerprint and the component of its fingerprint, but is no
 component's least id unless it stands alone (then null).  Repeated rows are
-returned each time.
+returned each time.  Rows that share an id with different texts keep their own
+fingerprints, which link as others do.  Texts of any length are read whole, an
+empty table gives an empty one, other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ merge rank and place; the lowest is popped and merged again and again, and the
 word's count is its symbols less its merges.  A batch's distinct words are
 counted once each, and counts are kept from batch to batch in a bounded memo.
 
-Null and empty texts have 0 bytes and 0 tokens.  Repeated rows are counted each
-time; other columns are ignored.
+Null and empty texts have 0 bytes and 0 tokens.  Repeated rows and rows with a
+null id are counted each time; texts of any length are counted whole; an empty
+table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations

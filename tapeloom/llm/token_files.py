@@ -11,7 +11,9 @@ Columns: ``doc_id``; ``part``, the place of the row's file in that order;
 ``at``, the ids before the row in its part; ``n_tokens``; ``ids``.
 
 A null text is empty: it holds the end id alone.  A null ``doc_id`` sorts first;
-rows that share a ``doc_id`` keep an order by their text's hash.
+rows that share a ``doc_id`` keep an order by their text's hash.  Texts of any
+length are encoded whole, each in one row; an empty table gives files without
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ candidates stream past each block.
 
 Components are turned into ``floor(scale * x)``.  Vectors that are null, or hold
 null or non-finite components, take no part.  Vectors score only against those
-of their own length.  Queries that repeat an id are asked once; repeated
-candidates all count, except that none with the query's own id does.
+of their own length.  Of queries that repeat an id the least vector is asked;
+repeated candidates all count, except that none with the query's own id does.
+Vectors of any length are taken; empty tables give an empty one; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import read_table
+from tapeloom.llm.common import fresh_path, read_table
 
 #: Queries of a block, candidates scored at a time, bins of a histogram.
 QUERY_BLOCK, ROWS, BINS = 4096, 2048, 1024
@@ -142,14 +144,15 @@ def _winners(candidates: DataFrame, block, scale: int) -> DataFrame:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest scores, ties to the smaller id."""
     spark = candidates.sparkSession
-    asked, rows = _vectors(queries, id_col, vec_col).dropDuplicates(["id"]), _vectors(candidates, id_col, vec_col)
-    found = None
+    asked, rows = _vectors(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")), _vectors(candidates, id_col, vec_col)
+    path, found = fresh_path(spark, "winners"), False
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * scale).cast("double"), 2)))
+    # one row for each length of vectors
     lengths = asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).collect()
     for length in sorted(lengths, key=lambda r: r["dim"]):
         own = rows.where(F.size("v") == length["dim"])
         bound = (own.agg(F.max(norm)).first()[0] or 0.0) * length["norm"] + 1
-        blocks = -(-length["n"] // QUERY_BLOCK)
+        blocks = -(-2 * length["n"] // QUERY_BLOCK) if length["n"] > QUERY_BLOCK else 1
         block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
         for i in range(blocks):
             got = asked.where((F.size("v") == length["dim"]) & (block_of == i)).toArrow()
@@ -163,11 +166,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: int = 256, i
                     break
                 q.done = q.width == 1
                 _narrow(_histograms(own, sent, scale), q)
+                sent.destroy()
                 q.width = max(1, -(-q.width // BINS))
-            part = _winners(own, sent, scale)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+            # written block by block, so that the last plan doesn't grow with the number of blocks
+            _winners(own, sent, scale).write.mode("append").parquet(path)
+            sent.destroy()
+            found = True
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

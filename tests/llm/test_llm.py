@@ -190,8 +190,27 @@ def test_hmm_forward_equals_enumeration():
         for t, x in enumerate(s):
             p = (p @ model["trans"] if t else p) * model["emit"][:, x]
         assert abs(math.log10(p.sum()) - g) < 1e-9
+    seqs = [[0, 1, 4], [2], [], [3, 3, 1, 0], [1, 4, 4, 0, 2, 3, 1, 1], [0]]
+    flat, offsets = np.array([x for s in seqs for x in s]), np.cumsum([0, *map(len, seqs)])
     e = hmm.expectations(model, flat, offsets)
-    assert abs(e["emit"].sum() - len(flat)) < 1e-4 and abs(e["trans"].sum() - 5) < 1e-4 and abs(e["first"].sum() - 3) < 1e-4
+    want = {k: np.zeros_like(v) for k, v in model.items()}
+    loglik = 0.0
+    for s in filter(None, seqs):  # all paths of each sequence
+        paths = {}
+        for path in np.ndindex(*[3] * len(s)):
+            p = model["first"][path[0]] * model["emit"][path[0], s[0]]
+            for t in range(1, len(s)):
+                p *= model["trans"][path[t - 1], path[t]] * model["emit"][path[t], s[t]]
+            paths[path] = p
+        total = sum(paths.values())
+        loglik += math.log(total)
+        for path, p in paths.items():
+            want["first"][path[0]] += p / total
+            for t, (k, x) in enumerate(zip(path, s)):
+                want["emit"][k, x] += p / total
+                if t:
+                    want["trans"][path[t - 1], k] += p / total
+    assert abs(e["loglik"][0] - loglik) < 1e-4 and all(np.allclose(e[k], want[k], atol=1e-4) for k in want)
 
 
 def test_language_model_base_score_and_gain(docs, empty):
@@ -292,13 +311,74 @@ def test_contamination(spark, docs, empty):
     got = contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(g["doc_id"], g["item_id"]) for g in got} == {(1, 1), (3, 2), (4, 0), (7, 4)}
     assert contamination.contaminated(empty, bench).count() == 0 and contamination.contaminated(docs, bench.where("item_id < 0")).count() == 0
-    index = contamination.ItemIndex([(i, t) for i, t in items if t])
-    vocabulary = list(index.postings)
-    for _ in range(100):
-        own = set(r.sample(vocabulary, 30)) | set(r.choice(index.parts)[1][: r.randint(0, 60)])
-        full = {p: sum(x for t in own for q, x in index.postings.get(t, ()) if q == p) for p in range(len(index.parts))}
-        found = {p for k in range(index.n_blocks) for p, _ in index.search(own, k)}
-        assert found == {p for p, x in full.items() if x >= contamination.SCORE - 1e-12}
+
+
+def leaks_by_brute_force(texts, items):
+    """All windows against all parts of all items, on plain words."""
+    c, rows = contamination, []
+    split = [(i, c.words_of(t)) for i, t in items if t]
+    parts = [(k, w[a:z]) for k, (_, w) in enumerate(split) for a, z in zip(c.cuts(len(w)), c.cuts(len(w))[1:])]
+    df = collections.Counter(t for _, w in parts for t in set(w))
+    mean = sum(len(w) for _, w in parts) / max(1, len(parts))
+
+    def impacts(w):
+        tf = collections.Counter(w)
+        return {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (c.K1 + 1) / (n + c.K1 * (1 - c.B + c.B * len(w) / mean)) for t, n in tf.items()}
+
+    tables = [(k, impacts(w)) for k, w in parts]
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    for d, text in texts:
+        words = c.words_of(text)
+        hits = collections.defaultdict(dict)
+        for k in range(max(1, -(-(len(words) - c.STEP) // c.STEP))):
+            own = set(words[k * c.STEP : k * c.STEP + c.WINDOW])
+            for item, table in tables:
+                score = sum(x for t, x in table.items() if t in own) / sum(table.values())
+                if score >= c.SCORE - 1e-9:
+                    hits[item][k] = max(score, hits[item].get(k, 0))
+        for item, ks in hits.items():
+            i, w = split[item]
+            n, cut = min(c.GRAM, len(w)), len(w) - max(c.GRAM, len(w) // 4) if len(w) >= 2 * c.GRAM else 0
+            groups = []
+            for k in sorted(ks):
+                if groups and k * c.STEP - len(w) <= groups[-1][-1] * c.STEP + c.WINDOW + len(w):
+                    groups[-1].append(k)
+                else:
+                    groups.append([k])
+            for own in groups:
+                near = grams(words[max(0, own[0] * c.STEP - len(w)) : own[-1] * c.STEP + c.WINDOW + len(w)], n)
+                q, a = (len(grams(x, n) & near) / len(grams(x, n)) for x in ((w[:cut], w[cut:]) if cut else (w, w)))
+                if q >= c.OVERLAP and a >= c.OVERLAP:
+                    rows.append((d, i, len(own), max(ks[k] for k in own), q, a))
+    found = {}
+    for d, i, n, *x in rows:
+        have = found.setdefault((d, i), [0, 0, 0, 0])
+        found[d, i] = [have[0] + n, *map(max, have[1:], x)]
+    return found
+
+
+def test_contamination_equals_brute_force(spark):
+    r = random.Random(5)
+    rare = lambda n: [f"{r.choice(WORDS)}{r.randrange(60)}" for _ in range(n)]
+    items = [(i, " ".join(rare(n))) for i, n in enumerate([*range(1, 16), 20, 31, 40, 64, 65, 100, 129, 150, 200] * 2)]
+    items += [(3, items[10][1]), (500, items[20][1]), (None, "no id at all here"), (501, None), (502, "")]
+    texts = [(None, items[12][1]), (0, None), (1, ""), (2, " ".join(rare(5000)))]
+    for k, (i, t) in enumerate(items):
+        w = (t or "").split()
+        texts.append((10 + k, " ".join(rare(r.choice([0, 30, 300])) + w + rare(r.choice([0, 40])))))
+        if len(w) >= 15:
+            texts.append((200 + k, " ".join(rare(50) + w[: len(w) // 3] + rare(50))))  # a third of it
+            texts.append((300 + k, " ".join(rare(9) + ["changed" if j % 23 == 9 else x for j, x in enumerate(w)])))
+            texts.append((400 + k, " ".join(w[: -max(5, len(w) // 4)])))  # without the answer
+    texts += [texts[20], (700, items[5][1] + " and " + items[5][1] + " " + " ".join(rare(400)) + " " + items[5][1])]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(texts)], "doc_id long, text string, item_id long").repartition(3)
+    bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
+    want = leaks_by_brute_force(texts, [x for x in items if x[0] is not None])
+    assert all((10 + k, i) in want for k, (i, t) in enumerate(items) if t and i is not None) and not any(300 > d >= 200 or d >= 400 and d < 500 for d, _ in want if d)
+    for size in (contamination.INDEX_BYTES, 3000):  # one block of items, and several
+        got = {(x["doc_id"], x["item_id"]): list(x)[2:] for x in contamination.contaminated(df, bench, size).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and np.allclose(got[k][1:], want[k][1:], atol=1e-9) for k in want)
 
 
 def test_near_texts(spark, empty):
