@@ -1,29 +1,39 @@
-"""Near-duplicate texts: bands of shingle minima find pairs, word 5-gram shingles confirm them.
+"""Near-duplicate texts: SimHash balls and bands of shingle minima find pairs, word 5-gram shingles confirm them.
 
 Used by the corpus pipeline, where near-duplicates are texts whose sets of word
-5-grams have a Jaccard similarity of at least 0.8.  The search takes ROWS * BANDS
-minima of each set under as many hashes; ROWS of them make the key of a band, and
-texts with a key in common are candidates.  A pair of similarity J has no key in
-common with probability (1 - J ** ROWS) ** BANDS, which is 1.1e-10 at 0.8 and less
-above, whatever the length of the texts.  Candidates are verified on the shingles.
+5-grams have a Jaccard similarity of at least 0.8.  Candidates come first from
+the SimHash operator: fingerprints of the 5-word shingles within 2 bits, found
+by ball hashing.  As fingerprints of texts at 0.8 may differ in more bits, what
+they miss is found by ROWS * BANDS minima of each set under as many hashes; ROWS
+of them make the key of a band, and texts with a key in common are candidates.
+A pair of similarity J has no key in common with probability
+(1 - J ** ROWS) ** BANDS, which is 1.1e-10 at 0.8 and less above, whatever the
+length of the texts.  Candidates are verified on the shingles.
 
 Texts of the same words in the same order are one class first, by a digest, and
 cost one row each after that.  In a key's bucket a class is first compared with
 the least id there and with its neighbour.  What this links needs no more
 comparing; then all classes of a bucket that aren't linked so far are compared
 with each other, so that a failed check hides no pair.
+
+Null and empty texts are copies of each other.  A text of one to four words is
+one shingle.  Rows with a null id take no part.  Rows that share an id, repeated
+ones among them, stay or go together; other than copies they are found by each
+of their texts and verified on the least.  Texts of any length are read whole; an
+empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, materialize
-from tapeloom.llm.simhash import components, shingle_hashes
+from tapeloom.llm.simhash import _signed, components, fingerprint, linked_neighbours, shingle_hashes
 from tapeloom.llm.tokens import text_slices
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -42,10 +52,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _distinct(blocks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    blocks = list(shingle_hashes(text, SHINGLE))
-    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+    return _distinct(list(shingle_hashes(text, SHINGLE)))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -62,21 +75,23 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``id, class_key, n, keys``: digest of the words, number of shingles, a key for each band."""
-    schema = pa.schema([("id", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """``id, class_key, n, fp, keys``: digest of the words, number of shingles, SimHash fingerprint, a key for each band."""
+    schema = pa.schema([("id", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in text_slices(batches):
             texts = b.column("text").to_pylist()
             digests = [hashlib.sha256(b" ".join((t or "").encode().lower().split())).digest()[:16] for t in texts]
-            n, keys = [], []
+            n, prints, keys = [], [], []
             for t in texts:
-                own = shingle_set(t)
+                blocks = list(shingle_hashes(t, SHINGLE))
+                own = _distinct(blocks)
                 n.append(len(own))
+                prints.append(_signed(fingerprint(blocks)))
                 keys.append(band_keys(own))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.mapInArrow(run, "id long, class_key binary, n long, keys array<long>")
+    return docs.mapInArrow(run, "id long, class_key binary, n long, fp long, keys array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -145,17 +160,20 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``id, component`` for every document that isn't the least id of its group of near-duplicates, nulls apart."""
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
     signed = materialize(signatures(plain), "signatures")
-    classes = signed.groupBy("class_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = signed.groupBy("class_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = cut(classes)
+    alike = linked_neighbours(classes.where("n > 0").select("node", "fp"))
+    alike = alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    alike = cut(alike)
     buckets = materialize(_buckets(classes), "buckets")
-    wanted = buckets.select("node").distinct()
-    texts = plain.withColumnRenamed("id", "node").join(wanted, "node").dropDuplicates(["node"])
+    first = cut(_first_pairs(buckets).union(alike).distinct())
+    wanted = buckets.select("node").union(alike.select("a")).union(alike.select("b")).distinct()
+    texts = plain.withColumnRenamed("id", "node").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(_shingles(texts), "shingles")
-    first = cut(_first_pairs(buckets))
     edges = cut(_verified(first, sets, similar))
     found = components(edges)
     others = cut(_other_pairs(buckets, first, found, similar))
     if others.count():
         found = components(edges.union(_verified(others, sets, similar)))
     keys = classes.join(found, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"))
-    return signed.join(keys, "class_key").where("id <> component").select("id", "component")
+    return signed.join(keys, "class_key").groupBy("id").agg(F.min("component").alias("component")).where("id <> component")

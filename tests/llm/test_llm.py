@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tapeloom.llm import contamination, hmm, language_id, language_model, line_dedup, near_text, packing, quality, simhash, token_counts, token_files, tokens, topk_search
 from tapeloom.llm.common import fresh_path
@@ -259,6 +260,107 @@ def test_classifier_gradients_and_fit(spark, docs, empty):
         small.p[k][at] += 1e-4
 
 
+def test_classifier_score_is_of_the_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = quality.fit_quality(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    key = lambda r: (r["doc_id"], r["text"] or "")
+    tables = [{key(r): r["__tl_score"] for r in quality.scores(d, model).collect()} for d in (docs, docs.repartition(7), docs.orderBy("text").coalesce(1))]
+    weights = model.tables().astype(float)
+
+    def plain(text):  # byte by byte
+        n = -(-(len(text) + quality.WIDTH) // quality.SEGMENT) * quality.SEGMENT
+        data = np.frombuffer(text.ljust(n, b"\0"), np.uint8)
+        r = sum(weights[w][data[w : n - quality.WIDTH + 1 + w]] for w in range(quality.WIDTH))
+        step, size = (quality.CHUNK - 1) * quality.SEGMENT, quality.CHUNK * quality.SEGMENT
+        chunks = [r[at : at + size] for at in range(0, max(1, n - quality.SEGMENT), step)]
+        pooled = np.array([np.maximum(c.max(axis=0) + model.p["bias"], 0) for c in chunks])
+        z = np.concatenate([pooled.max(axis=0), pooled.mean(axis=0)]) @ model.p["out"] + model.p["last"][0]
+        return 1 / (1 + math.exp(-z))
+
+    for k, x in tables[0].items():
+        assert all(abs(t[k] - x) < 1e-9 for t in tables)
+    for k in list(tables[0])[::5]:
+        assert abs(plain(k[1].encode()) - tables[0][k]) < 1e-4
+
+
+def test_samples_hold_at_any_count(spark):
+    from tapeloom.llm.common import hash_below
+
+    ids = spark.range(200_000).select("id", F.xxhash64("id").alias("h"))
+    for wanted, count in ((100, 200_000), (1200, 10**12), (5, 5), (7, 3)):
+        got = ids.where(hash_below(F.col("h"), wanted, count)).count()
+        want = 200_000 * min(1, wanted / count)
+        assert abs(got - want) <= 6 * math.sqrt(want) + 1
+    assert spark.range(1).select(hash_below(F.lit(-(1 << 63)), 1200, 10**12)).first()[0]  # never none of all hashes
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1)] * 50, "doc_id long, quality int")
+    texts = spark.createDataFrame([(i % 300, f"text {i}") for i in range(900)] + [(None, "none")] * 50, "doc_id long, text string")
+    seen = []
+    quality.ByteCnn.fit, kept = (lambda self, t, y, p: seen.append((t, y)) or self), quality.ByteCnn.fit
+    try:
+        quality.fit_quality(texts, labels, per_class=20)
+    finally:
+        quality.ByteCnn.fit = kept
+    assert len(seen[0][0]) == 40 and seen[0][1].sum() == 20
+
+
+COLUMNS = {
+    "op1_best_fit_packing": "doc_id:bigint piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
+    "op3_token_counts": "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean",
+    "op4_line_dedup": "doc_id:bigint n_lines:bigint n_dropped:bigint kept_sha256:string",
+    "op5_simhash_near_dedup": "doc_id:bigint fingerprint:string component_id:bigint",
+    "op6_hmm_scoring": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+    "op7_token_files": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
+    "op8_quality_classifier": "doc_id:bigint held_out:boolean score:double predicted:int",
+    "op9_exact_topk": "query_id:bigint rank:int vec_id:bigint score:bigint",
+    "op10_language_id": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_query_columns(spark, name):
+    from tapeloom import llm
+
+    sf = "/root/testdata/sf0.001"
+    got = llm.queries()[name](spark, sf)
+    types = dict(got.dtypes)
+    assert all(types[c] == t for c, t in (x.split(":") for x in COLUMNS[name].split()))
+    rows = got.toPandas()
+    if name != "op9_exact_topk":
+        ids = [r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+        assert set(rows["doc_id"]) == set(ids) and (name.startswith("op1_") or len(rows) == len(ids))
+    for column, modulus in (("op6", 7), ("op8", 4), ("op10", 4)):
+        if name.startswith(column + "_"):
+            assert all(h == (zlib.crc32(str(i).encode()) % modulus == 2) for i, h in zip(rows["doc_id"], rows["held_out"]))
+    if name.startswith("op5"):
+        assert rows["fingerprint"].str.fullmatch("[0-9a-f]{16}").all()
+    if name.startswith(("op8", "op10")):
+        assert rows["score"].between(0, 1).all()
+    if name.startswith("op8"):
+        assert ((rows["score"] >= 0.7) == (rows["predicted"] == 1)).all()
+
+
+def test_token_files_are_encoded_as_asked(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = fresh_path(spark, "files").removeprefix("file:")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id is not null")
+    many = docs.unionByName(docs.select(*[(F.col(c) + 100_000).cast(t).alias(c) if c == "doc_id" else c for c, t in docs.dtypes]))
+    token_files.write_token_files(many, path, tokens.tokenizer_path("byte_bpe_50k.json"), 0)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    seen = collections.Counter()
+    for f in files:
+        for g in range(f.num_row_groups):
+            assert f.row_group(g).total_byte_size <= 24 << 20
+            for c in range(f.num_columns):
+                column = f.row_group(g).column(c)
+                assert column.has_column_index and column.has_offset_index
+                if column.path_in_schema.startswith("ids"):
+                    seen.update(column.encodings)
+    assert seen["RLE_DICTIONARY"] or seen["DELTA_BINARY_PACKED"]
+
+
 def test_topk(spark):
     r = np.random.default_rng(1)
     vecs = [(i, r.normal(0, 0.2, 8).tolist()) for i in range(0, 400)] + [(400 + i, [0.5] * 8) for i in range(30)] + [(900, None), (901, [1.0] * 7 + [None]), (902, [1.0] * 7 + [float("nan")]), (903, [1.0, 2.0])]
@@ -298,6 +400,13 @@ def test_languages(spark, empty):
     assert all(got[i]["lang_pred"] == x for i, _, x in rows[:90])
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["score"] == 0
     assert got[902]["lang_pred"] == "fr" and 0.5 < got[902]["score"] < 1
+    assert "".join(rows[92][1][x["start"] : x["start"] + x["length"]] + " " for x in got[902]["spans"]).strip() == rows[92][1]
+    assert [x["lang"] for x in got[902]["spans"]] == ["fr", "en"]
+    other = spark.createDataFrame([(1, "日本語 テキスト です"), (2, en(3000) + "\n\n" + ru(3000))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.languages(other, model).collect()}
+    assert got[1]["lang_pred"] in ("en", "fr", "ru") and got[1]["score"] < 0.4  # no language uses the script
+    assert [x["lang"] for x in got[2]["spans"]] == ["en", "ru"]
+    assert set(language_id.fit_language_model(df.where("doc_id < 90").unionByName(df.where("doc_id = 0").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("fr").alias("lang"))), 1).langs) == {"en", "fr", "ru"}
     none = language_id.fit_language_model(empty)
     assert {r["lang_pred"] for r in language_id.languages(df, none).collect()} == {"und"}
 
