@@ -11,7 +11,11 @@ Parquet and read again:
 
 All but the last return the columns of documents; ``n_chars`` follows the text.
 A document with a null id is scored, kept by the stages that work by id, and
-packed.  Rows that share an id share its fate.
+packed.  Rows that share an id share its fate after the first stage, which goes
+by text.  Null and empty texts are scored like any other, are one group of
+copies, and are packed as their end alone.  Texts of any length are worked on
+whole; an empty table gives an empty one; other columns pass through to the last
+stage, whatever their names but for those that begin with ``__tl_``.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import materialize, read_table
+from tapeloom.llm.common import bounded, cut, fresh_path, read_table, remove
 from tapeloom.llm.contamination import contaminated
 from tapeloom.llm.line_dedup import dedup_lines
 from tapeloom.llm.near_text import near_text_groups
@@ -41,8 +45,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col(ids.columns[0]).alias("__tl_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__tl_gone"), "left_anti")
+    """Texts aren't shuffled where the ids that go are few enough to be broadcast."""
+    gone = cut(ids.select(F.col(ids.columns[0]).alias("__tl_gone")).where("__tl_gone is not null").distinct())
+    return docs.join(bounded(gone), docs["doc_id"].cast("long") == F.col("__tl_gone"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages; a stage's files go when the next one's are written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        done = stage(spark, docs, sf_dir)
+        done.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
