@@ -12,9 +12,13 @@ length of the texts.  Candidates are verified on the shingles.
 
 Texts of the same words in the same order are one class first, by a digest, and
 cost one row each after that.  In a key's bucket a class is first compared with
-the least id there and with its neighbour.  What this links needs no more
-comparing; then all classes of a bucket that aren't linked so far are compared
-with each other, so that a failed check hides no pair.
+the least id there, with its neighbour, and with the class that shares the most
+keys with others: among edits of one text that is the text itself.  What this
+links needs no more comparing.  Where a bucket's classes still aren't linked, so
+that a failed check may hide a pair, the rest is found by an exact prefix filter
+over those classes: of two sets of a similarity of at least s, the rarest
+n - ceil(s n) + 1 shingles of each, rarest first, have one in common, and the
+first such stands early enough in both to leave room for what they must share.
 
 Null and empty texts are copies of each other.  A text of one to four words is
 one shingle.  Rows with a null id take no part.  Rows that share an id, repeated
@@ -95,31 +99,49 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``key, node, n, prev, head`` of the buckets with more than one class: the neighbour before and the least id."""
+    """``key, node, n, prev, head, lead`` of the buckets with more than one class: the neighbour before, the least id, the class with most company."""
     one = classes.select("node", "n", F.explode("keys").alias("key"))
     w = Window.partitionBy("key").orderBy("node")
-    ranked = one.select("key", "node", "n", F.lag("node").over(w).alias("prev"), F.lead("node").over(w).alias("next"), F.first("node").over(w).alias("head"))
-    return ranked.where("prev is not null or next is not null").drop("next")
+    sized = one.join(one.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    sized = materialize(sized, "sized")
+    company = sized.groupBy("node").agg(F.sum("size").alias("company"))
+    lead = sized.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("lead"))
+    ranked = sized.select("key", "node", "n", F.lag("node").over(w).alias("prev"), F.min("node").over(Window.partitionBy("key")).alias("head"))
+    return ranked.join(lead, "key")
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs ``a < b``: each class with its neighbour and with the least of its bucket."""
-    later = buckets.where("prev is not null")
-    pairs = later.select(F.col("prev").alias("a"), F.col("node").alias("b")).union(later.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    return pairs.where("a < b").distinct()
+    """Pairs ``a < b``: each class with its neighbour, with the least of its bucket and with the leading one."""
+    others = F.explode(F.array("prev", "head", "lead")).alias("other")
+    pairs = buckets.select("node", others).where("other is not null")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b").distinct()
 
 
-def _other_pairs(buckets: DataFrame, first: DataFrame, found: DataFrame, similar: float) -> DataFrame:
-    """All other pairs ``a < b`` of a bucket whose classes aren't linked so far and whose sizes allow the similarity."""
-    labelled = buckets.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+def _other_pairs(buckets: DataFrame, sets: DataFrame, first: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    """All other pairs ``a < b`` that may be similar, of classes whose buckets aren't linked so far."""
+    labelled = buckets.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     apart = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("size > 2 and low < high").select("key")
-    own = cut(labelled.join(apart, "key"))
-    x = own.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = own.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similar * F.greatest("na", "nb")))
+    own = cut(labelled.join(apart, "key").select("node", "c").distinct())
+    rows = own.join(sets, "node").select("node", "c", F.explode(_unpacked(F.col("shingles"))).alias("shingle"))
+    rows = materialize(rows, "rows")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("node").orderBy("df", "shingle")
+    ranked = rows.join(common, "shingle").select("node", "c", "shingle", "df", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("node")).alias("n"))
+    prefix = materialize(ranked.where(F.col("rank") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1).where("df > 1").select("node", "c", "n", "shingle", "rank"), "prefix")
+    x = prefix.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
+    y = prefix.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("rank").alias("rb"))
+    # with their first shingle in common at these ranks, two sets can have no more than this in common
+    enough = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= similar / (1 + similar) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similar * F.greatest("na", "nb")) & enough)
     return pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
 
 
+def _unpacked(packed):
+    """The 8-byte numbers of a binary column, as hexadecimal strings."""
+    digits = F.hex(packed)
+    return F.transform(F.sequence(F.lit(0), F.expr("greatest(octet_length(shingles) div 8 - 1, 0)")), lambda k: F.substring(digits, k * 16 + 1, F.lit(16)))
+
+
 def _shingles(rows: DataFrame) -> DataFrame:
     """``node, shingles``: sorted distinct hashes of a text's shingles, packed."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -172,7 +194,7 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = materialize(_shingles(texts), "shingles")
     edges = cut(_verified(first, sets, similar))
     found = components(edges)
-    others = cut(_other_pairs(buckets, first, found, similar))
+    others = cut(_other_pairs(buckets, sets, first, found, similar))
     if others.count():
         found = components(edges.union(_verified(others, sets, similar)))
     keys = classes.join(found, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"))

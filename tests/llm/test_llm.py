@@ -536,15 +536,33 @@ def test_near_texts_compare_all_classes_of_a_bucket(spark):
     got = {x["id"]: x["component"] for x in near_text.near_text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {3: 1, 4: 2}
 
-    # one bucket by hand: 1 and 3, 2 and 4 are alike; neighbours and the least id alone miss the second pair
-    buckets = spark.createDataFrame([(7, 1, 10, None, 1), (7, 2, 10, 1, 1), (7, 3, 10, 2, 1), (7, 4, 10, 3, 1)], "key long, node long, n long, prev long, head long")
+    # one bucket by hand: 1 and 3, 2 and 4 are alike; neighbours, the least id and the leading one alone miss the second pair
+    buckets = spark.createDataFrame([(7, 1, 10, None, 1, 1), (7, 2, 10, 1, 1, 1), (7, 3, 10, 2, 1, 1), (7, 4, 10, 3, 1, 1)], "key long, node long, n long, prev long, head long, lead long")
     pairs = near_text._first_pairs(buckets)
+    sets = spark.createDataFrame([(i, near_text.shingle_set(t).astype("<u8").tobytes()) for i, t in rows[:4]], "node long, shingles binary")
     found = spark.createDataFrame([(1, 1), (3, 1)], "node long, component long")
-    others = near_text._other_pairs(buckets, pairs, found, 0.8)
+    others = near_text._other_pairs(buckets, sets, pairs, found, 0.8)
     assert {tuple(x) for x in pairs.collect()} == {(1, 2), (2, 3), (3, 4), (1, 3), (1, 4)}
     assert {tuple(x) for x in others.collect()} == {(2, 4)}
 
 
+def test_edits_of_one_text_are_linked_through_it(spark):
+    """Edits are under 0.8 with each other, but not with the text; pairs stay in proportion to their number."""
+    r = random.Random(12)
+    base = [f"{r.choice(WORDS)}{k}" for k in range(150)]
+    rows = [(500, " ".join(base))]
+    for i in range(200):
+        w = list(base)
+        w[r.randrange(10, 70)] = f"one{i}"
+        w[r.randrange(75, 140)] = f"two{i}"
+        rows.append((i if i < 100 else i + 1000, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["id"]: x["component"] for x in near_text.near_text_groups(df).collect()}
+    assert got == {i: 0 for i, _ in rows if i}
+    signed = near_text.signatures(df.withColumnRenamed("doc_id", "id"))
+    assert near_text._first_pairs(near_text._buckets(signed.withColumnRenamed("id", "node"))).count() < 30 * len(rows)
+
+
 @pytest.mark.parametrize("counts", [{1: 10000}, {1: 9000, 2: 800, 9: 3}, {k: 1000 for k in range(1, 10)}, {3000: 5, 1: 20000, 7: 300}])
 def test_plan_fills_sequences_with_many_short_pieces(counts):
     plan = packing.plan_packing(dict(counts), 4096)
