@@ -39,7 +39,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid i
 #: Fillings listed for one sequence, and partial fillings looked at for them.
 FILLINGS, LOOKED_AT = 4, 400
 #: Steps of the search for a whole plan.
-STEPS = 60_000
+STEPS = 1_500
 
 
 def best_fit(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, ...]:
