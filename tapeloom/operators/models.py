@@ -55,12 +55,14 @@ def predict_top(model, panel: DataFrame, top: int = 5, factors=FACTORS) -> DataF
     return scored.withColumn("place", place).where(F.col("place") <= top)
 
 
-def walk_forward(panel: DataFrame, cutoffs: list[str], target: str = "fwd_10", rounds: int = 5) -> DataFrame:
-    """For each cutoff: learn from the dates up to it, predict those up to the next.  One model a cutoff."""
+def walk_forward(panel: DataFrame, cutoffs: list[str], target: str = "fwd_10", rounds: int = 5, reach: int = 10) -> DataFrame:
+    """For each cutoff: learn from rows whose target is known by then (``reach`` bars on), predict the dates up to the next.  One model a cutoff."""
     out = None
+    known = F.lead("trade_date", reach).over(Window.partitionBy("symbol").orderBy("trade_date"))
+    panel = panel.withColumn("known_at", known)
     for at, end in zip(cutoffs, [*cutoffs[1:], "9999-12-31"]):
-        model = fit_return(panel.where(F.col("trade_date") <= at), target, rounds)
-        part = predict_top(model, panel.where((F.col("trade_date") > at) & (F.col("trade_date") <= end))).withColumn("cutoff", F.lit(at).cast("date"))
+        model = fit_return(panel.where(F.col("known_at") <= at).drop("known_at"), target, rounds)
+        part = predict_top(model, panel.drop("known_at").where((F.col("trade_date") > at) & (F.col("trade_date") <= end))).withColumn("cutoff", F.lit(at).cast("date"))
         out = part if out is None else out.unionByName(part)
     return out
 

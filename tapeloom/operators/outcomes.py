@@ -8,12 +8,15 @@ DAY = "ORDER BY trade_date"
 
 
 @operator
-def fixed_horizon(d, rets, hold=10):
-    """Entry at the next open, exit at the close of the last held bar, highest and lowest on the way; cut at the last bar."""
+def fixed_horizon(d, rets, hold=10, signal="r5 > 1"):
+    """Of rows with a signal: entry at the next open, exit at the close of the last held bar, highest and lowest on the way; cut at the last bar.
+
+    ``signal`` is a condition on the rows' columns; ``true`` takes every row.
+    """
     frame = ahead(hold)
     return f"""
     SELECT symbol, trade_date, exit_price / nullif(entry, 0) - 1 AS ret, hi / nullif(entry, 0) - 1 AS runup, lo / nullif(entry, 0) - 1 AS drawdown, held, held = {hold} AS full_hold FROM (
-      SELECT symbol, trade_date, r5, {lead('open')} AS entry, max(close) {frame} AS hi, min(close) {frame} AS lo, {d.pick('last', 'last_value')}(close) {frame} AS exit_price, count(close) {frame} AS held FROM {rets}) x WHERE r5 > 1 AND entry IS NOT NULL"""
+      SELECT symbol, trade_date, coalesce({signal}, false) AS signal, {lead('open')} AS entry, max(close) {frame} AS hi, min(close) {frame} AS lo, {d.pick('last', 'last_value')}(close) {frame} AS exit_price, count(close) {frame} AS held FROM {rets}) x WHERE signal AND entry IS NOT NULL"""
 
 
 @operator

@@ -154,8 +154,8 @@ def dominant_eigenvalue(d, rets, n=20):
 
 
 def histogram_entropy(d, a: str, lo: str, hi: str, bins: int = 10) -> str:
-    """Entropy of equal bins between the least and largest value, the last one closed."""
-    b = d.map(a, f"least(CAST(floor((x - {lo}) / ({hi} - {lo}) * {bins}) AS INT), {bins - 1})")
+    """Entropy of equal bins between the least and largest value, the last one closed; values within 1e-9 of an edge are on it."""
+    b = d.map(a, f"least(CAST(floor(round((x - {lo}) / ({hi} - {lo}) * {bins}, 9)) AS INT), {bins - 1})")
     counts = [d.size(d.filter("b", f"x = {k}")) for k in range(bins)]
     return b, shannon(counts, d.size("b"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.operators import bars as B
 from tapeloom.operators import cross as A
+from tapeloom.operators import detectors as D
 from tapeloom.operators import factors as R
 from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
@@ -118,6 +119,10 @@ query("p5_p7_setup", KEY + "~entropy_quality ~bifurcation_quality ~trigger_quali
 query("p6_latent_states", KEY + "state", P.latent_states, "p5_p7_setup", since=2000)
 query("p6_latent_states_whole", KEY + "state", P.latent_states, "p5_p7_setup")
 query("p8_p14_accumulation", KEY + "met accumulating ~quality broke breakout fell collapse phase", P.accumulation, "rets", "w8_permutation_entropy", "w16_percentile_of_last")
+node("detector_frame", D.detector_frame, "w25_volume_ratios", "w8_permutation_entropy", "w10_irreversibility", "w11_dominant_eigenvalue", "w23_coherence", "w27_w28_tiered_flow", "w22_entropy_motion")
+query("p8_p9_accumulation", KEY + "met accumulating ~quality", D.detect_accumulation, "detector_frame")
+query("p10_p11_breakout", KEY + "breakout ~breakout_quality", D.detect_breakout, "p8_p9_accumulation")
+query("p12_p13_collapse", KEY + "signs collapse phase", D.detect_collapse, "p10_p11_breakout")
 query("p16_p17_expansion", KEY + "~expansion ~exhaustion hold_seed exit_seed", P.expansion, "rets")
 query("p18_p19_hold_path", KEY + "exited path_state", P.hold_path, "p16_p17_expansion")
 query("p20_path_transitions", "symbol path_state n_days first_date last_date n_entries", P.path_transitions, "p18_p19_hold_path")
@@ -134,6 +139,9 @@ query("a4_a16_dispersion", "trade_date ~dispersion ~flow_entropy ~hhi", A.disper
 query("a6_macro", "trade_date ~2:rzye ~change ~2:ma_5 ~2:ma_20 ~rate_diff", A.macro, "j3_asof_macro")
 query("a7_ema", "trade_date ~ema ~thrust", A.ema, "a1_breadth")
 query("a8_c9_trend", "trade_date ~composite trend", A.trend, "a1_breadth", "a7_ema", "a4_a16_dispersion", "a6_macro")
+node("trend_inputs", D.trend_inputs, "rets", "s8_security_master", "w8_permutation_entropy", "w27_w28_tiered_flow")
+node("trend_micro", D.trend_micro, "trend_inputs")
+query("a8_market_trend", "trade_date ~breadth ~money ~volatility ~entropy_score ~momentum ~leverage ~liquidity ~composite trend", D.market_trend, "trend_micro", "a7_ema", "j15_a5_limit_hits", "j3_asof_macro")
 query("a9_s21_trend_returns", "trend n ~share ~same_day ~later", A.trend_returns, "a8_c9_trend", "s4_index_bars")
 query("a10_market_row", "trade_date n ~damaged ~repairing ~overheated ~candidates ~repair ~flow_support ~washout", A.market_row, "p21_recovery")
 query("a11_market_timing", "trade_date timing ~washout_6", A.market_timing, "a10_market_row")
@@ -153,6 +161,9 @@ query("j18_merged_picks", KEY + "origin", J.merged_picks, "j12_o1_picks", "a22_l
 query("j18_merged_picks_by_date", KEY + "origin", J.merged_picks_by_date, "j12_o1_picks", "a22_leaders")
 query("a23_index_regime", "trade_date regime ~ma_20 ~dd", A.index_regime, "s4_index_bars")
 query("a24_month_regime", "month_end ~close raw lasting", A.month_regime, "s4_index_bars")
+query("j2_regime_by_date", "trade_date ~close regime", D.regime_by_date, "s4_index_bars", "a24_month_regime")
+query("j9_snapshot_with_week", KEY + "~close ~r1 w_bar_end ~w_close ~w_ret ~2:w_amount_sum", D.snapshot_with_week, "rets", "b2_weekly_bars")
+query("k3_filled_top", KEY + "~score place fallback", D.filled_top, "p2_resonance")
 query("a25_a26_summary", "industry state n n_symbols ~mean_score", A.summary, "p2_resonance", "s8_security_master")
 query("a27_standardized", KEY + "~mom_5_z ~mom_20_z ~vs_20_z ~reversal_z", A.standardized, "w40_derived_factors")
 
