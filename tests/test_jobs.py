@@ -1,5 +1,8 @@
 """User-level jobs run from bars to results."""
 
+import pytest
+
+
 from tapeloom.plans import graph, jobs, market  # noqa: F401  the nodes
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +21,27 @@ def test_jobs(spark):
     assert top <= 10
     assert jobs.recovery_scan(bars, master)["blockers"].count() == 5
     assert jobs.setup_scan(bars)["actions"].count() > 0
+
+
+@pytest.mark.parametrize("name", ["accumulation_scan", "four_layer_scan", "volume_breakout_scan", "factor_scan"])
+def test_scans_pick_under_caps_and_follow(spark, name):
+    from tapeloom.plans import graph, scans
+
+    sf = "/root/testdata/sf0.001"
+    bars, master = graph.frame(spark, sf, "b1_daily_bars"), graph.frame(spark, sf, "s8_security_master")
+    got = getattr(scans, name)(bars, master, total=3, each=1)
+    selected = got["selected"].toPandas()
+    assert selected.groupby("trade_date").size().max() <= 3 if len(selected) else True
+    assert not selected.duplicated(["trade_date", "industry"]).any()
+    candidates = {(r["symbol"], r["trade_date"]) for r in got["candidates"].collect()}
+    picked = set(zip(selected.symbol, selected.trade_date))
+    assert picked <= candidates and bool(picked) == bool(candidates)
+    trades = {(r["symbol"], r["trade_date"]) for r in got["trades"].collect()}
+    assert trades <= picked and got["summary"].agg({"n": "sum"}).first()[0] in (len(trades), None)
+
+
+def test_training_samples(spark):
+    from tapeloom.plans import graph, scans
+
+    got = scans.training_samples(graph.frame(spark, "/root/testdata/sf0.001", "b1_daily_bars"))
+    assert all(df.count() > 0 for df in got.values())
