@@ -14,6 +14,12 @@ def tick_returns(d, ticks):
     return f"SELECT *, ln(price) - ln(lag(price) OVER ({TICK})) AS lr, side * volume AS flow, {d.seconds('ts', f'lag(ts) OVER ({TICK})')} AS waited FROM {ticks}"
 
 
+@operator
+def minute_returns(d, minutes):
+    """Log returns within each day, as ``whole_day`` reads them."""
+    return f"SELECT symbol, trade_date, minute AS ts, ln(close) - ln(lag(close) OVER ({DAY})) AS lr FROM {minutes} WHERE close > 0"
+
+
 @operator
 def tick_state(d, rets, n=20):
     """Entropy of return patterns over ticks, and the state it means."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tapeloom.operators import bars as B
 from tapeloom.operators import cross as A
 from tapeloom.operators import detectors as D
+from tapeloom.operators import dual as E
 from tapeloom.operators import factors as R
 from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
@@ -230,3 +231,14 @@ node("weekly_table", S.precomputed_weekly, "b2_weekly_bars")
 query("s11_weekly_or_resampled", "symbol bar_end ~close origin", S.weekly_or_resampled, "weekly_table", "b2_weekly_bars")
 node("industry_trades", J.trades_by_industry, "j12_o1_picks", "s8_security_master")
 query("j23_stop_list", KEY + "industry", J.stop_list, "industry_trades", losses=150)
+
+# dual entropy; sessions of the given ticks are short, so windows and least counts are
+query("p27_daily_entropy", KEY + "~pe ~pe_long ~gap ~pct ~pi ~eig ~lift compressed days ~pe_move ~pi_move", E.daily_summary, "rets", "w8_permutation_entropy", "w8_permutation_entropy_60", "w10_irreversibility", "w11_dominant_eigenvalue", "w20_variance_lift")
+query("f12_p29_bifurcation", KEY + "passes ~eig_part ~gap_part ~direction_part ~momentum_part ~total signal", E.bifurcation, "p27_daily_entropy", "rets", liquidity_gate=1e3)
+node("short_minutes", B.minute_bars, "s3_ticks", minutes=5)
+query("m6_entropy_curve", KEY + "~pe ~shift ~trend ~spread", E.entropy_curve, "short_minutes", n=4, least=4, half=3, points=2)
+node("intraday_frame", E.intraday_frame, "m3_m7_volume_share", "m4_m8_whole_day", "m6_entropy_curve", "p27_daily_entropy")
+query("p28_buy_signal", KEY + "passes ~compression ~concentration ~direction ~volume_pattern ~total signal", E.buy_signal, "intraday_frame")
+query("p30_sell_signal", KEY + "~diffusion ~stealth ~exhaustion ~anomaly ~total kind signal", E.sell_signal, "intraday_frame")
+query("p31_trend_hold", "symbol entry_date trade_date alive ~sell_from", E.trend_hold, "r18_holding_features", "p27_daily_entropy")
+query("p4_signals_at", KEY + "resonance_state support_count ~score_min ~resonance_score", E.signals_at, "p2_resonance", exact=False)

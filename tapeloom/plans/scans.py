@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import cross as A
 from tapeloom.operators import detectors as D
+from tapeloom.operators import dual as E
 from tapeloom.operators import factors as R
+from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
 from tapeloom.operators import scores as P
@@ -72,3 +74,12 @@ def training_samples(bars: DataFrame) -> dict[str, DataFrame]:
     """Sequences of factors, labels of later gains, and labels of staying in a trend."""
     rets = W.returns(bars)
     return {"sequences": R.sequences(W.derived_factors(rets)), "gains": J.offset_labels(bars, S.calendar(bars)), "stay": R.stay_labels(rets)}
+
+
+def dual_entropy_scan(bars: DataFrame, minutes: DataFrame) -> dict[str, DataFrame]:
+    """Daily entropy summary, bifurcation of every symbol and day, and buy and sell scores of every session of the minute bars."""
+    rets = W.returns(bars)
+    daily = E.daily_summary(rets, W.permutation_entropy(rets), W.permutation_entropy(rets, n=60), W.irreversibility(rets), W.dominant_eigenvalue(rets), W.variance_lift(rets))
+    steps = M.minute_returns(minutes)
+    sessions = E.intraday_frame(M.volume_share(minutes), M.whole_day(steps, least=30), E.entropy_curve(minutes), daily)
+    return {"daily": daily, "bifurcation": E.bifurcation(daily, rets), "sessions": sessions, "buy": E.buy_signal(sessions), "sell": E.sell_signal(sessions)}
