@@ -145,3 +145,16 @@ def adjusted_weights(d, ics, rate=0.3):
     """Weights moved towards the share of their correlations, clipped and made to sum to 1."""
     return f"""
     SELECT factor, weight / sum(weight) OVER () AS weight FROM (SELECT factor, {clip(f'0.25 * (1 - {rate}) + {rate} * (0.25 + avg(ic))', 0.01, 0.6)} AS weight FROM {ics} WHERE ic IS NOT NULL GROUP BY factor) x"""
+
+
+#: One of each pair of mirrored or nearly equal columns, by the names of this package's frames.
+REDUNDANT = (
+    "sell_elg", "sell_lg", "sell_md", "sell_sm", "buy_elg", "buy_lg", "buy_md",
+    "big_ratio", "purity_norm", "spectrum_entropy", "slope",
+)
+
+
+@operator
+def pruned(d, rows, names=(), redundant=REDUNDANT):
+    """the columns named but for redundant ones; the scan reads no others."""
+    return f"SELECT {', '.join(c for c in names if c not in redundant)} FROM {rows}"

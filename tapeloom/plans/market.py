@@ -242,3 +242,4 @@ query("p28_buy_signal", KEY + "passes ~compression ~concentration ~direction ~vo
 query("p30_sell_signal", KEY + "~diffusion ~stealth ~exhaustion ~anomaly ~total kind signal", E.sell_signal, "intraday_frame")
 query("p31_trend_hold", "symbol entry_date trade_date alive ~sell_from", E.trend_hold, "r18_holding_features", "p27_daily_entropy")
 query("p4_signals_at", KEY + "resonance_state support_count ~score_min ~resonance_score", E.signals_at, "p2_resonance", exact=False)
+query("f18_pruned", KEY + "~2:buy_sm", R.pruned, "s10_money_flow", names=("symbol", "trade_date", "buy_sm", "sell_sm", "buy_md", "sell_md", "buy_lg", "sell_lg", "buy_elg", "sell_elg"))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from tapeloom.operators import dual as E
+from tapeloom.operators import factors as R
 from tapeloom.plans import scans
 
 DAY = dt.date(2024, 1, 1)
@@ -227,3 +228,9 @@ def test_dual_entropy_scan(spark, daily):
     out = scans.dual_entropy_scan(frame(spark, bars), frame(spark, minutes))
     assert [x["symbol"] for x in out["buy"].collect()] == ["a"] and out["sell"].count() == 1
     assert out["bifurcation"].count() == 2 * (260 - 69)
+
+
+def test_pruned(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0, 3.0)], "symbol string, buy_sm double, sell_sm double, purity_norm double")
+    assert R.pruned(df, names=df.columns).columns == ["symbol", "buy_sm"]
+    assert R.pruned(df, names=df.columns, redundant=("buy_sm",)).columns == ["symbol", "sell_sm", "purity_norm"]
