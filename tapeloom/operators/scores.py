@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.sqlkit import BY, bit, clip, clip_term, div, flag, lag, operator, rolling, scaled, so_far, triangular, w
+from tapeloom.operators.windows import displacements, entropy_of, histogram_bins, hurst_of, moves, windows_of
 
 
 @operator
-def physics(d, bars, entropy, hurst_short, hurst_long, short=10, long=40, entry=0.1, persist=2):
+def physics(d, bars, short=10, long=40, entry=0.1, persist=2):
     """Energy, temperature, order, phase and switch terms; their weighted score, its least of the last bars, the state.
 
-    Weights and scales are fixed values.
+    Weights and scales are fixed values.  Entropies, Hurst slopes and all other
+    windows are made in one pass over the bars, without a join; an entropy is
+    missing where a return of the long window is.
     """
+    far = max(short, long)
     ps, pl = max(3, short // 3), max(5, long // 3)
     def z(x):
         return div(f"{x} - ({rolling('avg', x, max(long, 12), max(long, 12) // 3)})", rolling("stddev_pop", x, max(long, 12), max(long, 12) // 3))
@@ -29,11 +33,14 @@ def physics(d, bars, entropy, hurst_short, hurst_long, short=10, long=40, entry=
               {clip_term('close / nullif(ma_s, 0) - 1', 0.10)} AS ma_term, {clip_term('ma_s / nullif(ma_l, 0) - 1', 0.12)} AS spread_term, {clip_term('close / nullif(prev_high, 0) - 1', 0.08)} AS breakout_term,
               {clip_term('entropy_rel', 0.25)} AS entropy_term, {clip_term('hs - hl', 0.12)} AS fractal_term FROM (
               SELECT *, {z('vol_s')} AS vol_z FROM (
-                SELECT b.symbol, b.trade_date, b.open, b.close, e.entropy_rel, {clip('s.hurst', 0.0, 1.0)} AS hs, {clip('l.hurst', 0.0, 1.0)} AS hl, ma_s, ma_l, prev_high, vol_s, turnover_z, amount_z, mf_z FROM (
-                  SELECT symbol, trade_date, open, close, {rolling('avg', 'close', short, ps)} AS ma_s, {rolling('avg', 'close', long, pl)} AS ma_l, {rolling('max', 'close', long, pl, end=1)} AS prev_high,
-                    {rolling('stddev_pop', 'ret', short, ps)} AS vol_s, {z('turnover_sum')} AS turnover_z, {z('ln(1 + greatest(amount_sum, 0))')} AS amount_z, {z('mf_sum')} AS mf_z FROM {bars}) b
-                LEFT JOIN {entropy} e ON b.symbol = e.symbol AND b.trade_date = e.trade_date
-                LEFT JOIN {hurst_short} s ON b.symbol = s.symbol AND b.trade_date = s.trade_date LEFT JOIN {hurst_long} l ON b.symbol = l.symbol AND b.trade_date = l.trade_date) j) x) y) t) u) v"""
+                SELECT *, CASE WHEN m = {far} THEN (el - es) / nullif(abs(el), 0) END AS entropy_rel, {clip('h_s', 0.0, 1.0)} AS hs, {clip('h_l', 0.0, 1.0)} AS hl FROM (
+                  SELECT symbol, trade_date, open, close, ma_s, ma_l, prev_high, vol_s, turnover_z, amount_z, mf_z, m, {hurst_of(short, 's', 'n_s')} AS h_s, {hurst_of(long, 'l', 'n_l')} AS h_l,
+                    {entropy_of(d, 's')}, {entropy_of(d, 'l')} FROM (
+                    SELECT *, CASE WHEN m = {far} THEN {histogram_bins(d, 'a_s', 'lo_s', 'hi_s')} END AS b_s, CASE WHEN m = {far} THEN {histogram_bins(d, 'a_l', 'lo_l', 'hi_l')} END AS b_l FROM (
+                      SELECT symbol, trade_date, open, close, {rolling('avg', 'close', short, ps)} AS ma_s, {rolling('avg', 'close', long, pl)} AS ma_l, {rolling('max', 'close', long, pl, end=1)} AS prev_high,
+                        {rolling('stddev_pop', 'ret', short, ps)} AS vol_s, {z('turnover_sum')} AS turnover_z, {z('ln(1 + greatest(amount_sum, 0))')} AS amount_z, {z('mf_sum')} AS mf_z,
+                        {windows_of(d, 'ret', short, long)}, count(ret) {w(far)} AS m, count(*) {w(short)} AS n_s, count(*) {w(long)} AS n_l, {displacements(short, 's')}, {displacements(long, 'l')} FROM (
+                        SELECT *, {moves(far)} FROM {bars}) r) b) j) i) h) x) y) t) u) v"""
 
 
 def _carry(d, x: str) -> str:

@@ -97,14 +97,20 @@ def _states(d, a: str, threshold: str) -> str:
     return d.map(a, f"CASE WHEN x > {threshold} THEN 2 WHEN x < -({threshold}) THEN 0 ELSE 1 END")
 
 
-def irreversibility_of(d, pairs: str, states: int) -> str:
-    """KL of transitions and their reverses; ``pairs`` holds i * states + j.  Pairs seen one way only add nothing."""
+def pair_counts(d, pairs: str, states: int) -> str:
+    """Columns ``total`` and, of each pair of different states, ``k<code>``; ``pairs`` holds i * states + j."""
+    codes = [i * states + j for i in range(states) for j in range(states) if i != j]
+    return f"{d.size(pairs)} AS total, " + ", ".join(f"{d.size(d.filter(pairs, f'x = {k}'))} AS k{k}" for k in codes)
+
+
+def irreversibility_of(states: int) -> str:
+    """KL of transitions and their reverses, from the columns of ``pair_counts``.  Pairs seen one way only add nothing."""
     terms = []
     for i in range(states):
         for j in range(i + 1, states):
-            a, b = (d.size(d.filter(pairs, f"x = {k}")) for k in (i * states + j, j * states + i))
+            a, b = f"k{i * states + j}", f"k{j * states + i}"
             terms.append(f"CASE WHEN {a} > 0 AND {b} > 0 THEN ({a} - {b}) * ln({a} / CAST({b} AS DOUBLE)) ELSE 0 END")
-    return f"CASE WHEN {d.size(pairs)} > 1 THEN greatest(0, ({' + '.join(terms)}) / {d.size(pairs)}) END"
+    return f"CASE WHEN total > 1 THEN greatest(0, ({' + '.join(terms)}) / total) END"
 
 
 def _transitions(d, s: str, states: int) -> str:
@@ -115,11 +121,12 @@ def _transitions(d, s: str, states: int) -> str:
 def irreversibility(d, rets, n=20, least=10):
     """Three states by half the window's own deviation; array functions, as thresholds are the window's."""
     return f"""
-    SELECT symbol, trade_date, CASE WHEN m >= {least} THEN {irreversibility_of(d, 'pairs', 3)} END AS pi FROM (
-      SELECT symbol, trade_date, m, {_transitions(d, 's', 3)} AS pairs FROM (
-        SELECT symbol, trade_date, m, {_states(d, 'a', '0.5 * sd')} AS s FROM (
-          SELECT symbol, trade_date, {d.collect('lr')} {w(n)} AS a, stddev_pop(lr) {w(n)} AS sd, count(lr) {w(n)} AS m FROM {rets} WHERE lr IS NOT NULL) x
-        WHERE m >= 2) y) z"""
+    SELECT symbol, trade_date, CASE WHEN m >= {least} THEN {irreversibility_of(3)} END AS pi FROM (
+      SELECT symbol, trade_date, m, {pair_counts(d, 'pairs', 3)} FROM (
+        SELECT symbol, trade_date, m, {_transitions(d, 's', 3)} AS pairs FROM (
+          SELECT symbol, trade_date, m, {_states(d, 'a', '0.5 * sd')} AS s FROM (
+            SELECT symbol, trade_date, {d.collect('lr')} {w(n)} AS a, stddev_pop(lr) {w(n)} AS sd, count(lr) {w(n)} AS m FROM {rets} WHERE lr IS NOT NULL) x
+          WHERE m >= 2) y) z) v"""
 
 
 @operator
@@ -128,60 +135,81 @@ def joint_irreversibility(d, rets, n=20):
     rs, fs = _states(d, "a", "0.5 * sa"), _states(d, "b", "0.5 * sb")
     joint = d.map(d.pick("sequence(1, size(rs))", "range(1, len(rs) + 1)"), f"{d.at('rs', 'i')} * 3 + {d.at('fs', 'i')}", "i")
     return f"""
-    SELECT symbol, trade_date, {irreversibility_of(d, 'pairs', 9)} AS pi9 FROM (
-      SELECT symbol, trade_date, {_transitions(d, 's', 9)} AS pairs FROM (
+    SELECT symbol, trade_date, {irreversibility_of(9)} AS pi9 FROM (
+      SELECT symbol, trade_date, {pair_counts(d, 'pairs', 9)} FROM (
+       SELECT symbol, trade_date, {_transitions(d, 's', 9)} AS pairs FROM (
         SELECT symbol, trade_date, {joint} AS s FROM (
           SELECT symbol, trade_date, {rs} AS rs, {fs} AS fs FROM (
             SELECT symbol, trade_date, {d.collect('lr')} {w(n)} AS a, {d.collect('flow')} {w(n)} AS b, stddev_pop(lr) {w(n)} AS sa, stddev_pop(flow) {w(n)} AS sb,
               count(lr) {w(n)} AS m FROM (SELECT symbol, trade_date, lr, coalesce(net_mf, close - open) AS flow FROM {rets} WHERE lr IS NOT NULL) f) x
-          WHERE m = {n}) y) z) v"""
+          WHERE m = {n}) y) z) v) u"""
+
+
+EIG_REAL = "CASE WHEN disc >= 0 THEN (p1 + sign(p1) * sqrt(greatest(disc, 0))) / 2 ELSE p1 / 2 END"
+EIG_ABS = "CASE WHEN disc >= 0 THEN abs(p1 + sign(p1) * sqrt(greatest(disc, 0))) / 2 ELSE sqrt(greatest(-p2, 0)) END"
+YULE_WALKER = "(a1 * r - a1 * a2) / (r * r - a1 * a1) AS p1, (r * a2 - a1 * a1) / (r * r - a1 * a1) AS p2"
+
+
+def autocovariances(d, c: str = "c") -> str:
+    """Columns ``r, a1, a2`` of an array of centred values, the first with a small ridge."""
+    def cov(k):
+        return f"{d.total(d.map(d.pick(f'sequence(1, size({c}) - {k})', f'range(1, len({c}) - {k} + 1)'), f'{d.at(c, "i")} * {d.at(c, f"i + {k}")}', 'i'))} / ({d.size(c)} - {k})"
+    return f"{cov(0)} + 1e-8 AS r, {cov(1)} AS a1, {cov(2)} AS a2"
 
 
 @operator
 def dominant_eigenvalue(d, rets, n=20):
     """Largest root of the AR(2) fit by Yule-Walker: real part and modulus in closed form."""
-    def cov(k):
-        return f"{d.total(d.map(d.pick(f'sequence(1, size(c) - {k})', f'range(1, len(c) - {k} + 1)'), f'{d.at("c", "i")} * {d.at("c", f"i + {k}")}', 'i'))} / ({d.size('c')} - {k})"
     return f"""
-    SELECT symbol, trade_date, CASE WHEN disc >= 0 THEN (p1 + sign(p1) * sqrt(greatest(disc, 0))) / 2 ELSE p1 / 2 END AS eig_real,
-      CASE WHEN disc >= 0 THEN abs(p1 + sign(p1) * sqrt(greatest(disc, 0))) / 2 ELSE sqrt(greatest(-p2, 0)) END AS eig_abs FROM (
+    SELECT symbol, trade_date, {EIG_REAL} AS eig_real, {EIG_ABS} AS eig_abs FROM (
       SELECT symbol, trade_date, p1, p2, p1 * p1 + 4 * p2 AS disc FROM (
-        SELECT symbol, trade_date, (a1 * r - a1 * a2) / (r * r - a1 * a1) AS p1, (r * a2 - a1 * a1) / (r * r - a1 * a1) AS p2 FROM (
-          SELECT symbol, trade_date, {cov(0)} + 1e-8 AS r, {cov(1)} AS a1, {cov(2)} AS a2 FROM (
+        SELECT symbol, trade_date, {YULE_WALKER} FROM (
+          SELECT symbol, trade_date, {autocovariances(d)} FROM (
             SELECT symbol, trade_date, {d.map('a', 'x - mu')} AS c FROM (
               SELECT symbol, trade_date, {d.collect('lr')} {w(n)} AS a, avg(lr) {w(n)} AS mu, stddev_pop(lr) {w(n)} AS sd, count(lr) {w(n)} AS m FROM {rets} WHERE lr IS NOT NULL) x
             WHERE m >= 12 AND sd > 1e-12) y) z) v) u"""
 
 
-def histogram_entropy(d, a: str, lo: str, hi: str, bins: int = 10) -> str:
-    """Entropy of equal bins between the least and largest value, the last one closed; values within 1e-9 of an edge are on it."""
+def histogram_bins(d, a: str, lo: str, hi: str, bins: int = 10) -> str:
+    """Places in equal bins between the least and largest value, the last one closed; values within 1e-9 of an edge are on it; missing for a constant window."""
     b = d.map(a, f"least(CAST(floor(round((x - {lo}) / ({hi} - {lo}) * {bins}, 9)) AS INT), {bins - 1})")
-    counts = [d.size(d.filter("b", f"x = {k}")) for k in range(bins)]
-    return b, shannon(counts, d.size("b"))
+    return f"CASE WHEN {hi} > {lo} THEN {b} END"
+
+
+def histogram_entropy(d, b: str, bins: int = 10) -> str:
+    """Entropy of an array of places: counts first, each made once."""
+    counts = d.map(d.range("0", f"{bins - 1}"), d.size(d.filter(b, "x = k")), "k")
+    share = f"k / CAST({d.size(b)} AS DOUBLE)"
+    return f"-({d.total(d.map(counts, f'CASE WHEN k > 0 THEN ({share}) * ln({share}) ELSE CAST(0 AS DOUBLE) END', 'k'))})"
 
 
 @operator
 def turnover_entropy(d, bars, x="turnover_rate", n=20, bins=10):
     """Normalised histogram entropy of a window; 0 for a constant one."""
-    b, value = histogram_entropy(d, "a", "lo", "hi", bins)
     return f"""
-    SELECT symbol, trade_date, CASE WHEN hi > lo THEN ({value}) / ln({float(bins)}) ELSE 0e0 END AS te FROM (
-      SELECT symbol, trade_date, lo, hi, CASE WHEN hi > lo THEN {b} END AS b FROM (
+    SELECT symbol, trade_date, CASE WHEN hi > lo THEN ({histogram_entropy(d, 'b', bins)}) / ln({float(bins)}) ELSE 0e0 END AS te FROM (
+      SELECT symbol, trade_date, lo, hi, {histogram_bins(d, 'a', 'lo', 'hi', bins)} AS b FROM (
         SELECT symbol, trade_date, {d.collect(x)} {w(n)} AS a, min({x}) {w(n)} AS lo, max({x}) {w(n)} AS hi, count({x}) {w(n)} AS m FROM {bars} WHERE {x} IS NOT NULL) v
       WHERE m = {n}) u"""
 
 
+def windows_of(d, x: str, short: int, long: int) -> str:
+    """Columns ``a, lo, hi`` of a short and a long window of a value."""
+    return ", ".join(f"{d.collect(x)} {w(n)} AS a_{t}, min({x}) {w(n)} AS lo_{t}, max({x}) {w(n)} AS hi_{t}" for t, n in (("s", short), ("l", long)))
+
+
+def entropy_of(d, t: str) -> str:
+    return f"CASE WHEN {d.size(f'a_{t}')} < 5 THEN 999.0 WHEN hi_{t} > lo_{t} THEN {histogram_entropy(d, f'b_{t}')} ELSE 0e0 END AS e{t}"
+
+
 @operator
 def relative_entropy(d, rets, short=10, long=40):
-    """Histogram entropy of a short and a long window, and their relative difference; 999 below five values."""
-    def one(n, t):
-        b, value = histogram_entropy(d, "a", "lo", "hi")
-        return f"""SELECT symbol, trade_date, CASE WHEN {d.size('a')} < 5 THEN 999.0 WHEN hi > lo THEN {value} ELSE 0e0 END AS {t} FROM (
-          SELECT symbol, trade_date, a, lo, hi, CASE WHEN hi > lo THEN {b} END AS b FROM (
-            SELECT symbol, trade_date, {d.collect('r1')} {w(n)} AS a, min(r1) {w(n)} AS lo, max(r1) {w(n)} AS hi, count(*) {w(n)} AS m FROM {rets} WHERE r1 IS NOT NULL) v WHERE m = {n}) u"""
+    """Histogram entropy of a short and a long window, and their relative difference; 999 below five values; rows whose long window is full."""
     return f"""
-    SELECT s.symbol, s.trade_date, es, el, (el - es) / nullif(abs(el), 0) AS entropy_rel FROM ({one(short, 'es')}) s JOIN ({one(long, 'el')}) l
-    ON s.symbol = l.symbol AND s.trade_date = l.trade_date"""
+    SELECT symbol, trade_date, es, el, (el - es) / nullif(abs(el), 0) AS entropy_rel FROM (
+      SELECT symbol, trade_date, {entropy_of(d, 's')}, {entropy_of(d, 'l')} FROM (
+        SELECT *, {histogram_bins(d, 'a_s', 'lo_s', 'hi_s')} AS b_s, {histogram_bins(d, 'a_l', 'lo_l', 'hi_l')} AS b_l FROM (
+          SELECT symbol, trade_date, {windows_of(d, 'r1', short, long)}, count(*) {w(max(short, long))} AS m FROM {rets} WHERE r1 IS NOT NULL) v WHERE m = {max(short, long)}) u) t"""
 
 
 def slope_of_logs(values: dict[int, str]) -> str:
@@ -196,15 +224,28 @@ def slope_of_logs(values: dict[int, str]) -> str:
     return f"CASE WHEN {n} >= 2 THEN (({n}) * ({sxy}) - ({sx}) * ({sy})) / (({n}) * ({sxx}) - ({sx}) * ({sx})) END"
 
 
+def _lags(n: int) -> list[int]:
+    return [k for k in (2, 4, 8, 16) if k < n]
+
+
+def moves(n: int) -> str:
+    return ", ".join(f"power(close - {lag('close', k)}, 2) AS m{k}" for k in _lags(n))
+
+
+def displacements(n: int, t: str = "") -> str:
+    return ", ".join(f"avg(m{k}) {w(n - k)} AS v{t}{k}" for k in _lags(n))
+
+
+def hurst_of(n: int, t: str = "", m: str = "m") -> str:
+    return f"CASE WHEN {m} = {n} THEN coalesce({slope_of_logs({k: f'v{t}{k}' for k in _lags(n)})} / 2, 0.5) END"
+
+
 @operator
 def hurst(d, bars, n=40):
     """Half the slope of ln mean square displacement on ln lag; 0.5 where it can't be had."""
-    lags = [k for k in (2, 4, 8, 16) if k < n]
-    moved = ", ".join(f"power(close - {lag('close', k)}, 2) AS m{k}" for k in lags)
-    means = ", ".join(f"avg(m{k}) {w(n - k)} AS v{k}" for k in lags)
     return f"""
-    SELECT symbol, trade_date, CASE WHEN m = {n} THEN coalesce({slope_of_logs({k: f'v{k}' for k in lags})} / 2, 0.5) END AS hurst FROM (
-      SELECT symbol, trade_date, m, {means} FROM (SELECT symbol, trade_date, count(*) {w(n)} AS m, {moved} FROM {bars}) x) y"""
+    SELECT symbol, trade_date, {hurst_of(n)} AS hurst FROM (
+      SELECT symbol, trade_date, m, {displacements(n)} FROM (SELECT symbol, trade_date, count(*) {w(n)} AS m, {moves(n)} FROM {bars}) x) y"""
 
 
 def ar1(x: str, prev: str, n: int) -> str:
@@ -271,7 +312,29 @@ def entropy_motion(d, short, long):
 
 
 @operator
-def coherence(d, pe, pi, eig, n=20):
+def structure(d, rets, n=20):
+    """Pattern entropy, irreversibility and eigenvalue modulus of each full window that isn't constant, in one pass over the rows.
+
+    The same values as of ``permutation_entropy``, ``irreversibility`` and
+    ``dominant_eigenvalue`` joined, where all three are there.
+    """
+    codes = (0, 1, 3, 4, 6, 7)
+    counts = ", ".join(f"sum({bit(f'code = {k}')}) {w(n - 2)} AS c{k}" for k in codes)
+    kept = "symbol, trade_date, n_codes, " + ", ".join(f"c{k}" for k in codes)
+    return f"""
+    SELECT symbol, trade_date, {shannon([f'c{k}' for k in codes], 'n_codes', 6.0)} AS pe, {irreversibility_of(3)} AS pi, {EIG_ABS} AS eig_abs FROM (
+      SELECT *, p1 * p1 + 4 * p2 AS disc FROM (
+        SELECT *, {YULE_WALKER} FROM (
+          SELECT *, {pair_counts(d, 'pairs', 3)}, {autocovariances(d)} FROM (
+            SELECT {kept}, c, {_transitions(d, 's', 3)} AS pairs FROM (
+              SELECT {kept}, {d.map('a', 'x - mu')} AS c, {_states(d, 'a', '0.5 * sd')} AS s FROM (
+                SELECT symbol, trade_date, {counts}, count(code) {w(n - 2)} AS n_codes, {d.collect('lr')} {w(n)} AS a, avg(lr) {w(n)} AS mu, stddev_pop(lr) {w(n)} AS sd, count(lr) {w(n)} AS m FROM (
+                  SELECT symbol, trade_date, lr, {pattern('lr')} AS code FROM {rets}) p) q
+              WHERE n_codes = {n - 2} AND m = {n} AND sd > 1e-12) y) z) v) u) t"""
+
+
+@operator
+def coherence(d, structures, n=20):
     """Density matrix of four amplitudes: off-diagonal sum, purity, normalised purity, decay, and its ten entries."""
     amp = ("a0", "a1", "a2", "a3")
     pairs = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -287,9 +350,7 @@ def coherence(d, pe, pi, eig, n=20):
         SELECT symbol, trade_date, {entries} FROM (
           SELECT symbol, trade_date, sqrt(q0 / s) AS a0, sqrt(q1 / s) AS a1, sqrt(q2 / s) AS a2, sqrt(q3 / s) AS a3 FROM (
             SELECT *, q0 + q1 + q2 + q3 AS s FROM (
-              SELECT p.symbol, p.trade_date, p.pe AS q0, 1 - p.pe + 1e-9 AS q1, least(i.pi, 1.0) AS q2, {clip('e.eig_abs', 0.0, 1.0)} AS q3
-              FROM {pe} p JOIN {pi} i ON p.symbol = i.symbol AND p.trade_date = i.trade_date JOIN {eig} e ON p.symbol = e.symbol AND p.trade_date = e.trade_date
-              WHERE p.pe IS NOT NULL AND i.pi IS NOT NULL AND e.eig_abs IS NOT NULL) a) b WHERE s > 0) c) f WHERE r00 IS NOT NULL) g"""
+              SELECT symbol, trade_date, pe AS q0, 1 - pe + 1e-9 AS q1, least(pi, 1.0) AS q2, {clip('eig_abs', 0.0, 1.0)} AS q3 FROM {structures}) a) b) c) f WHERE r00 IS NOT NULL) g"""
 
 
 @operator

@@ -13,17 +13,12 @@ from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
 
 
-def _physics(bars: DataFrame, rets: DataFrame, short: int, long: int) -> DataFrame:
-    return P.physics(bars, W.relative_entropy(rets, short=short, long=long), W.hurst(bars, n=short), W.hurst(bars, n=long), short=short, long=long)
-
-
 def resonance_scan(bars: DataFrame, master: DataFrame, hold: int = 10, total: int = 10, each: int = 2) -> dict[str, DataFrame]:
     """Three time frames' scores, their joint state, capped picks by date, outcomes and cohort net value."""
     rets = W.returns(bars)
-    scored = {"day": _physics(B.with_returns(bars), rets, 10, 40)}
+    scored = {"day": P.physics(B.with_returns(bars))}
     for period in ("week", "month"):
-        own = B.period_bars(bars, period=period)
-        scored[period] = _physics(own, W.returns(own), 6, 12)
+        scored[period] = P.physics(B.period_bars(bars, period=period), short=6, long=12)
     resonance = P.resonance(scored["day"], scored["week"], scored["month"])
     trades = J.picks(rets, hold=hold)
     marks = O.marked(trades, bars)

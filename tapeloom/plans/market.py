@@ -72,7 +72,8 @@ query("w17_w19_phase_adjusted", KEY + "~adjusted ~plain ~distortion", W.phase_ad
 query("w20_variance_lift", KEY + "~var_lift", W.variance_lift, "rets")
 query("w21_skew", KEY + "~skew", W.adjusted_skew, "rets")
 query("w22_entropy_motion", KEY + "~gap ~gap_5 ~slope ~accel ~velocity", W.entropy_motion, "w8_permutation_entropy", "w8_permutation_entropy_60")
-query("w23_coherence", KEY + "~l1 ~purity ~purity_norm ~decay ~trace", W.coherence, "w8_permutation_entropy", "w10_irreversibility", "w11_dominant_eigenvalue")
+node("structures", W.structure, "rets")
+query("w23_coherence", KEY + "~l1 ~purity ~purity_norm ~decay ~trace", W.coherence, "structures")
 query("w25_volume_ratios", KEY + "~vol_impulse ~shrink ~amount_ratio", W.volume_ratios, "b1_daily_bars")
 query("w26_flow_impulse", KEY + "~2:mf_5 ~2:mf_20 ~mf_impulse ~flow_impulse", W.flow_impulse, "b1_daily_bars")
 query("w27_w28_tiered_flow", KEY + "~2:big_net ~big_ratio ~2:big_10 ~small_share ~imbalance ~2:momentum streak", W.tiered_flow, "s10_money_flow")
@@ -105,15 +106,9 @@ query("f1_f4_scalar_scores", KEY + "~clipped ~scaled ~tent trinary", J.scalar_sc
 query("f16_resolved_symbols", "asked symbol how", J.resolved_symbols, "s8_security_master", "b1_daily_bars")
 
 # scores and states
-node("hurst_10", W.hurst, "b1_daily_bars", n=10)
-node("entropy_rel", W.relative_entropy, "rets")
-query("p1_physics", KEY + "~energy ~temperature ~order_term ~phase_term ~switch_term ~score ~score_min state", P.physics, "b1_bar_returns", "entropy_rel", "hurst_10", "w14_hurst")
+query("p1_physics", KEY + "~energy ~temperature ~order_term ~phase_term ~switch_term ~score ~score_min state", P.physics, "b1_bar_returns")
 for _p in ("week", "month"):
-    node(f"{_p}_rets", W.returns, "b2_weekly_bars" if _p == "week" else "b2_monthly_bars")
-    node(f"{_p}_entropy", W.relative_entropy, f"{_p}_rets", short=6, long=12)
-    node(f"{_p}_h6", W.hurst, f"{_p}_rets", n=6)
-    node(f"{_p}_h12", W.hurst, f"{_p}_rets", n=12)
-    query(f"p1_physics_{_p}", KEY + "~score ~score_min state", P.physics, "b2_weekly_bars" if _p == "week" else "b2_monthly_bars", f"{_p}_entropy", f"{_p}_h6", f"{_p}_h12", short=6, long=12)
+    query(f"p1_physics_{_p}", KEY + "~score ~score_min state", P.physics, "b2_weekly_bars" if _p == "week" else "b2_monthly_bars", short=6, long=12)
 query("p2_resonance", KEY + "~score_min support_count ~resonance_score resonance_state", P.resonance, "p1_physics", "p1_physics_week", "p1_physics_month")
 query("p3_first_signal", "symbol signal_date entry_date ~entry_price ~ret_to_end ~runup n_signals", P.first_signal, "p2_resonance")
 query("p5_p7_setup", KEY + "~entropy_quality ~bifurcation_quality ~trigger_quality ~execution_cost ~setup_score setup", P.setup_frame, "rets", "w8_permutation_entropy", "w8_permutation_entropy_60", "w10_irreversibility", "w11_dominant_eigenvalue", "w15_recovery_rate", "w20_variance_lift")

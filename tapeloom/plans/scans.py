@@ -37,7 +37,7 @@ def accumulation_scan(bars: DataFrame, master: DataFrame, hold: int = 20, total:
     rets = W.returns(bars)
     pe, pi, eig = W.permutation_entropy(rets), W.irreversibility(rets), W.dominant_eigenvalue(rets)
     flow = W.tiered_flow(S.money_flow(bars))
-    frame = D.detector_frame(W.volume_ratios(bars), pe, pi, eig, W.coherence(pe, pi, eig), flow, W.entropy_motion(pe, W.permutation_entropy(rets, n=60)))
+    frame = D.detector_frame(W.volume_ratios(bars), pe, pi, eig, W.coherence(W.structure(rets)), flow, W.entropy_motion(pe, W.permutation_entropy(rets, n=60)))
     found = D.detect_collapse(D.detect_breakout(D.detect_accumulation(frame)))
     return _scan(rets, master, found, "breakout_quality", "breakout AND NOT collapse", hold, total, each)
 

@@ -114,8 +114,18 @@ def test_hurst(rets):
     assert got[2][69] == 0.5
 
 
+def test_structure_is_the_three_kernels_joined(rets):
+    keys = ["symbol", "trade_date"]
+    want = W.permutation_entropy(rets).join(W.irreversibility(rets), keys).join(W.dominant_eigenvalue(rets), keys).where("pe IS NOT NULL AND pi IS NOT NULL AND eig_abs IS NOT NULL")
+    want = {(r["symbol"], r["trade_date"]): (r["pe"], r["pi"], r["eig_abs"]) for r in want.collect()}
+    got = {(r["symbol"], r["trade_date"]): (r["pe"], r["pi"], r["eig_abs"]) for r in W.structure(rets).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    for k, v in got.items():
+        assert all(abs(a - b) < 1e-9 for a, b in zip(v, want[k]))
+
+
 def test_coherence_bounds(rets):
-    rows = W.coherence(W.permutation_entropy(rets), W.irreversibility(rets), W.dominant_eigenvalue(rets)).collect()
+    rows = W.coherence(W.structure(rets)).collect()
     assert rows
     for r in rows:
         assert abs(r["trace"] - 1) < 1e-9 and 0.25 - 1e-9 <= r["purity"] <= 1 + 1e-9 and r["l1"] >= 0
