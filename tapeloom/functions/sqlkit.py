@@ -34,6 +34,10 @@ class Dialect:
     def filter(self, a: str, cond: str, v: str = "x") -> str:
         return self.pick(f"filter({a}, {v} -> {cond})", f"list_filter({a}, lambda {v}: {cond})")
 
+    def count_of(self, a: str, k) -> str:
+        """How often a value is in an array."""
+        return self.pick(f"(size({a}) - size(array_remove({a}, {k})))", self.size(self.filter(a, f"x = {k}")))
+
     def size(self, a: str) -> str:
         return self.pick(f"size({a})", f"CAST(len({a}) AS INTEGER)")
 

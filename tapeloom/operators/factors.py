@@ -64,7 +64,7 @@ def date_ic(d, rows, least=10):
 def quantile_returns(d, rows, q=5):
     """Mean forward return by quantile of the factor; edges that coincide are one, as values equal to an edge belong below it."""
     edges = d.pick(
-        "array_distinct(array(" + ", ".join(f"percentile(value, {k / q})" for k in range(q + 1)) + "))",
+        "array_distinct(percentile(value, array(" + ", ".join(f"{k / q}D" for k in range(q + 1)) + ")))",
         "list_distinct([" + ", ".join(f"quantile_cont(value, {k / q})" for k in range(q + 1)) + "])",
     )
     lowest = d.pick("array_min(edges)", "list_min(edges)")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.functions.sqlkit import bit, div, operator, shannon, w
-from tapeloom.operators.windows import _transitions, irreversibility_of, pattern
+from tapeloom.operators.windows import _transitions, irreversibility_of, pair_counts, pattern
 
 TICK = "PARTITION BY symbol ORDER BY ts"
 DAY = "PARTITION BY symbol, trade_date ORDER BY minute"
@@ -57,10 +57,11 @@ def whole_day(d, rets, least=6):
     counts = [d.size(d.filter("codes", f"x = {k}")) for k in (0, 1, 3, 4, 6, 7)]
     states = d.map("a", "CASE WHEN x > 0.5 * sd THEN 2 WHEN x < -0.5 * sd THEN 0 ELSE 1 END")
     return f"""
-    SELECT symbol, trade_date, n_ticks, pe, {irreversibility_of(d, 'pairs', 3)} AS pi, am_sd - pm_sd AS shift, CASE WHEN pe < 0.7 THEN 'trend' WHEN pe < 0.9 THEN 'structured' ELSE 'noise' END AS label FROM (
-      SELECT *, {shannon(counts, d.size('codes'), 6.0)} AS pe, {_transitions(d, 's', 3)} AS pairs FROM (
+    SELECT symbol, trade_date, n_ticks, pe, {irreversibility_of(3)} AS pi, am_sd - pm_sd AS shift, CASE WHEN pe < 0.7 THEN 'trend' WHEN pe < 0.9 THEN 'structured' ELSE 'noise' END AS label FROM (
+      SELECT *, {pair_counts(d, 'pairs', 3)} FROM (
+       SELECT *, {shannon(counts, d.size('codes'), 6.0)} AS pe, {_transitions(d, 's', 3)} AS pairs FROM (
         SELECT *, {codes} AS codes, {states} AS s FROM (
-          SELECT symbol, trade_date, count(lr) AS n_ticks, {arr} AS a, stddev_pop(lr) AS sd, stddev_pop(CASE WHEN hour(ts) < 12 THEN lr END) AS am_sd, stddev_pop(CASE WHEN hour(ts) >= 12 THEN lr END) AS pm_sd FROM {rets} GROUP BY symbol, trade_date HAVING count(lr) >= {least}) x) y) z"""
+          SELECT symbol, trade_date, count(lr) AS n_ticks, {arr} AS a, stddev_pop(lr) AS sd, stddev_pop(CASE WHEN hour(ts) < 12 THEN lr END) AS am_sd, stddev_pop(CASE WHEN hour(ts) >= 12 THEN lr END) AS pm_sd FROM {rets} GROUP BY symbol, trade_date HAVING count(lr) >= {least}) x) y) z) v"""
 
 
 @operator

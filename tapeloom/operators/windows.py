@@ -100,7 +100,9 @@ def _states(d, a: str, threshold: str) -> str:
 def pair_counts(d, pairs: str, states: int) -> str:
     """Columns ``total`` and, of each pair of different states, ``k<code>``; ``pairs`` holds i * states + j."""
     codes = [i * states + j for i in range(states) for j in range(states) if i != j]
-    return f"{d.size(pairs)} AS total, " + ", ".join(f"{d.size(d.filter(pairs, f'x = {k}'))} AS k{k}" for k in codes)
+    if states > 3:  # generated code for so many pairs would be too long to be compiled
+        return f"{d.size(pairs)} AS total, " + ", ".join(f"{d.size(d.filter(pairs, f'x = {k}'))} AS k{k}" for k in codes)
+    return f"{d.size(pairs)} AS total, " + ", ".join(f"{d.count_of(pairs, k)} AS k{k}" for k in codes)
 
 
 def irreversibility_of(states: int) -> str:
@@ -171,14 +173,14 @@ def dominant_eigenvalue(d, rets, n=20):
 
 
 def histogram_bins(d, a: str, lo: str, hi: str, bins: int = 10) -> str:
-    """Places in equal bins between the least and largest value, the last one closed; values within 1e-9 of an edge are on it; missing for a constant window."""
-    b = d.map(a, f"least(CAST(floor(round((x - {lo}) / ({hi} - {lo}) * {bins}, 9)) AS INT), {bins - 1})")
+    """Places in equal bins between the least and largest value, the last one closed; values less than 5e-10 of a bin below an edge are on it; missing for a constant window."""
+    b = d.map(a, f"least(CAST(floor((x - {lo}) / ({hi} - {lo}) * {bins} + 5e-10) AS INT), {bins - 1})")
     return f"CASE WHEN {hi} > {lo} THEN {b} END"
 
 
 def histogram_entropy(d, b: str, bins: int = 10) -> str:
     """Entropy of an array of places: counts first, each made once."""
-    counts = d.map(d.range("0", f"{bins - 1}"), d.size(d.filter(b, "x = k")), "k")
+    counts = d.map(d.range("0", f"{bins - 1}"), d.count_of(b, "k"), "k")
     share = f"k / CAST({d.size(b)} AS DOUBLE)"
     return f"-({d.total(d.map(counts, f'CASE WHEN k > 0 THEN ({share}) * ln({share}) ELSE CAST(0 AS DOUBLE) END', 'k'))})"
 
