@@ -6,6 +6,7 @@ from tapeloom.llm.contamination import op2_decontamination
 from tapeloom.llm.language_id import op10_language_id
 from tapeloom.llm.language_model import op6_hmm_scoring
 from tapeloom.llm.line_dedup import OP4_SQL, op4_line_dedup
+from tapeloom.llm.manifest import OP12_SQL, op12_merkle_manifest
 from tapeloom.llm.packing import op1_best_fit_packing
 from tapeloom.llm.quality import op8_quality_classifier
 from tapeloom.llm.simhash import op5_simhash_near_dedup
@@ -26,8 +27,9 @@ def queries():
         "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_topk": op9_exact_topk,
         "op10_language_id": op10_language_id,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": OP4_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_exact_topk": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
