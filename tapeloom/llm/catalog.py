@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tapeloom.llm.consistent_parse import op13_document_fingerprints
 from tapeloom.llm.contamination import op2_decontamination
 from tapeloom.llm.language_id import op10_language_id
 from tapeloom.llm.language_model import op6_hmm_scoring
@@ -28,6 +29,7 @@ def queries():
         "op9_exact_topk": op9_exact_topk,
         "op10_language_id": op10_language_id,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_document_fingerprints": op13_document_fingerprints,
     }
 
 
