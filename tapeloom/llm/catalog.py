@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tapeloom.llm.collocations import OP11_SQL, op11_phrase_collocations
 from tapeloom.llm.consistent_parse import op13_document_fingerprints
 from tapeloom.llm.contamination import op2_decontamination
 from tapeloom.llm.language_id import op10_language_id
@@ -28,10 +29,11 @@ def queries():
         "op8_quality_classifier": op8_quality_classifier,
         "op9_exact_topk": op9_exact_topk,
         "op10_language_id": op10_language_id,
+        "op11_phrase_collocations": op11_phrase_collocations,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_document_fingerprints": op13_document_fingerprints,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": OP4_SQL, "op9_exact_topk": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_exact_topk": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
