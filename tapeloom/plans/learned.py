@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tapeloom.operators import kernels, models
 from tapeloom.plans import graph
+from tapeloom.sources.workdir import fresh_path
 from tapeloom.streaming import market as stream
 
 
@@ -34,14 +32,9 @@ def walk_forward(spark, sf_dir):
     return models.walk_forward(_panel(spark, sf_dir), ["1998-12-31", "1999-12-31"], rounds=3)
 
 
-def _work(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tapeloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _through(spark, sf_dir, make):
     """Run a stream over the tick table to its end and read what it wrote."""
-    path = _work(spark)
+    path = fresh_path(spark, "stream")
     graph.frame(spark, sf_dir, "s3_ticks").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{path}/in")
     rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     q = make(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
