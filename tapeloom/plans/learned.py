@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import kernels, models
 from tapeloom.plans import graph
 from tapeloom.sources.workdir import fresh_path
+from tapeloom.streaming import keyed
 from tapeloom.streaming import market as stream
 
 
@@ -67,6 +68,37 @@ def stream_track(spark, sf_dir):
     return _through(spark, sf_dir, lambda r: stream.track(r.select("symbol", "ts", F.col("price").alias("close"))))
 
 
+def _keyed(spark, tables, make):
+    """Run a keyed stream over tables (``ts`` is a timestamp) and read what it wrote; a last row lets the watermark pass all others."""
+    path = fresh_path(spark, "stream")
+    streams = []
+    for k, df in enumerate(tables):
+        df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+        df.write.parquet(f"{path}/in{k}")
+        last = df.orderBy(F.desc("ts")).limit(1).withColumns({"symbol": F.lit(None).cast(dict(df.dtypes)["symbol"]), "ts": F.expr("ts + INTERVAL 400 DAYS")})
+        last.write.mode("append").parquet(f"{path}/in{k}")
+        streams.append(spark.readStream.schema(df.schema).parquet(f"{path}/in{k}"))
+    with keyed.keyed_state(spark):
+        q = make(*streams).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("symbol IS NOT NULL")
+
+
+def stream_adaptive(spark, sf_dir):
+    scored = graph.frame(spark, sf_dir, "adaptive_scores").withColumnRenamed("trade_date", "ts")
+    rows = scored.select("symbol", "ts", F.col("scan_no").cast("long").alias("scan_no"), *[F.col(c).cast("double").alias(c) for c in ("accum_score", "breakout_score", "collapse_score", "up_prob")])
+    out = _keyed(spark, [rows], keyed.adaptive_stream)
+    return out.select("symbol", F.to_date("ts").alias("trade_date"), "scan_no", "state", "held")
+
+
+def stream_positions(spark, sf_dir):
+    """Positions of all picks, marked by the daily closes: marks and ledger."""
+    made = {}
+    picks = graph.frame(spark, sf_dir, "j12_o1_picks", made).select("symbol", F.col("entry_date").alias("ts"), F.col("entry_price").cast("double").alias("price")).where("ts IS NOT NULL")
+    prices = graph.frame(spark, sf_dir, "b1_daily_bars", made).select("symbol", F.col("trade_date").alias("ts"), F.col("close").cast("double").alias("price"))
+    return _keyed(spark, [picks, prices], keyed.position_stream)
+
+
 def von_neumann(spark, sf_dir):
     return kernels.von_neumann(graph.frame(spark, sf_dir, "w23_coherence"))
 
@@ -87,4 +119,6 @@ QUERIES = {
     "stream_r4_sessions": stream_sessions,
     "stream_r5_latch": stream_latch,
     "stream_r6_r7_track": stream_track,
+    "stream_r6_r7_positions": stream_positions,
+    "stream_p14_adaptive": stream_adaptive,
 }

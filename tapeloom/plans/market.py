@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tapeloom.operators import adaptive as Y
 from tapeloom.operators import bars as B
 from tapeloom.operators import cross as A
 from tapeloom.operators import detectors as D
@@ -238,3 +239,11 @@ query("p30_sell_signal", KEY + "~diffusion ~stealth ~exhaustion ~anomaly ~total
 query("p31_trend_hold", "symbol entry_date trade_date alive ~sell_from", E.trend_hold, "r18_holding_features", "p27_daily_entropy")
 query("p4_signals_at", KEY + "resonance_state support_count ~score_min ~resonance_score", E.signals_at, "p2_resonance", exact=False)
 query("f18_pruned", KEY + "~2:buy_sm", R.pruned, "s10_money_flow", names=("symbol", "trade_date", "buy_sm", "sell_sm", "buy_md", "sell_md", "buy_lg", "sell_lg", "buy_elg", "sell_elg"))
+
+# adaptive states at every fifth date, and their replay
+node("scans", Y.scan_dates, "s14_calendar")
+node("up_model", Y.up_share_model, "w32_efficiency")
+node("adaptive_scores", Y.adaptive_scores, "detector_frame", "scans", "up_model")
+query("p14_adaptive_state", KEY + "scan_no state held ~aq ~bq ~confidence", Y.adaptive_states, "adaptive_scores")
+query("p14_state_counts", "trade_date scan_no state n ~confidence", Y.scan_summary, "p14_adaptive_state")
+query("c13_signal_replay", KEY + "entry_date ~entry_price exit_date ~confidence ~ret", Y.adaptive_outcomes, "p14_adaptive_state", "b1_daily_bars")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators import adaptive as Y
 from tapeloom.operators import cross as A
 from tapeloom.operators import detectors as D
 from tapeloom.operators import dual as E
@@ -34,12 +35,31 @@ def _scan(rets: DataFrame, master: DataFrame, scored: DataFrame, score: str, whe
 
 def accumulation_scan(bars: DataFrame, master: DataFrame, hold: int = 20, total: int = 10, each: int = 2) -> dict[str, DataFrame]:
     """Accumulation, break-out and collapse of every symbol, break-outs ranked by quality, outcomes."""
+    found = D.detect_collapse(D.detect_breakout(D.detect_accumulation(detector_inputs(bars))))
+    return _scan(W.returns(bars), master, found, "breakout_quality", "breakout AND NOT collapse", hold, total, each)
+
+
+def detector_inputs(bars: DataFrame) -> DataFrame:
+    """The features that detectors and adaptive states read, one row a symbol and day."""
     rets = W.returns(bars)
     pe, pi, eig = W.permutation_entropy(rets), W.irreversibility(rets), W.dominant_eigenvalue(rets)
-    flow = W.tiered_flow(S.money_flow(bars))
-    frame = D.detector_frame(W.volume_ratios(bars), pe, pi, eig, W.coherence(W.structure(rets)), flow, W.entropy_motion(pe, W.permutation_entropy(rets, n=60)))
-    found = D.detect_collapse(D.detect_breakout(D.detect_accumulation(frame)))
-    return _scan(rets, master, found, "breakout_quality", "breakout AND NOT collapse", hold, total, each)
+    return D.detector_frame(W.volume_ratios(bars), pe, pi, eig, W.coherence(W.structure(rets)), W.tiered_flow(S.money_flow(bars)), W.entropy_motion(pe, W.permutation_entropy(rets, n=60)))
+
+
+def adaptive_replay(bars: DataFrame, model: DataFrame | None = None, start: str | None = None, end: str | None = None, every: int = 5, hold_scans: int = 3, hold: int = 10, least: float = 0.0) -> dict[str, DataFrame]:
+    """Adaptive states at every n-th date between two dates, their counts, the signals and what became of the break-outs.
+
+    ``model`` gives ``symbol, trade_date, up_prob``; without it the probability
+    is one half.  Signals are all states but idle of at least a confidence.
+    """
+    days = S.calendar(bars)
+    if start or end:
+        days = days.where(F.col("trade_date").between(start or "0001-01-01", end or "9999-12-31")).withColumn("cal_no", F.expr("row_number() OVER (ORDER BY trade_date)"))
+    if model is None:
+        model = bars.select("symbol", "trade_date", F.lit(0.5).alias("up_prob"))
+    states = Y.adaptive_states(Y.adaptive_scores(detector_inputs(bars), Y.scan_dates(days, every=every), model), hold_scans=hold_scans)
+    signals = states.where((F.col("state") != "idle") & (F.col("confidence") >= least))
+    return {"states": states, "summary": Y.scan_summary(states), "signals": signals, "trades": Y.adaptive_outcomes(states, bars, hold=hold)}
 
 
 def four_layer_scan(bars: DataFrame, master: DataFrame, hold: int = 10, total: int = 10, each: int = 2) -> dict[str, DataFrame]:
