@@ -1,12 +1,15 @@
 """Phrase collocations by multikey quicksort of suffix pointers.
 
-Words are counted by language first.  A phrase of at least ``least`` occurrences
-has only words of at least as many, so suffixes, cut to ``DEPTH`` words, end at a
-rarer word or at the end of their piece.  Equal suffixes of a slice of texts are
-one row with a weight; suffixes go to tasks by their leading words, so that all
-that begin alike meet.  There a three-way quicksort of suffix pointers, one word
-at a time, down to ``DEPTH``, makes partitions of equal beginnings: a partition's
-weight is the count of that phrase.  A partition below ``least`` is abandoned.
+Routing by leading words goes by levels, each of which abandons what is too
+rare.  Words are counted by language.  Pairs of words that are frequent enough
+are counted next, as sets of 40-bit hashes in ascending order, which take about
+three bytes a pair; sums of pairs that share a hash can only be too high, so no
+frequent pair is lost.  Then suffixes, cut to ``DEPTH`` words and ended where a
+word or pair is too rare or their piece ends, go to tasks by their leading
+words, equal ones of a task as one row with a weight.  There a three-way
+quicksort of suffix pointers, one word at a time, down to ``DEPTH``, makes
+partitions of equal beginnings: a partition's weight is the count of that
+phrase.  A partition below ``least`` is abandoned.
 
 A leading word that makes up more than 1 / ``HOT`` of all words (there are fewer
 than ``HOT``) doesn't decide a suffix's task by itself: the next word is taken as
@@ -16,9 +19,9 @@ them abandoned there; their counts are summed afterwards.
 
 Words travel as 64-bit hashes of language and word.  That no two of the corpus
 share a hash is checked over the whole vocabulary; else another seed is taken.
-Which words are frequent is told to tasks by a bitmap of at most ``MOST_BITS``;
-where it fills, rarer words pass and their suffixes are abandoned later: counts
-stay exact.
+Which words and pairs are frequent is told to tasks by bitmaps of at most
+``MOST_BITS``; where one fills, rarer ones pass and their suffixes are abandoned
+later: counts stay exact.
 
 Scores, covered phrases and ranks are joins over the counted phrases.  A null
 text is empty; a null language is ``und``, as is one of that name.  Repeated rows
@@ -40,8 +43,10 @@ from tapeloom.llm.tokens import text_slices
 
 DEPTH, HOT = 5, 512
 MOST_BITS, SEGMENT = 1 << 28, 1 << 18
-#: Suffixes that a task sorts, about.
-TOGETHER = 1 << 21
+#: Suffixes that a task sorts, about; what a task gathers before it sends it on.
+TOGETHER, GATHERED = 1 << 21, 1 << 20
+#: Bits of a pair's hash.
+PAIR_BITS = 40
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0 in words, 1 between words, 2 between pieces.
@@ -105,11 +110,8 @@ def _codes(seed: str, lang: str, words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(prefix + w, 42) for w in words), _U, len(words))
 
 
-def _bitmap(frequent: DataFrame, count: int) -> np.ndarray:
-    """Bits of the frequent words' codes."""
-    bits = SEGMENT
-    while bits < min(64 * count, MOST_BITS):
-        bits *= 2
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """Bits at ``place``, a column below ``bits``."""
     schema = pa.schema([("segment", pa.int32()), ("bits", pa.binary())])
 
     def run(batches):
@@ -121,24 +123,117 @@ def _bitmap(frequent: DataFrame, count: int) -> np.ndarray:
         for k, own in state.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], schema=schema)
 
-    places = frequent.select((F.col("code").bitwiseAND(F.lit(bits - 1))).cast("int").alias("place"))
     out = np.zeros(bits // 8, np.uint8)
     for r in places.repartition(F.expr(f"place div {SEGMENT}")).mapInArrow(run, "segment int, bits binary").toLocalIterator():
         out[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _windows(own: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """For each place where two frequent words of a piece follow each other, its next ``DEPTH`` words, ended by 0.
-
-    ``own`` numbers the frequent words from 1; 0 is any other.
-    """
+def _filter_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of some hashes, 64 bits each up to ``MOST_BITS``."""
+    count, bits = hashes.count(), SEGMENT
+    while bits < min(64 * count, MOST_BITS):
+        bits *= 2
+    return _bitmap(hashes.select(F.col(column).bitwiseAND(F.lit(bits - 1)).cast("int").alias("place")), bits)
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes & _U(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sequences(batches, words_filter: np.ndarray, seed: str):
+    """Of each slice's languages the codes of all words in order, 0 for rare ones, and whether a word and the next are a pair in a piece."""
+    for lang, texts in _by_lang(batches):
+        words, piece = words_of(texts)
+        words = words.dictionary_encode()
+        codes = _codes(seed, lang, words.dictionary.to_pylist())
+        codes[~_has(words_filter, codes)] = 0
+        own = codes[words.indices.to_numpy(zero_copy_only=False)]
+        yield own, (piece[1:] == piece[:-1]) & (own[1:] != 0) & (own[:-1] != 0)
+
+
+def _pair_hashes(own: np.ndarray, paired: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(paired)
+    return _mix(_mix(own[at], _U(1)), own[at + 1]) >> _U(64 - PAIR_BITS)
+
+
+def _summed(hashes: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, with their counts, up to ``most``."""
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[at], np.minimum(np.add.reduceat(n, at), most) if len(at) else n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Compressed, the lowest bytes of all values first."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), asbytes=True)
+
+
+def _from_planes(data: bytes, kind: str, count: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(data, count * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def frequent_pairs(docs: DataFrame, filt, seed: str, least: int, routes: int) -> DataFrame:
+    """``pair``, the hashes of word pairs whose occurrences reach ``least``."""
+    sent = pa.schema([("route", pa.int32()), ("count", pa.int32()), ("steps", pa.binary()), ("n", pa.binary())])
+    bits = max(8, (routes - 1).bit_length())  # at least 256 routes, so that a step fits into 32 bits
+    width, most = 1 << (PAIR_BITS - bits), min(least, 1 << 30)
+
+    def gathered(parts):
+        hashes, n = _summed(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]), most)
+        route = (hashes // _U(width)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(hashes)) if len(hashes) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            steps = np.diff(hashes[a:z] - _U(int(route[a]) * width), prepend=_U(0)).astype("<u4")
+            values = [int(route[a]), int(z - a), _planes(steps), _planes(n[a:z].astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, sent)], schema=sent)
+
+    def send(batches):
+        parts, size = [], 0
+        for own, paired in _sequences(batches, filt.value, seed):
+            hashes = _pair_hashes(own, paired)
+            parts.append(_summed(hashes, np.ones(len(hashes), np.int64), most))
+            size += len(parts[-1][0])
+            if size > 4 * GATHERED:
+                yield from gathered(parts)
+                parts, size = [], 0
+        if parts:
+            yield from gathered(parts)
+
+    def merge(batches):
+        for route, rows in _grouped(batches, ("count", "steps", "n")):
+            hashes = np.concatenate([np.cumsum(_from_planes(s, "<u4", c).astype(_U)) for c, s, _ in rows]) + _U(route * width)
+            found, n = _summed(hashes, np.concatenate([_from_planes(x, "<u4", c).astype(np.int64) for c, _, x in rows]), most)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n >= least].astype(np.int64))], names=["pair"])
+
+    routed = docs.mapInArrow(send, "route int, count int, steps binary, n binary")
+    return routed.repartition("route").sortWithinPartitions("route").mapInArrow(merge, "pair long")
+
+
+def _grouped(batches, columns: tuple[str, ...]):
+    """Rows of each route of a part sorted by it."""
+    route, rows = None, []
+    for b in batches:
+        for r, *row in zip(*(b.column(c).to_pylist() for c in ("route", *columns))):
+            if r != route and rows:
+                yield route, rows
+                rows = []
+            route = r
+            rows.append(row)
+    if rows:
+        yield route, rows
+
+
+def _windows(own: np.ndarray, paired: np.ndarray) -> np.ndarray:
+    """For each word that makes a pair with the next its next ``DEPTH`` words, ended by 0 where a pair ends."""
     n = len(own)
-    stop = np.ones(n + 1, bool)  # a run ends before here
-    stop[1:n] = (piece[1:] != piece[:-1]) | (own[1:] == 0) | (own[:-1] == 0)
-    ends = np.flatnonzero(stop)
+    ends = np.flatnonzero(np.append(~paired, True)) + 1  # a run ends before here
     left = ends[np.searchsorted(ends, np.arange(n), side="right")] - np.arange(n)
-    at = np.flatnonzero((left > 1) & (own > 0))
+    at = np.flatnonzero(left > 1)
     out = np.zeros((DEPTH, len(at)), own.dtype)
     for k in range(DEPTH):
         more = left[at] > k
@@ -151,53 +246,58 @@ def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def suffixes(docs: DataFrame, filt, hot: frozenset[int], seed: str, routes: int) -> DataFrame:
-    """``route, codes, windows, weights``: a slice's suffixes for each route, distinct ones with their weights, as packed arrays."""
-    schema = pa.schema([("route", pa.int32()), ("codes", pa.binary()), ("windows", pa.binary()), ("weights", pa.binary())])
+def _whole(w: np.ndarray) -> np.ndarray:
+    out = np.zeros(w.shape[1], _U)
+    for row in w:
+        out = _mix(out, row)
+    return out
+
+
+def _weighted(w: np.ndarray, weight: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal suffixes as one, in the order of ``key``, which equal ones share."""
+    order = np.argsort(key)
+    w, key = w[:, order], key[order]
+    at = np.flatnonzero(np.append(True, (w[:, 1:] != w[:, :-1]).any(axis=0)))
+    return w[:, at], np.add.reduceat(weight[order], at), key[at]
+
+
+def suffixes(docs: DataFrame, words_filter, pairs_filter, hot: frozenset[int], seed: str, routes: int) -> DataFrame:
+    """``route, count, codes, windows, weights``: suffixes of a task for each route, distinct ones with their weights, packed."""
+    schema = pa.schema([("route", pa.int32()), ("count", pa.int32()), ("codes", pa.binary()), ("windows", pa.binary()), ("weights", pa.binary())])
     hot_codes = np.array(sorted(hot), _U)
 
+    def gathered(parts):
+        w, weight = np.concatenate([x for x, _ in parts], axis=1), np.concatenate([n for _, n in parts])
+        route, going = np.zeros(w.shape[1], _U), np.ones(w.shape[1], bool)
+        for row in w:
+            route = np.where(going, _mix(route, row), route)
+            going &= np.isin(row, hot_codes)
+        w, weight, key = _weighted(w, weight, ((route % _U(routes)) << _U(40)) | (_whole(w) >> _U(24)))
+        route = (key >> _U(40)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(route))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            codes, place = np.unique(w[:, a:z], return_inverse=True)
+            packed = place.reshape(-1).astype("<u2" if len(codes) <= 1 << 16 else "<u4")
+            values = [int(route[a]), z - a, codes.astype("<u8").tobytes(), _planes(packed), _planes(weight[a:z].astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
     def run(batches):
-        bits = filt.value
-        for lang, texts in _by_lang(batches):
-            words, piece = words_of(texts)
-            words = words.dictionary_encode()
-            codes = _codes(seed, lang, words.dictionary.to_pylist())
-            place = (codes & _U(len(bits) * 8 - 1)).astype(np.int64)
-            known = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            number = np.where(known, np.cumsum(known), 0).astype(np.int32)
-            codes = np.append(_U(0), codes[known])
-            w = _windows(number[words.indices.to_numpy(zero_copy_only=False)], piece)
+        parts, size = [], 0
+        for own, paired in _sequences(batches, words_filter.value, seed):
+            paired[np.flatnonzero(paired)[~_has(pairs_filter.value, _pair_hashes(own, paired))]] = False
+            w = _windows(own, paired)
             if not w.shape[1]:
                 continue
-            common = np.append(False, np.isin(codes[1:], hot_codes))
-            route, whole = np.zeros((2, w.shape[1]), _U)
-            going = np.ones(w.shape[1], bool)
-            for k in range(DEPTH):
-                own = codes[w[k]]
-                whole = _mix(whole, own)
-                route = np.where(going, whole, route)
-                going &= common[w[k]]
-            route %= _U(routes)
-            order = np.argsort((route << _U(40)) | (whole >> _U(24)))
-            w, route = w[:, order], route[order]
-            new = np.append(True, (w[:, 1:] != w[:, :-1]).any(axis=0))
-            at = np.flatnonzero(new)
-            weight = np.diff(at, append=len(order)).astype("<u4")
-            w, route = w[:, at], route[at]
-            cuts = np.append(np.flatnonzero(np.append(True, route[1:] != route[:-1])), len(at))
-            used = np.zeros(len(codes), bool)
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own = w[:, a:z]
-                used[:] = False
-                used[own.ravel()] = True
-                used[0] = True
-                small = (np.cumsum(used) - 1)[own]
-                kept = codes[used]
-                packed = small.astype("<u2" if len(kept) < 1 << 16 else "<u4")
-                values = [int(route[a]), kept.astype("<u8").tobytes(), packed.tobytes(), weight[a:z].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
-
-    return docs.mapInArrow(run, "route int, codes binary, windows binary, weights binary")
+            w, weight, _ = _weighted(w, np.ones(w.shape[1], np.int64), _whole(w))
+            parts.append((w, weight))
+            size += len(weight)
+            if size > GATHERED:
+                yield from gathered(parts)
+                parts, size = [], 0
+        if parts:
+            yield from gathered(parts)
+
+    return docs.mapInArrow(run, "route int, count int, codes binary, windows binary, weights binary")
 
 
 def sorted_counts(words: list[np.ndarray], weight: np.ndarray, common: np.ndarray, least: int):
@@ -249,17 +349,17 @@ def phrase_counts(routed: DataFrame, hot: frozenset[int], least: int) -> DataFra
     schema = pa.schema([("codes", pa.list_(pa.int64())), ("n", pa.int64())])
     hot_codes = np.array(sorted(hot), _U)
 
-    def counted(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        books = [np.frombuffer(c, "<u8") for c, _, _ in rows]
-        all_codes, where = np.unique(np.concatenate(books), return_inverse=True)  # 0 is the least
-        columns, at = [[] for _ in range(DEPTH)], 0
-        for book, (_, packed, _) in zip(books, rows):
+    def counted(rows: list) -> pa.RecordBatch:
+        books = [np.frombuffer(c, "<u8") for _, c, _, _ in rows]
+        all_codes, where = np.unique(np.concatenate([np.zeros(1, _U), *books]), return_inverse=True)  # 0 is the least
+        columns, at = [[] for _ in range(DEPTH)], 1
+        for book, (count, _, packed, _) in zip(books, rows):
             own = where[at : at + len(book)].astype(np.int32)
             at += len(book)
-            w = np.frombuffer(packed, "<u2" if len(book) < 1 << 16 else "<u4").reshape(DEPTH, -1)
+            w = _from_planes(packed, "<u2" if len(book) <= 1 << 16 else "<u4", count * DEPTH).reshape(DEPTH, -1)
             for k in range(DEPTH):
                 columns[k].append(own[w[k]])
-        weight = np.concatenate([np.frombuffer(x, "<u4") for _, _, x in rows]).astype(np.int64)
+        weight = np.concatenate([_from_planes(x, "<u4", count) for count, _, _, x in rows]).astype(np.int64)
         common = np.append(False, np.isin(all_codes[1:], hot_codes))
         found = list(sorted_counts([np.concatenate(c) for c in columns], weight, common, least))
         flat = all_codes[np.fromiter((w for p, _ in found for w in p), np.int64)].view(np.int64) if found else np.zeros(0, np.int64)
@@ -267,15 +367,7 @@ def phrase_counts(routed: DataFrame, hot: frozenset[int], least: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([n for _, n in found], pa.int64())], schema=schema)
 
     def run(batches):
-        route, rows = None, []
-        for b in batches:
-            for r, *row in zip(*(b.column(c).to_pylist() for c in ("route", "codes", "windows", "weights"))):
-                if r != route and rows:
-                    yield counted(rows)
-                    rows = []
-                route = r
-                rows.append(row)
-        if rows:
+        for _, rows in _grouped(batches, ("count", "codes", "windows", "weights")):
             yield counted(rows)
 
     parts = routed.repartition("route").sortWithinPartitions("route")
@@ -311,10 +403,13 @@ def collocations(docs: DataFrame, least: int = 100, covered_share: int = 100, to
     whole = totals.agg(F.sum("n")).first()[0] or 0
     frequent = materialize(vocabulary.where(F.col("n") >= least), "frequent")
     hot = frozenset(r["code"] % (1 << 64) for r in frequent.where(F.col("n") * HOT > whole).select("code").collect())
-    filt = spark.sparkContext.broadcast(_bitmap(frequent, frequent.count()))
-    routes = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole // TOGETHER)
-    counted = materialize(phrase_counts(suffixes(plain, filt, hot, seed, routes), hot, least), "phrases")
-    filt.unpersist()
+    routes = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole // TOGETHER)
+    words_filter = spark.sparkContext.broadcast(_filter_of(frequent, "code"))
+    pairs = materialize(frequent_pairs(plain, words_filter, seed, least, routes), "pairs")
+    pairs_filter = spark.sparkContext.broadcast(_filter_of(pairs, "pair"))
+    counted = materialize(phrase_counts(suffixes(plain, words_filter, pairs_filter, hot, seed, routes), hot, least), "phrases")
+    for b in (words_filter, pairs_filter):
+        b.unpersist()
     words = counted.select("codes", "n", F.posexplode("codes").alias("i", "code")).join(frequent.select("code", "lang", "word"), "code")
     named = words.groupBy("codes").agg(F.first("lang").alias("lang"), F.first("n").alias("f"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
     named = named.select("codes", "lang", F.expr("array_join(w.word, ' ')").alias("phrase"), "f", F.size("codes").alias("m"))
