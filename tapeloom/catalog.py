@@ -25,4 +25,5 @@ def _run(name, spark, sf_dir):
 
 
 def oracle_sql():
-    return {name: graph.duckdb_sql(name) for name in graph.QUERIES if name not in NO_SQL}
+    plain = {name: graph.duckdb_sql(name) for name in graph.QUERIES if name not in NO_SQL}
+    return plain | {name: f"SELECT {columns} FROM ({plain[of]}) x" for name, (of, columns) in learned.SQL_OF.items()}

@@ -528,3 +528,9 @@ def filled_sequences(d, factors, n=20):
     return f"""
     SELECT symbol, trade_date, filled, CASE WHEN count(*) {w(n)} = {n} THEN avg(filled) {w(n)} END AS mean_filled FROM (
       SELECT symbol, trade_date, coalesce({carry}, avg(reversal) OVER (PARTITION BY symbol), 0e0) AS filled FROM {factors}) x"""
+
+
+@operator
+def entropy_pair(d, pe, pi):
+    """Permutation entropy and irreversibility side by side."""
+    return f"SELECT p.symbol, p.trade_date, p.pe, i.pi FROM {pe} p JOIN {pi} i ON p.symbol = i.symbol AND p.trade_date = i.trade_date"

@@ -1,15 +1,20 @@
-"""Queries that fit models or run streams; they have no SQL twin."""
+"""Queries that fit models, keep tables or run streams; ``SQL_OF`` names the query whose twin some share."""
 
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tapeloom.functions.sqlkit import shown
 from tapeloom.operators import kernels, models
+from tapeloom.operators import windows as W
 from tapeloom.plans import graph
+from tapeloom.sources import feature_table as refreshed
+from tapeloom.sources import workdir
 from tapeloom.sources.workdir import fresh_path
 from tapeloom.streaming import keyed
 from tapeloom.streaming import market as stream
+from tapeloom.streaming.marked_append import MarkedAppend, missing_stream, still_missing
 
 
 def _panel(spark, sf_dir):
@@ -99,6 +104,52 @@ def stream_positions(spark, sf_dir):
     return _keyed(spark, [picks, prices], keyed.position_stream)
 
 
+def feature_table(spark, sf_dir):
+    """A feature table built up to ten dates before the last and refreshed from the tails of all bars; a full recompute gives the same rows."""
+    path = fresh_path(spark, "features")
+    bars, _ = workdir.written(graph.frame(spark, sf_dir, "b1_daily_bars"), "bars")
+    cut = bars.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(10).agg(F.min("trade_date")).first()[0]
+
+    def features(rows):
+        rets = W.returns(rows)
+        return W.permutation_entropy(rets).select("symbol", "trade_date", "pe").join(W.irreversibility(rets).select("symbol", "trade_date", "pi"), ["symbol", "trade_date"])
+
+    refreshed.refresh(bars.where(F.col("trade_date") < cut), path, features)
+    refreshed.refresh(bars, path, features)
+    return refreshed.stored(spark, path).select("symbol", "trade_date", *[F.expr(shown(c, 6)).alias(c) for c in ("pe", "pi")])
+
+
+def marked_append(spark, sf_dir):
+    """Ticks through the append sink in four batches in the order of time, the third one twice; every tick is there once."""
+    path = fresh_path(spark, "append")
+    ticks = graph.frame(spark, sf_dir, "s3_ticks").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "price", "volume")
+    ticks, _ = workdir.written(ticks, "ticks")
+    cuts = [None, *ticks.select(F.percentile(F.unix_timestamp("ts"), [0.25, 0.5, 0.75])).first()[0], None]
+    at = F.unix_timestamp("ts")
+    for a, z in (*zip(cuts, cuts[1:]), cuts[2:4]):
+        part = ticks.where(F.lit(True) if a is None else at > a).where(F.lit(True) if z is None else at <= z)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    sink = MarkedAppend(f"{path}/out", ["symbol"])
+    rows = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return sink.read(spark)
+
+
+def missing_minutes(spark, sf_dir):
+    """Symbol-days without complete minutes, found by a stream join of expected and closed days."""
+    path = fresh_path(spark, "missing")
+    bars, _ = workdir.written(graph.frame(spark, sf_dir, "r2_minute_bars").select("symbol", "minute", F.to_date("minute").cast("timestamp").alias("day")), "minutes")
+    closed = bars.groupBy("symbol", F.col("day").alias("minute")).agg(F.max(F.hour("minute")).alias("hour")).where("hour >= 12").drop("hour")
+    days = bars.agg(F.array_sort(F.collect_set("day")).alias("days"))  # one row: the calendar
+    expected = bars.select("symbol").distinct().join(F.broadcast(days), F.lit(True)).select("symbol", F.explode("days").alias("minute"))
+    last = bars.agg(F.expr("max(day) + INTERVAL 30 DAYS").alias("minute")).select(F.lit(-1).cast(dict(bars.dtypes)["symbol"]).alias("symbol"), "minute")
+    expected.union(last).write.parquet(f"{path}/expected")
+    closed.union(last).write.parquet(f"{path}/closed")
+    e, c = (spark.readStream.schema(closed.schema).parquet(f"{path}/{n}") for n in ("expected", "closed"))
+    missing_stream(e, c).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return still_missing(spark.read.schema(closed.schema).parquet(f"{path}/out"), closed).select("symbol", F.to_date("minute").alias("trade_date"))
+
+
 def von_neumann(spark, sf_dir):
     return kernels.von_neumann(graph.frame(spark, sf_dir, "w23_coherence"))
 
@@ -121,4 +172,14 @@ QUERIES = {
     "stream_r6_r7_track": stream_track,
     "stream_r6_r7_positions": stream_positions,
     "stream_p14_adaptive": stream_adaptive,
+    "s23_feature_table": feature_table,
+    "stream_r1_marked_append": marked_append,
+    "stream_r8_missing_days": missing_minutes,
+}
+
+#: Streams and kept tables whose rows are those of a plain query: its name, and the columns in common.
+SQL_OF = {
+    "s23_feature_table": ("w8_w10_features", "symbol, trade_date, pe, pi"),
+    "stream_p14_adaptive": ("p14_adaptive_state", "symbol, trade_date, scan_no, state, held"),
+    "stream_r8_missing_days": ("s19_missing_days", "symbol, trade_date"),
 }

@@ -61,6 +61,7 @@ query("w8_permutation_entropy", KEY + "~pe", W.permutation_entropy, "rets")
 query("w8_permutation_entropy_60", KEY + "~pe", W.permutation_entropy, "rets", n=60)
 query("w8_permutation_entropy_plain", KEY + "~pe", W.permutation_entropy, "rets", x="close", normalise=False, drop_last=True)
 query("w10_irreversibility", KEY + "~pi", W.irreversibility, "rets")
+query("w8_w10_features", KEY + "~pe ~pi", W.entropy_pair, "w8_permutation_entropy", "w10_irreversibility")
 query("w10_joint_irreversibility", KEY + "~pi9", W.joint_irreversibility, "rets")
 query("w11_dominant_eigenvalue", KEY + "~eig_real ~eig_abs", W.dominant_eigenvalue, "rets")
 query("w12_turnover_entropy", KEY + "~te", W.turnover_entropy, "b1_daily_bars")

@@ -77,6 +77,25 @@ def test_streams_follow_batch(spark, name):
         assert got.count() == ticks.count()
 
 
+def test_appended_ticks_are_whole(spark):
+    got = catalog.queries()["stream_r1_marked_append"](spark, SF)
+    ticks = graph.frame(spark, SF, "s3_ticks")
+    assert got.count() == ticks.select("symbol", "ts").distinct().count() and got.select("event_id").exceptAll(ticks.select("event_id")).count() == 0
+
+
+def test_positions_stream_equals_batch(spark):
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators.positions import positions
+
+    got = catalog.queries()["stream_r6_r7_positions"](spark, SF)
+    picks = graph.frame(spark, SF, "j12_o1_picks").select("symbol", F.col("entry_date").cast("timestamp").alias("ts"), F.col("entry_price").alias("price")).where("ts IS NOT NULL")
+    prices = graph.frame(spark, SF, "b1_daily_bars").select("symbol", F.col("trade_date").cast("timestamp").alias("ts"), F.col("close").alias("price"))
+    key = ["symbol", "entry_ts", "kind", "ts"]
+    want = positions(picks, prices).toPandas().sort_values(key).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got.toPandas()[want.columns].sort_values(key).reset_index(drop=True), want, check_dtype=False)
+
+
 def test_merged_picks_are_capped_by_date(spark):
     days = range(1, 9)
     model = spark.sql("SELECT concat('m', id) AS symbol, make_date(2001, 1, d) AS trade_date FROM range(9) CROSS JOIN (SELECT explode(sequence(1, 8)) AS d)")
