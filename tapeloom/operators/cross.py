@@ -48,18 +48,6 @@ def macro(d, daily):
     SELECT trade_date, rzye, rzye / nullif({lagged('rzye')}, 0) - 1 AS change, {rolling('avg', 'rzye', 5, 1, DAY)} AS ma_5, {rolling('avg', 'rzye', 20, 1, DAY)} AS ma_20, on_rate - {lagged('on_rate', 5)} AS rate_diff FROM {daily}"""
 
 
-@operator
-def ema(d, breadths, alpha=2 / 11):
-    """Exponential average of the advance share, over one row a date; the thrust of a day uses the average before it.
-
-    The weighted sum of the last 60 rows and what the first of them carried: the
-    weight of older ones is below 1e-5.
-    """
-    terms = " + ".join(f"{alpha * (1 - alpha) ** k:.17e} * coalesce(lag(advance, {k}) OVER ({DAY}), 0)" for k in range(60))
-    weight = " + ".join(f"CASE WHEN lag(advance, {k}) OVER ({DAY}) IS NOT NULL THEN {alpha * (1 - alpha) ** k:.17e} ELSE 0e0 END" for k in range(60))
-    return f"SELECT trade_date, advance, ema, advance - lag(ema) OVER ({DAY}) AS thrust FROM (SELECT trade_date, advance, ({terms}) / nullif({weight}, 0) AS ema FROM {breadths}) x"
-
-
 @operator
 def trend(d, breadths, emas, spread, macros):
     """Seven dimension scores, their composite and the label."""
@@ -124,24 +112,6 @@ def industry_days(d, inputs):
     JOIN (SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) AS BIGINT) AS day_no FROM (SELECT DISTINCT trade_date FROM {inputs}) x) c ON i.trade_date = c.trade_date"""
 
 
-@operator
-def coupling(d, pairs):
-    """Entropy of the histogram of industries' correlations in ten bins."""
-    return f"""
-    SELECT -sum(p * ln(p)) / ln(10.0) AS coupling FROM (SELECT count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM (
-      SELECT least(greatest(CAST(floor((lead_corr + 1) * 5) AS INT), 0), 9) AS b FROM {pairs} WHERE lead_corr IS NOT NULL) x GROUP BY b) y"""
-
-
-@operator
-def noise_cost(d, index_bars, n=20):
-    """Autocorrelation of volatility, volume change, share of jumps and of extremes, and the gate score by season."""
-    return f"""
-    SELECT trade_date, cost, {clip('1 - cost - CASE WHEN month(trade_date) IN (4, 8) AND day(trade_date) > 20 THEN 0.1 ELSE 0.0 END', 0.0, 1.0)} AS gate FROM (
-      SELECT trade_date, 0.4 * coalesce(abs(ac), 0) + 0.2 * least(coalesce(vc, 0), 1) + 0.4 * jumps AS cost FROM (
-        SELECT trade_date, corr(abs(r), abs(pr)) {w(n, DAY)} AS ac, abs(v / nullif(pv, 0) - 1) AS vc, avg(CASE WHEN abs(r) > 0.5 THEN 1e0 ELSE 0e0 END) {w(n, DAY)} AS jumps, count(pr) {w(n, DAY)} AS m FROM (
-          SELECT trade_date, r, lag(r) OVER ({DAY}) AS pr, vol AS v, lag(vol) OVER ({DAY}) AS pv FROM (SELECT trade_date, vol, close / nullif(lag(close) OVER ({DAY}), 0) - 1 AS r FROM {index_bars}) a) b) c WHERE m = {n}) e"""
-
-
 @operator
 def industry_factors(d, inputs):
     """Industry medians joined back to members: momentum, breadth, relative strength."""
@@ -173,15 +143,6 @@ def index_regime(d, index_bars):
         close / nullif(max(close) {w(60, DAY)}, 0) - 1 AS dd FROM {index_bars}) x"""
 
 
-@operator
-def month_regime(d, index_bars):
-    """Month-end index with sums, and its raw regime; a change counts once it has lasted two months."""
-    return f"""
-    SELECT month_end, close, raw, CASE WHEN raw = lag(raw) OVER (ORDER BY month_end) THEN raw ELSE coalesce(lag(raw) OVER (ORDER BY month_end), raw) END AS lasting FROM (
-      SELECT month_end, close, CASE WHEN close > avg(close) OVER (ORDER BY month_end ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) * 1.02 THEN 'BULL' WHEN close < avg(close) OVER (ORDER BY month_end ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) * 0.98 THEN 'RISK' ELSE 'BASE' END AS raw FROM (
-        SELECT last_day(trade_date) AS month_end, max_by(close, trade_date) AS close FROM {index_bars} GROUP BY last_day(trade_date)) a) b"""
-
-
 @operator
 def summary(d, scored, master):
     """Counts of the scan, and the same trades by state, industry, both and in all."""

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 
 from tapeloom.operators import bars as B
 from tapeloom.operators import cross as A
+from tapeloom.operators import detectors as D
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
+from tapeloom.operators import regimes as Z
 from tapeloom.operators import scores as P
 from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
@@ -41,13 +43,18 @@ def recovery_scan(bars: DataFrame, master: DataFrame) -> dict[str, DataFrame]:
     return {"market": A.market_timing(market), "sectors": sectors, "plans": P.entry_plan(recovered, sectors, master), "blockers": O.blockers(recovered)}
 
 
-def trend_scan(bars: DataFrame, master: DataFrame, margin: DataFrame, rate: DataFrame) -> dict[str, DataFrame]:
-    """Breadth, sector flow, macro and the trend label by date, with what the index did."""
-    inputs = A.stock_inputs(W.returns(bars), master)
-    breadth, sectors = A.breadth(inputs), A.sector_flow(inputs)
-    macro = A.macro(J.asof_macro(S.calendar(bars), margin, rate))
-    trend = A.trend(breadth, A.ema(breadth), A.dispersion(sectors), macro)
-    return {"breadth": breadth, "sectors": sectors, "trend": trend, "returns": A.trend_returns(trend, S.index_bars(bars))}
+def trend_scan(bars: DataFrame, master: DataFrame, margin: DataFrame, rate: DataFrame, limits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Seven scores and the trend by date from breadth, flow, limits and macro, with what the index did; sectors' flow beside them.
+
+    ``limits`` gives ``symbol, trade_date, up_limit, down_limit``; without it they
+    are a band around the close before.
+    """
+    rets = W.returns(bars)
+    inputs = A.stock_inputs(rets, master)
+    micro = D.trend_micro(D.trend_inputs(rets, master, W.permutation_entropy(rets), W.tiered_flow(S.money_flow(bars))))
+    hits = J.limit_hits(bars, S.limit_prices(bars) if limits is None else limits)
+    trend = D.market_trend(micro, Z.ema(A.breadth(inputs)), hits, J.asof_macro(S.calendar(bars), margin, rate))
+    return {"breadth": micro, "sectors": A.sector_flow(inputs), "trend": trend, "returns": A.trend_returns(trend, S.index_bars(bars))}
 
 
 def hold_scan(bars: DataFrame, start: str) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from tapeloom.operators import factors as R
 from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
+from tapeloom.operators import regimes as Z
 from tapeloom.operators import scores as P
 from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
@@ -135,12 +136,12 @@ query("a1_breadth", "trade_date n ~advance ~above_ma ~new_high ~inflow ~panic ~s
 query("a3_sector_flow", "trade_date industry n ~2:net ~mean_r ~momentum place", A.sector_flow, "inputs")
 query("a4_a16_dispersion", "trade_date ~dispersion ~flow_entropy ~hhi", A.dispersion, "a3_sector_flow")
 query("a6_macro", "trade_date ~2:rzye ~change ~2:ma_5 ~2:ma_20 ~rate_diff", A.macro, "j3_asof_macro")
-query("a7_ema", "trade_date ~ema ~thrust", A.ema, "a1_breadth")
+query("a7_ema", "trade_date ~ema ~thrust", Z.ema, "a1_breadth")
 query("a8_c9_trend", "trade_date ~composite trend", A.trend, "a1_breadth", "a7_ema", "a4_a16_dispersion", "a6_macro")
 node("trend_inputs", D.trend_inputs, "rets", "s8_security_master", "w8_permutation_entropy", "w27_w28_tiered_flow")
 node("trend_micro", D.trend_micro, "trend_inputs")
 query("a8_market_trend", "trade_date ~breadth ~money ~volatility ~entropy_score ~momentum ~leverage ~liquidity ~composite trend", D.market_trend, "trend_micro", "a7_ema", "j15_a5_limit_hits", "j3_asof_macro")
-query("a9_s21_trend_returns", "trend n ~share ~same_day ~later", A.trend_returns, "a8_c9_trend", "s4_index_bars")
+query("a9_s21_trend_returns", "trend n ~share ~same_day ~later", A.trend_returns, "a8_market_trend", "s4_index_bars")
 query("a10_market_row", "trade_date n ~damaged ~repairing ~overheated ~candidates ~repair ~flow_support ~washout", A.market_row, "p21_recovery")
 query("a11_market_timing", "trade_date timing ~washout_6", A.market_timing, "a10_market_row")
 query("a12_s22_sector_rank", "trade_date industry n ~sector_score place state", A.sector_rank, "p21_recovery", "s8_security_master")
@@ -148,8 +149,10 @@ query("p22_p23_entry_plan", KEY + "industry ~strategy_score mode ~scale damaged"
 query("a13_a15_cross_section", KEY + "~entropy_rank ~setup_rank ~low_share ~noise phase", A.cross_section, "p5_p7_setup")
 query("a17_industry_days", "industry trade_date day_no ~ret", A.industry_days, "inputs")
 query("j19_lead_lag", "industry leader ~lead_corr n", J.lead_lag, "a17_industry_days")
-query("a17_coupling", "~coupling", A.coupling, "j19_lead_lag")
-query("a18_a19_noise_cost", "trade_date ~cost ~gate", A.noise_cost, "s4_index_bars")
+node("pair_correlations", Z.pair_correlations, "a17_industry_days", "s8_security_master", least=2)  # the given tables have few symbols an industry
+query("a17_coupling", "trade_date ~coupling", Z.coupling, "pair_correlations", "a17_industry_days")
+query("a18_noise_cost", "trade_date ~noise ~clustering ~imbalance ~jumps ~extremes", Z.noise_cost, "rets")
+query("a18_a19_noise_cost", "trade_date ~coupling ~noise coupling_level noise_level state ~gate", Z.market_phase, "a17_coupling", "a18_noise_cost")
 query("a20_industry_factors", KEY + "~industry_momentum ~industry_breadth ~relative", A.industry_factors, "inputs")
 query("a21_hot_industries", "industry n_days", A.hot_industries, "a3_sector_flow")
 query("a22_leaders", KEY + "~score place", A.leaders, "a20_industry_factors")
@@ -158,7 +161,8 @@ query("j17_not_recent", KEY + "~close", J.not_recent, "b1_daily_bars", "j12_o1_p
 query("j18_merged_picks", KEY + "origin", J.merged_picks, "j12_o1_picks", "a22_leaders")
 query("j18_merged_picks_by_date", KEY + "origin", J.merged_picks_by_date, "j12_o1_picks", "a22_leaders")
 query("a23_index_regime", "trade_date regime ~ma_20 ~dd", A.index_regime, "s4_index_bars")
-query("a24_month_regime", "month_end ~close raw lasting", A.month_regime, "s4_index_bars")
+node("month_rows", Z.month_rows, "b1_daily_bars")
+query("a24_month_regime", "month_end ~close ~close_over_ma ~hurst ~mf_z ~entropy_rel raw lasting", Z.month_regime, "month_rows")
 query("j2_regime_by_date", "trade_date ~close regime", D.regime_by_date, "s4_index_bars", "a24_month_regime")
 query("j9_snapshot_with_week", KEY + "~close ~r1 w_bar_end ~w_close ~w_ret ~2:w_amount_sum", D.snapshot_with_week, "rets", "b2_weekly_bars")
 query("k3_filled_top", KEY + "~score place fallback", D.filled_top, "p2_resonance")
