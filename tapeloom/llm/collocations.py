@@ -43,8 +43,8 @@ from tapeloom.llm.tokens import text_slices
 
 DEPTH, HOT = 5, 512
 MOST_BITS, SEGMENT = 1 << 28, 1 << 18
-#: Suffixes that a task sorts, about; what a task gathers before it sends it on.
-TOGETHER, GATHERED = 1 << 21, 1 << 20
+#: Suffixes that a task sorts, about; what a task gathers before it sends it on; bytes of text worked on at a time.
+TOGETHER, GATHERED, SLICE = 1 << 21, 1 << 19, 2 << 20
 #: Bits of a pair's hash.
 PAIR_BITS = 40
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,15 +68,14 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     at = begins[begins < len(data)]
     start[at] = inside[at]
     first = np.flatnonzero(start)
-    piece = np.cumsum(kind == 2)[first] + np.searchsorted(begins, first, side="right")
-    place = (np.cumsum(inside) - 1)[first]
-    offsets = np.append(place, np.count_nonzero(inside)).astype(np.int32)
+    piece = np.cumsum(kind == 2, dtype=np.int32)[first] + np.searchsorted(begins, first, side="right").astype(np.int32)
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[first] - 1, np.count_nonzero(inside)).astype(np.int32)
     return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])), piece
 
 
 def _by_lang(batches):
     """Language and texts of each slice's languages."""
-    for b in text_slices(batches):
+    for b in text_slices(batches, most=SLICE):
         langs = pc.fill_null(b.column("lang"), "und").dictionary_encode()
         own = langs.indices.to_numpy(zero_copy_only=False)
         for k, lang in enumerate(langs.dictionary.to_pylist()):
@@ -196,9 +195,10 @@ def frequent_pairs(docs: DataFrame, filt, seed: str, least: int, routes: int) ->
         parts, size = [], 0
         for own, paired in _sequences(batches, filt.value, seed):
             hashes = _pair_hashes(own, paired)
-            parts.append(_summed(hashes, np.ones(len(hashes), np.int64), most))
-            size += len(parts[-1][0])
-            if size > 4 * GATHERED:
+            found, n = _summed(hashes, np.ones(len(hashes), np.int32), most)
+            parts.append((found, n.astype(np.int32)))
+            size += len(found)
+            if size > 2 * GATHERED:
                 yield from gathered(parts)
                 parts, size = [], 0
         if parts:
@@ -288,7 +288,7 @@ def suffixes(docs: DataFrame, words_filter, pairs_filter, hot: frozenset[int], s
             w = _windows(own, paired)
             if not w.shape[1]:
                 continue
-            w, weight, _ = _weighted(w, np.ones(w.shape[1], np.int64), _whole(w))
+            w, weight, _ = _weighted(w, np.ones(w.shape[1], np.int32), _whole(w))
             parts.append((w, weight))
             size += len(weight)
             if size > GATHERED:
