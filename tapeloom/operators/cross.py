@@ -67,43 +67,6 @@ def trend_returns(d, trends, index_bars, ahead=5):
         SELECT trade_date, close / nullif(lag(close) OVER ({DAY}), 0) - 1 AS same_day, lead(close, {ahead}) OVER ({DAY}) / nullif(close, 0) - 1 AS later FROM {index_bars}) i ON t.trade_date = i.trade_date) x GROUP BY trend"""
 
 
-@operator
-def market_row(d, recovered):
-    """Shares and means over the universe by date: washout, repair, overheating."""
-    share = lambda c: f"avg(CASE WHEN {c} THEN 1e0 ELSE 0e0 END)"
-    return f"""
-    SELECT *, 0.6 * damaged + 0.4 * (1 - repairing) AS washout FROM (
-      SELECT trade_date, count(*) AS n, {share('damage >= 0.32')} AS damaged, {share('repair_flag')} AS repairing, {share('overheat_flag')} AS overheated, {share('candidate')} AS candidates, avg(repair) AS repair, avg(flow_support) AS flow_support
-      FROM {recovered} WHERE damage IS NOT NULL GROUP BY trade_date) x"""
-
-
-@operator
-def market_timing(d, market):
-    """State from the highest values of the last six sessions."""
-    return f"""
-    SELECT trade_date, CASE WHEN overheated >= 0.7 THEN 'hot' WHEN max(washout) {w(6, DAY)} >= 0.5 AND repairing >= 0.3 THEN 'buy_window' WHEN max(washout) {w(6, DAY)} >= 0.4 THEN 'repair_watch' ELSE 'neutral' END AS timing,
-      max(washout) {w(6, DAY)} AS washout_6 FROM {market}"""
-
-
-@operator
-def sector_rank(d, recovered, master):
-    return f"""
-    SELECT trade_date, industry, n, sector_score, CAST(row_number() OVER (PARTITION BY trade_date ORDER BY sector_score DESC, industry) AS INT) AS place, CASE WHEN sector_score >= 0.5 THEN 'leading' WHEN sector_score >= 0.35 THEN 'repairing' ELSE 'weak' END AS state FROM (
-      SELECT r.trade_date, m.industry, count(*) AS n, avg(0.5 * r.repair + 0.3 * r.flow_support + 0.2 * r.stability) AS sector_score FROM {recovered} r JOIN {master} m ON r.symbol = m.symbol
-      WHERE r.repair IS NOT NULL AND r.stability IS NOT NULL AND r.flow_support IS NOT NULL GROUP BY r.trade_date, m.industry) x"""
-
-
-@operator
-def cross_section(d, setups):
-    """Shares of the day's symbols and their noise; percent ranks with average ties; market phase."""
-    def rank(x):
-        x = shown(x, 9)  # values that differ in the last bits only are ties
-        return f"(rank() OVER (PARTITION BY trade_date ORDER BY {x}) + (count(*) OVER (PARTITION BY trade_date, {x}) - 1) / 2.0) / count(*) OVER (PARTITION BY trade_date)"
-    return f"""
-    SELECT symbol, trade_date, {rank('entropy_quality')} AS entropy_rank, {rank('setup_score')} AS setup_rank, low_share, noise, CASE WHEN low_share >= 0.5 AND noise < 0.5 THEN 'ordered' WHEN noise >= 0.9 THEN 'chaotic' ELSE 'mixed' END AS phase FROM (
-      SELECT *, avg(CASE WHEN entropy_quality >= 0.4 THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY trade_date) AS low_share, avg(execution_cost) OVER (PARTITION BY trade_date) AS noise FROM {setups} WHERE setup_score IS NOT NULL) x"""
-
-
 @operator
 def industry_days(d, inputs):
     """Mean return by industry and trading day, numbered."""

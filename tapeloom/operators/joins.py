@@ -177,12 +177,12 @@ def resolved_symbols(d, master, bars):
 
 
 @operator
-def picks(d, rets, hold=10):
-    """Trades of a simple signal: entry at the next bar's open, exit at the close of the last held bar."""
+def picks(d, rets, hold=10, signal="r5 > 2"):
+    """Trades of a signal: entry at the next bar's open, exit at the close of the last held bar."""
     return f"""
     SELECT symbol, trade_date, entry_date, entry_price, exit_date, exit_price, exit_price / nullif(entry_price, 0) - 1 AS ret FROM (
-      SELECT symbol, trade_date, r1, r5, {lead('trade_date')} AS entry_date, {lead('open')} AS entry_price, {lead('trade_date', hold)} AS exit_date, {lead('close', hold)} AS exit_price FROM {rets}) x
-    WHERE r5 > 2 AND exit_date IS NOT NULL"""
+      SELECT *, {lead('trade_date')} AS entry_date, {lead('open')} AS entry_price, {lead('trade_date', hold)} AS exit_date, {lead('close', hold)} AS exit_price FROM {rets}) x
+    WHERE {signal} AND exit_date IS NOT NULL"""
 
 
 @operator

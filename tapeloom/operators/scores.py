@@ -75,50 +75,6 @@ def first_signal(d, scored, year=1999):
     GROUP BY s.symbol, s.signal_date, s.entry_date, s.entry_price, s.n_signals"""
 
 
-@operator
-def setup_frame(d, rets, pe, pe_long, pi, eig, recovery, lift):
-    """Bifurcation setup: entropy, bifurcation, trigger and execution quality, and the five gates' state."""
-    on = lambda t: f"JOIN {t[0]} {t[1]} ON r.symbol = {t[1]}.symbol AND r.trade_date = {t[1]}.trade_date"
-    joins = " ".join(on(t) for t in ((pe, "p"), (pe_long, "q"), (pi, "i"), (eig, "e"), (recovery, "c"), (lift, "v")))
-    return f"""
-    SELECT symbol, trade_date, entropy_quality, bifurcation_quality, trigger_quality, execution_cost, setup_score,
-      {flag('entropy_quality >= 0.4 AND bifurcation_quality >= 0.4 AND trigger_quality >= 0.3 AND execution_cost <= 0.9 AND setup_score >= 0.4')} AS setup FROM (
-      SELECT *, 0.35 * entropy_quality + 0.30 * bifurcation_quality + 0.25 * trigger_quality + 0.10 * (1 - execution_cost) AS setup_score FROM (
-        SELECT symbol, trade_date, 0.6 * ({scaled('1 - pe', 0.0, 0.4)}) + 0.4 * ({scaled('pl - pe', -0.1, 0.2)}) AS entropy_quality,
-          0.4 * ({scaled('eig_abs', 0.2, 1.0)}) + 0.3 * ({scaled('1 - recovery', 0.0, 1.0)}) + 0.3 * ({scaled('coalesce(var_lift, 0)', -0.5, 1.0)}) AS bifurcation_quality,
-          0.5 * ({scaled('coalesce(breakout, 0)', -0.2, 0.2)}) + 0.5 * ({scaled('coalesce(impulse, 0)', -0.5, 1.0)}) AS trigger_quality,
-          {clip('0.45 * coalesce(sd, 0) / 4 + 0.30 * coalesce(tsd, 0) - 0.15 * ln(1 + coalesce(am, 0)) / 14.0', 0.0, 1.0)} AS execution_cost FROM (
-          SELECT r.symbol, r.trade_date, p.pe, q.pe AS pl, i.pi, e.eig_abs, c.recovery, v.var_lift, r.breakout, r.impulse, r.sd, r.tsd, r.am FROM (
-            SELECT symbol, trade_date, close / nullif({rolling('max', 'high', 10, 5, end=1)}, 0) - 1 AS breakout, {div(rolling('avg', 'amount', 5, 3), rolling('avg', 'amount', 20, 10))} - 1 AS impulse,
-              {rolling('stddev_pop', 'lr', 20, 10)} AS sd, {rolling('stddev_pop', 'turnover_rate', 20, 10)} AS tsd, {rolling('avg', 'amount', 20, 10)} AS am FROM {rets}) r {joins}) x) y) z"""
-
-
-def latent_states(setups: DataFrame, margin: float = 0.05, since: int | None = None) -> DataFrame:
-    """Four latent states along each symbol's rows in order: the state changes only if another leads by a margin.
-
-    A symbol's sorted rows stream through a step that carries the state; ``since``
-    leaves out the years before it.
-    """
-
-    def run(batches):
-        symbol, state = object(), None
-        for b in batches:
-            states = []
-            for own, *s in zip(*(b.column(c).to_pylist() for c in ("symbol", "s0", "s1", "s2", "s3"))):
-                best = max(x for x in s if x is not None)
-                if own != symbol or (s[state] is not None and best - s[state] >= margin):
-                    state = s.index(best)
-                symbol = own
-                states.append(state)
-            yield pa.RecordBatch.from_arrays([b.column("symbol"), b.column("trade_date"), pa.array(states, pa.int32())], names=["symbol", "trade_date", "state"])
-
-    rows = setups.where("setup_score IS NOT NULL")
-    if since is not None:
-        rows = rows.where(F.year("trade_date") >= since)
-    rows = rows.selectExpr("symbol", "CAST(trade_date AS DATE) AS trade_date", "CAST(1 - setup_score AS DOUBLE) AS s0", "CAST(entropy_quality AS DOUBLE) AS s1", "CAST(bifurcation_quality AS DOUBLE) AS s2", "CAST(trigger_quality AS DOUBLE) AS s3")
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "trade_date").mapInArrow(run, f"symbol {dict(setups.dtypes)['symbol']}, trade_date date, state int")
-
-
 @operator
 def accumulation(d, rets, pe, pct):
     """Accumulation: at least three of four conditions on each of three days, with a quality; break-out and collapse counts."""
@@ -172,7 +128,7 @@ def recovery(d, rets):
     """
     r = lambda k: f"close / nullif({lag('close', k)}, 0) - 1"
     return f"""
-    SELECT symbol, trade_date, close, amount, ret_20, damage, repair, entry_window, flow_support, stability, overheat, {flag('above_5 = 1 AND ret_3 >= 0.01 AND amount_ratio >= 0.90')} AS repair_flag,
+    SELECT symbol, trade_date, close, amount, turnover_rate, r1, ret_3, r5, ret_10, ret_20, dd_20, to_ma20, flow_5, amount_ratio, rebound, atr, damage, repair, entry_window, flow_support, stability, overheat, {flag('above_5 = 1 AND ret_3 >= 0.01 AND amount_ratio >= 0.90')} AS repair_flag,
       {flag('above_5 = 1 AND rebound >= 0.03 AND rebound <= 0.15 AND ret_3 >= 0.01 AND flow_5 >= -0.01')} AS early_flag, {flag('overheat >= 0.60')} AS overheat_flag,
       {flag('damage >= 0.32 AND repair >= 0.45 AND entry_window >= 0.40 AND flow_support >= 0.35 AND NOT overheat >= 0.60')} AS candidate FROM (
       SELECT *, 0.35 * ({scaled('-ret_10', 0.01, 0.10)}) + 0.25 * ({scaled('-dd_20', 0.04, 0.18)}) + 0.25 * ({scaled('-dd_60', 0.08, 0.30)}) + 0.15 * ({scaled('neg_7', 3.0, 7.0)}) AS damage,
@@ -182,23 +138,12 @@ def recovery(d, rets):
         0.45 * ({scaled('to_ma20', -0.08, 0.04)}) + 0.25 * (1 - ({scaled('vol_10', 0.02, 0.09)})) + 0.15 * (1 - ({scaled('atr', 0.01, 0.06)})) + 0.15 * above_10 AS stability,
         0.55 * ({scaled('rebound', 0.12, 0.25)}) + 0.45 * ({scaled('r5', 0.06, 0.16)}) AS overheat FROM (
         SELECT *, {bit('close >= ma_5')} AS above_5, {bit('close >= ma_10')} AS above_10, ma_5 / nullif({lag('ma_5', 3)}, 0) - 1 AS slope FROM (
-          SELECT symbol, trade_date, close, amount, r5, {r(3)} AS ret_3, {r(10)} AS ret_10, {r(20)} AS ret_20, {rolling('avg', 'close', 5)} AS ma_5, {rolling('avg', 'close', 10)} AS ma_10, {div('amount', rolling('avg', 'amount', 20, 10))} AS amount_ratio,
+          SELECT symbol, trade_date, close, amount, turnover_rate, r1, r5, {r(3)} AS ret_3, {r(10)} AS ret_10, {r(20)} AS ret_20, {rolling('avg', 'close', 5)} AS ma_5, {rolling('avg', 'close', 10)} AS ma_10, {div('amount', rolling('avg', 'amount', 20, 10))} AS amount_ratio,
             {div('turnover_rate', rolling('avg', 'turnover_rate', 20, 10))} AS turnover_ratio, {rolling('avg', 'flow', 5, 3)} AS flow_5, {div('close', rolling('max', 'high', 20, 10))} - 1 AS dd_20, {div('close', rolling('max', 'high', 60, 30))} - 1 AS dd_60,
             {div('close', rolling('min', 'low', 10, 5))} - 1 AS rebound, {div('close', rolling('avg', 'close', 20))} - 1 AS to_ma20, {div(rolling('avg', 'tr', 14, 7), 'close')} AS atr, {rolling('stddev_samp', 'r1', 10, 6)} * sqrt(10.0) AS vol_10, {rolling('sum', 'neg', 7, 4)} AS neg_7
           FROM (SELECT *, {div('net_mf', 'amount')} AS flow, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr, CASE WHEN r1 < 0 THEN 1 ELSE 0 END AS neg FROM {rets}) a) b) c) e"""
 
 
-@operator
-def entry_plan(d, recovered, sectors, master):
-    """Strategy score against the sector, damage threshold by the sector's state, and the plan's mode, scale and days."""
-    return f"""
-    SELECT symbol, trade_date, industry, strategy_score, CASE WHEN strategy_score >= 0.6 THEN 'full' WHEN strategy_score >= 0.45 THEN 'staged' WHEN strategy_score >= 0.35 THEN 'probe' ELSE 'none' END AS mode,
-      CASE WHEN strategy_score >= 0.6 THEN 1e0 WHEN strategy_score >= 0.45 THEN 0.5e0 WHEN strategy_score >= 0.35 THEN 0.35e0 ELSE 0e0 END AS scale, damage >= threshold AS damaged FROM (
-      SELECT r.symbol, r.trade_date, m.industry, r.damage, 0.3 * r.repair + 0.2 * r.entry_window + 0.2 * r.flow_support + 0.15 * r.stability + 0.15 * coalesce(s.sector_score, 0) - 0.2 * r.overheat AS strategy_score,
-        CASE WHEN coalesce(s.sector_score, 0) >= 0.5 THEN 0.28 ELSE 0.32 END AS threshold
-      FROM {recovered} r LEFT JOIN {master} m ON r.symbol = m.symbol LEFT JOIN {sectors} s ON s.trade_date = r.trade_date AND s.industry = m.industry) x"""
-
-
 @operator
 def stock_state(d, setups, pi):
     """Four layers: qualities to state flow, signal, cost, abandonment, final action, reasons as text."""

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tapeloom.operators import bars as B
 from tapeloom.operators import cross as A
 from tapeloom.operators import detectors as D
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
+from tapeloom.operators import recovery_plan as V
 from tapeloom.operators import regimes as Z
 from tapeloom.operators import scores as P
+from tapeloom.operators import setup as X
 from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
 
@@ -27,20 +30,38 @@ def resonance_scan(bars: DataFrame, master: DataFrame, hold: int = 10, total: in
     return {"market": resonance, "selected": O.capped_top(scored["day"], master, total=total, each=each), "trades": trades, "nav": O.cohort_nav(marks), "summary": A.summary(resonance, master)}
 
 
-def setup_scan(bars: DataFrame) -> dict[str, DataFrame]:
-    """Bifurcation setups with their cross section and latent states."""
+def setup_scan(bars: DataFrame, master: DataFrame, min_amount: float = 500000.0, min_turnover: float = 1.0, hold: int = 10, total: int = 10, each: int = 2) -> dict[str, DataFrame]:
+    """Bifurcation setups of every date: cross section and plans, latent states, what passes the gates, capped picks with outcomes and cohort net value."""
     rets = W.returns(bars)
-    pe, pe_long = W.permutation_entropy(rets), W.permutation_entropy(rets, n=60)
-    pi = W.irreversibility(rets)
-    setups = P.setup_frame(rets, pe, pe_long, pi, W.dominant_eigenvalue(rets), W.recovery_rate(rets), W.variance_lift(rets))
-    return {"setups": setups, "cross_section": A.cross_section(setups), "states": P.latent_states(setups), "actions": P.stock_state(setups, pi)}
+    features = X.setup_features(bars)
+    setups = X.setup_frame(features)
+    crossed = X.cross_section(setups, X.lead_lag_entropy(X.industry_logs(rets, master)))
+    candidates = X.setup_candidates(crossed, master, min_amount=min_amount, min_turnover=min_turnover)
+    passing = candidates.where("passes").select("symbol", "trade_date", F.col("context").alias("score_min"))
+    selected = O.capped_top(passing, master, total=total, each=each)
+    marked = rets.join(selected.select("symbol", "trade_date", F.lit(True).alias("picked")), ["symbol", "trade_date"], "left")
+    trades = J.picks(marked, hold=hold, signal="picked")
+    return {
+        "setups": setups, "cross_section": crossed, "candidates": candidates, "states": X.latent_states(X.latent_scores(features)), "actions": P.stock_state(setups, W.irreversibility(rets)),
+        "selected": selected, "trades": trades, "nav": O.cohort_nav(O.marked(trades, bars)),
+    }
 
 
-def recovery_scan(bars: DataFrame, master: DataFrame) -> dict[str, DataFrame]:
-    """Decline and recovery: market row and timing, sectors, plans, what blocks candidates."""
-    recovered = P.recovery(W.returns(bars))
-    market, sectors = A.market_row(recovered), A.sector_rank(recovered, master)
-    return {"market": A.market_timing(market), "sectors": sectors, "plans": P.entry_plan(recovered, sectors, master), "blockers": O.blockers(recovered)}
+def recovery_scan(
+    bars: DataFrame, master: DataFrame, min_amount: float = 600000.0, min_turnover: float = 1.0, members: int = 4, top: int = 6,
+    rebound: tuple[float, float] = (0.03, 0.15), hold: int = 8, total: int = 10, each: int = 2,
+) -> dict[str, DataFrame]:
+    """Decline and recovery of every date: market timing, sectors, plans, capped picks with outcomes and cohort net value, what blocks candidates."""
+    rets = W.returns(bars)
+    recovered = P.recovery(rets)
+    rows = V.recovery_rows(recovered, master, min_amount=min_amount, min_turnover=min_turnover)
+    market = V.market_row(rows)
+    timing, sectors = V.market_timing(market), V.sector_rank(rows, market, members=members, top=top)
+    plans = V.entry_plan(rows, sectors, timing, top=top, rebound_least=rebound[0], rebound_most=rebound[1], min_amount=min_amount, min_turnover=min_turnover)
+    selected = V.portfolio(plans, total=total, each=each)
+    marked = rets.join(selected.select("symbol", "trade_date", F.lit(True).alias("picked")), ["symbol", "trade_date"], "left")
+    trades = J.picks(marked, hold=hold, signal="picked")
+    return {"market": timing, "sectors": sectors, "plans": plans, "selected": selected, "trades": trades, "nav": O.cohort_nav(O.marked(trades, bars)), "blockers": O.blockers(recovered)}
 
 
 def trend_scan(bars: DataFrame, master: DataFrame, margin: DataFrame, rate: DataFrame, limits: DataFrame | None = None) -> dict[str, DataFrame]:

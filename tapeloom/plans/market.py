@@ -11,8 +11,10 @@ from tapeloom.operators import factors as R
 from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
+from tapeloom.operators import recovery_plan as V
 from tapeloom.operators import regimes as Z
 from tapeloom.operators import scores as P
+from tapeloom.operators import setup as X
 from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
 from tapeloom.plans.graph import node, query
@@ -114,9 +116,12 @@ for _p in ("week", "month"):
     query(f"p1_physics_{_p}", KEY + "~score ~score_min state", P.physics, "b2_weekly_bars" if _p == "week" else "b2_monthly_bars", short=6, long=12)
 query("p2_resonance", KEY + "~score_min support_count ~resonance_score resonance_state", P.resonance, "p1_physics", "p1_physics_week", "p1_physics_month")
 query("p3_first_signal", "symbol signal_date entry_date ~entry_price ~ret_to_end ~runup n_signals", P.first_signal, "p2_resonance")
-query("p5_p7_setup", KEY + "~entropy_quality ~bifurcation_quality ~trigger_quality ~execution_cost ~setup_score setup", P.setup_frame, "rets", "w8_permutation_entropy", "w8_permutation_entropy_60", "w10_irreversibility", "w11_dominant_eigenvalue", "w15_recovery_rate", "w20_variance_lift")
-query("p6_latent_states", KEY + "state", P.latent_states, "p5_p7_setup", since=2000)
-query("p6_latent_states_whole", KEY + "state", P.latent_states, "p5_p7_setup")
+node("setup_features", X.setup_features, "b1_daily_bars")
+query("p5_p7_setup", KEY + "~entropy_quality ~bifurcation_quality ~trigger_quality ~execution_cost ~setup_score setup", X.setup_frame, "setup_features")
+query("p5_setup_features", KEY + "~pe_20 ~pe_60 ~gap ~pct ~pi ~eig_abs ~ar1_state ~ar1_adjusted ~distortion ~skew ~var_lift ~breakout_10 ~breakout_20 ~volume_impulse ~flow_impulse ~mf_z ~energy ~order_alignment ~accel", None, "setup_features")
+query("p6_latent_scores", KEY + "~s0 ~s1 ~s2 ~s3", X.latent_scores, "setup_features")
+query("p6_latent_states", KEY + "state label ~structure", X.latent_states, "p6_latent_scores")
+query("p6_latent_states_whole", KEY + "state", None, "p6_latent_states")
 query("p8_p14_accumulation", KEY + "met accumulating ~quality broke breakout fell collapse phase", P.accumulation, "rets", "w8_permutation_entropy", "w16_percentile_of_last")
 node("detector_frame", D.detector_frame, "w25_volume_ratios", "w8_permutation_entropy", "w10_irreversibility", "w11_dominant_eigenvalue", "w23_coherence", "w27_w28_tiered_flow", "w22_entropy_motion")
 query("p8_p9_accumulation", KEY + "met accumulating ~quality", D.detect_accumulation, "detector_frame")
@@ -142,11 +147,16 @@ node("trend_inputs", D.trend_inputs, "rets", "s8_security_master", "w8_permutati
 node("trend_micro", D.trend_micro, "trend_inputs")
 query("a8_market_trend", "trade_date ~breadth ~money ~volatility ~entropy_score ~momentum ~leverage ~liquidity ~composite trend", D.market_trend, "trend_micro", "a7_ema", "j15_a5_limit_hits", "j3_asof_macro")
 query("a9_s21_trend_returns", "trend n ~share ~same_day ~later", A.trend_returns, "a8_market_trend", "s4_index_bars")
-query("a10_market_row", "trade_date n ~damaged ~repairing ~overheated ~candidates ~repair ~flow_support ~washout", A.market_row, "p21_recovery")
-query("a11_market_timing", "trade_date timing ~washout_6", A.market_timing, "a10_market_row")
-query("a12_s22_sector_rank", "trade_date industry n ~sector_score place state", A.sector_rank, "p21_recovery", "s8_security_master")
-query("p22_p23_entry_plan", KEY + "industry ~strategy_score mode ~scale damaged", P.entry_plan, "p21_recovery", "a12_s22_sector_rank", "s8_security_master")
-query("a13_a15_cross_section", KEY + "~entropy_rank ~setup_rank ~low_share ~noise phase", A.cross_section, "p5_p7_setup")
+node("recovery_rows", V.recovery_rows, "p21_recovery", "s8_security_master", min_amount=1e4, min_turnover=0.1)  # the given tables have small amounts
+query("a10_market_row", "trade_date n ~eq_1 ~eq_3 ~eq_5 ~eq_10 ~eq_20 ~below_share ~down_share ~deep_share ~repair_share ~early_share ~flow_share ~amount_share ~hot_share ~washout ~repair ~overheat", V.market_row, "recovery_rows")
+query("a11_market_timing", "trade_date timing can_buy ~buy_score ~washout_peak", V.market_timing, "a10_market_row")
+query("a12_s22_sector_rank", "trade_date industry n ~sector_score ~relative ~repair state place chosen", V.sector_rank, "recovery_rows", "a10_market_row", members=2)
+query("p22_p23_entry_plan", KEY + "industry ~strategy_score sector_place timing access cost_state candidate_ok strategy_state mode ~scale entry_days exit_mode", V.entry_plan, "recovery_rows", "a12_s22_sector_rank", "a11_market_timing", min_amount=1e4, min_turnover=0.1)
+query("p22_k2_portfolio", KEY + "industry ~strategy_score mode ~scale place", V.portfolio, "p22_p23_entry_plan")
+node("industry_logs", X.industry_logs, "rets", "s8_security_master")
+query("a13_coupling", "trade_date ~coupling", X.lead_lag_entropy, "industry_logs")
+query("a13_a15_cross_section", KEY + "~score_rank ~entropy_rank ~bifurcation_rank ~trigger_rank ~context_rank ~low_share ~breakout_share ~energy_share ~bifurcation_share ~distortion_share ~coupling ~noise ~regime phase ~penalty cost_state ~abandonment abandoned ~context mode ~scale entry_days", X.cross_section, "p5_p7_setup", "a13_coupling")
+query("f6_setup_candidates", KEY + "industry setup passes", X.setup_candidates, "a13_a15_cross_section", "s8_security_master", min_amount=1e4, min_turnover=0.1)
 query("a17_industry_days", "industry trade_date day_no ~ret", A.industry_days, "inputs")
 query("j19_lead_lag", "industry leader ~lead_corr n", J.lead_lag, "a17_industry_days")
 node("pair_correlations", Z.pair_correlations, "a17_industry_days", "s8_security_master", least=2)  # the given tables have few symbols an industry

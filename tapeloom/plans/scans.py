@@ -14,6 +14,7 @@ from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
 from tapeloom.operators import scores as P
+from tapeloom.operators import setup as X
 from tapeloom.operators import sources as S
 from tapeloom.operators import windows as W
 
@@ -66,9 +67,9 @@ def four_layer_scan(bars: DataFrame, master: DataFrame, hold: int = 10, total: i
     """Market phase, setups, each symbol's state and action, entries ranked by signal, outcomes."""
     rets = W.returns(bars)
     pi = W.irreversibility(rets)
-    setups = P.setup_frame(rets, W.permutation_entropy(rets), W.permutation_entropy(rets, n=60), pi, W.dominant_eigenvalue(rets), W.recovery_rate(rets), W.variance_lift(rets))
+    setups = X.setup_frame(X.setup_features(bars))
     states = P.stock_state(setups, pi)
-    return {"phase": A.cross_section(setups), **_scan(rets, master, states, "signal", "signal > 0", hold, total, each)}
+    return {"phase": X.cross_section(setups, X.lead_lag_entropy(X.industry_logs(rets, master))), **_scan(rets, master, states, "signal", "signal > 0", hold, total, each)}
 
 
 def volume_breakout_scan(bars: DataFrame, master: DataFrame, least: float = 0.5, hold: int = 10, total: int = 10, each: int = 2) -> dict[str, DataFrame]:

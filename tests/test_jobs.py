@@ -20,7 +20,8 @@ def test_jobs(spark):
     top = scan["selected"].groupBy("trade_date").count().agg({"count": "max"}).first()[0]
     assert top <= 10
     assert jobs.recovery_scan(bars, master)["blockers"].count() == 5
-    assert jobs.setup_scan(bars)["actions"].count() > 0
+    setups = jobs.setup_scan(bars, master, min_amount=1e4, min_turnover=0.1)
+    assert setups["actions"].count() > 0 and setups["cross_section"].where("regime IS NULL OR context IS NULL").count() == 0 and setups["selected"].count() >= 0
 
 
 @pytest.mark.parametrize("name", ["accumulation_scan", "four_layer_scan", "volume_breakout_scan", "factor_scan"])
