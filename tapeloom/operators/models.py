@@ -17,21 +17,35 @@ def features(panel: DataFrame, factors=FACTORS) -> DataFrame:
     return VectorAssembler(inputCols=list(factors), outputCol="features").transform(panel.dropna(subset=list(factors)))
 
 
+def _month(c: str):
+    return F.year(c) * 12 + F.month(c)
+
+
+def _known(panel: DataFrame, target: str) -> DataFrame:
+    """``panel`` with ``known_at``, the bar that a target ``fwd_N`` reaches to."""
+    return panel.withColumn("known_at", F.lead("trade_date", int(target.rsplit("_", 1)[1])).over(Window.partitionBy("symbol").orderBy("trade_date")))
+
+
 def fit_return(panel: DataFrame, target: str = "fwd_10", rounds: int = 10, factors=FACTORS):
-    """Boosted trees for a forward return, rows weighted by age, the newest sixth of months for early stopping."""
-    months = F.year("trade_date") * 12 + F.month("trade_date")
+    """Boosted trees for a forward return, rows weighted by age, the newest sixth of months for early stopping.
+
+    Rows whose target reaches into these months are left out of the rest.
+    """
+    months = _month("trade_date")
     last = panel.agg(F.max(months), F.min(months)).first()
     cut = last[0] - max(1, (last[0] - last[1]) // 6)
-    rows = features(panel, factors).withColumn("validation", months > cut)
+    rows = features(_known(panel, target), factors).withColumn("validation", months > cut).where(F.col("validation") | (_month("known_at") <= cut)).drop("known_at")
     return GBTRegressor(labelCol=target, weightCol="weight", validationIndicatorCol="validation", maxIter=rounds, maxDepth=4, seed=7).fit(rows)
 
 
 def fit_gain(panel: DataFrame, target: str = "fwd_20", above: float = 0.5, rounds: int = 8, cap: float = 10.0, factors=FACTORS):
-    """Boosted trees for a large gain; the rare class weighs more, up to a cap.  Returns the model and its AUC on the newest fifth."""
-    rows = features(panel, factors).withColumn("label", (F.col(target) >= above).cast("double"))
-    year_month = F.year("trade_date") * 12 + F.month("trade_date")
-    cut = rows.select(F.percentile(year_month, 0.8)).first()[0]
-    train, test = rows.where(year_month <= cut), rows.where(year_month > cut)
+    """Boosted trees for a large gain; the rare class weighs more, up to a cap.  Returns the model and its AUC on the newest fifth.
+
+    Rows whose target reaches into the newest fifth aren't learnt from.
+    """
+    rows = features(_known(panel, target), factors).withColumn("label", (F.col(target) >= above).cast("double"))
+    cut = rows.select(F.percentile(_month("trade_date"), 0.8)).first()[0]
+    train, test = rows.where(_month("known_at") <= cut), rows.where(_month("trade_date") > cut)
     share = train.agg(F.avg("label")).first()[0] or 0.0
     ratio = min(cap, (1 - share) / share) if share else 1.0
     train = train.withColumn("class_weight", F.when(F.col("label") == 1, ratio).otherwise(1.0) * F.col("weight"))

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tapeloom.functions.sqlkit import shown
-from tapeloom.operators import kernels, models
+from tapeloom.operators import kernels, models, outcome_models
 from tapeloom.operators import windows as W
 from tapeloom.plans import graph
 from tapeloom.sources import feature_table as refreshed
@@ -150,6 +150,34 @@ def missing_minutes(spark, sf_dir):
     return still_missing(spark.read.schema(closed.schema).parquet(f"{path}/out"), closed).select("symbol", F.to_date("minute").alias("trade_date"))
 
 
+def _outcomes(spark, sf_dir):
+    made = {}
+    trades = graph.frame(spark, sf_dir, "j12_o1_picks", made)
+    factors = graph.frame(spark, sf_dir, "w40_derived_factors", made).select("symbol", "trade_date", *models.FACTORS)
+    bars = graph.frame(spark, sf_dir, "b1_daily_bars", made)
+    day = bars.agg(F.percentile(F.unix_date(F.to_date("trade_date")), 0.7).alias("d")).select(F.date_from_unix_date(F.col("d").cast("int"))).first()[0]
+    scan = bars.where(F.col("trade_date") <= F.lit(day)).agg(F.max("trade_date")).first()[0]
+    return trades, factors, bars, scan
+
+
+def buy_outcome_model(spark, sf_dir):
+    """Probability that a pick after the cutoff is a good one, by a model of the picks closed by then."""
+    trades, factors, _, scan = _outcomes(spark, sf_dir)
+    rows = outcome_models.outcome_rows(trades, factors)
+    model = outcome_models.fit_outcomes(rows, scan)
+    later = outcome_models.features(rows.where(F.col("trade_date") > F.lit(scan)), model.factors)
+    scored = outcome_models._probability(model.model, later)
+    return scored.select("symbol", "trade_date", "label", "p", (F.col("p") >= model.threshold).alias("chosen"))
+
+
+def missed_replay(spark, sf_dir):
+    """Gainers after the scan date that weren't picked, through the model of outcomes known by then."""
+    trades, factors, bars, scan = _outcomes(spark, sf_dir)
+    model = outcome_models.fit_outcomes(outcome_models.outcome_rows(trades, factors), scan)
+    missed = outcome_models.missed_gainers(bars, trades, scan, horizon=40, gain=1.0)
+    return outcome_models.replay_missed(model, missed, factors, bars, scan, horizon=40, window=120, gain=1.0)
+
+
 def von_neumann(spark, sf_dir):
     return kernels.von_neumann(graph.frame(spark, sf_dir, "w23_coherence"))
 
@@ -164,6 +192,8 @@ QUERIES = {
     "r22_r25_boosted_return": boosted_return,
     "r23_gain_classifier": gain_classifier,
     "r26_walk_forward": walk_forward,
+    "r24_buy_outcomes": buy_outcome_model,
+    "o19_missed_replay": missed_replay,
     "stream_r1_append_once": stream_append_once,
     "stream_r2_bars": stream_bars,
     "stream_r3_sliding": stream_sliding,
