@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.sqlkit import shown
-from tapeloom.operators import kernels, models, outcome_models
+from tapeloom.operators import kernels, models, outcome_models, samples
 from tapeloom.operators import windows as W
 from tapeloom.plans import graph
 from tapeloom.sources import feature_table as refreshed
@@ -178,6 +179,13 @@ def missed_replay(spark, sf_dir):
     return outcome_models.replay_missed(model, missed, factors, bars, scan, horizon=40, window=120, gain=1.0)
 
 
+def sequence_samples(spark, sf_dir):
+    """Windows of 60 rows of all factors; a symbol's own dates are its calendar, as the given symbols trade on few dates in common."""
+    factors = graph.frame(spark, sf_dir, "w40_derived_factors")
+    own = factors.withColumn("cal_no", F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")))
+    return samples.sequence_samples(own.drop("cal_no"), own.select("symbol", "trade_date", "cal_no"), n=60)
+
+
 def von_neumann(spark, sf_dir):
     return kernels.von_neumann(graph.frame(spark, sf_dir, "w23_coherence"))
 
@@ -192,6 +200,7 @@ QUERIES = {
     "r22_r25_boosted_return": boosted_return,
     "r23_gain_classifier": gain_classifier,
     "r26_walk_forward": walk_forward,
+    "r19_samples": sequence_samples,
     "r24_buy_outcomes": buy_outcome_model,
     "o19_missed_replay": missed_replay,
     "stream_r1_append_once": stream_append_once,

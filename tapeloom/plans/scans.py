@@ -13,6 +13,8 @@ from tapeloom.operators import factors as R
 from tapeloom.operators import intraday as M
 from tapeloom.operators import joins as J
 from tapeloom.operators import outcomes as O
+from tapeloom.operators import outcome_models as Q
+from tapeloom.operators import samples as T
 from tapeloom.operators import scores as P
 from tapeloom.operators import setup as X
 from tapeloom.operators import sources as S
@@ -91,10 +93,17 @@ def factor_scan(bars: DataFrame, master: DataFrame, hold: int = 10, total: int =
     return {"factors": summary, "recent": R.recent_ic(rows), "monthly": R.date_ic(rows), **_scan(rets, master, scored, "score", "score > 0", hold, total, each)}
 
 
-def training_samples(bars: DataFrame) -> dict[str, DataFrame]:
-    """Sequences of factors, labels of later gains, and labels of staying in a trend."""
+def training_samples(bars: DataFrame, cutoff: str | None = None, n: int = 60, horizon: int = 40) -> dict[str, DataFrame]:
+    """Windows of all factors as arrays (``samples.write_samples`` writes them in bounded files), labels of later gains and of staying in a trend.
+
+    With a cutoff the samples carry the highest gain of the next ``horizon`` bars
+    and their split, none of whose training labels reaches past it.
+    """
     rets = W.returns(bars)
-    return {"sequences": R.sequences(W.derived_factors(rets)), "gains": J.offset_labels(bars, S.calendar(bars)), "stay": R.stay_labels(rets)}
+    windows = T.sequence_samples(W.derived_factors(rets), S.calendar(bars), n=n)
+    if cutoff:
+        windows = T.labelled(windows, Q.forward_gains(bars, horizon), F.lit(cutoff).cast("date"))
+    return {"sequences": windows, "gains": J.offset_labels(bars, S.calendar(bars)), "stay": R.stay_labels(rets)}
 
 
 def dual_entropy_scan(bars: DataFrame, minutes: DataFrame) -> dict[str, DataFrame]:
