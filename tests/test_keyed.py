@@ -120,3 +120,11 @@ def test_positions_equal_batch_over_restarts(spark, tmp_path):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
     assert set(want.result.dropna()) >= {"success", "fail"} and (want.kind == "closed").sum() == sum(x[2] == "pick" for x in rows)
     assert left <= 3  # all positions are over
+
+
+def test_keys_beside_a_missing_one_are_kept(spark, scans, tmp_path):
+    rows = [x for x in scans if x[0] < 6] + [(None, *x[1:]) for x in scans if x[0] == 7] + [(None, on(1000), None, None, None, None, None)]
+    got, _ = run(spark, tmp_path, lambda s: keyed.adaptive_stream(s.coalesce(1), late="1 day"), SCAN, [rows], "missing")
+    batch = adaptive.adaptive_states(spark.createDataFrame(rows[:-1], SCAN).withColumnRenamed("ts", "trade_date").selectExpr("*", "0e0 AS aq", "0e0 AS bq"))
+    plain = lambda df: sorted(map(repr, df.select("symbol", "scan_no", "state", "held").collect()))
+    assert plain(got) == plain(batch) and got.where("symbol IS NULL").count() > 0
