@@ -1,6 +1,8 @@
 """Decline recovery: two industries that fall and recover, and every rule against plain Python over the same rows."""
 
+import datetime
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -187,3 +189,18 @@ def test_recovery_rows_mark_what_may_be_traded(market):
     recovered = scores.recovery(windows.returns(bars))
     rows = recovery_plan.recovery_rows(recovered.union(recovered.where("symbol = 'a1'").selectExpr("'c1'", *recovered.columns[1:])), master)
     assert rows.where("symbol = 'c1' AND tradable").count() == 0 and rows.where("symbol = 'a1' AND tradable").count() == rows.where("symbol = 'a1' AND amount >= 6e5 AND turnover_rate >= 1").count() > 0
+
+
+def test_sectors_equal_but_for_last_bits_are_ties(spark):
+    day = lambda k: datetime.date(2001, 1, k)
+    r = random.Random(4)
+    values = sorted(r.random() for _ in range(3000))
+    assert np.cumsum(values)[-1] != np.cumsum(values[::-1])[-1]
+    rows = []
+    for k, orders in ((1, (values, values[::-1])), (2, (values[::-1], values))):
+        for industry, r5, repairs in (("better", -0.5, orders[0]), ("worse", -0.6, orders[1])):
+            rows += [(day(k), industry, 0.5, x, False, 0.5, 0.0, 0.0, r5, True) for x in repairs]
+    df = spark.createDataFrame(rows, "trade_date date, industry string, damage double, repair double, candidate boolean, flow_support double, overheat double, ret_3 double, r5 double, tradable boolean").coalesce(1)
+    market = spark.createDataFrame([(day(k), 0.0) for k in (1, 2)], "trade_date date, eq_5 double")
+    got = {(r["trade_date"], r["industry"]): r["place"] for r in recovery_plan.sector_rank(df, market, members=2).collect()}
+    assert got == {(day(k), i): p for k in (1, 2) for i, p in (("better", 1), ("worse", 2))}
