@@ -11,9 +11,19 @@ FACTORS = ("mom_5", "mom_20", "vs_20", "reversal")
 def panel(d, factors, rets, horizons=(5, 10, 20)):
     """Factor rows with forward returns; the last rows of a symbol, which lack the longest, are left out; time-decay weights."""
     fw = ", ".join(f"{lead('close', h)} / nullif(close, 0) - 1 AS fwd_{h}" for h in horizons)
-    return f"""
+    if not d.spark:
+        return f"""
     SELECT f.*, {', '.join(f'r.fwd_{h}' for h in horizons)}, exp(-0.001 * (max(r.month_no) OVER () - r.month_no)) AS weight FROM {factors} f JOIN (
       SELECT symbol, trade_date, {fw}, year(trade_date) * 12 + month(trade_date) AS month_no FROM {rets}) r ON f.symbol = r.symbol AND f.trade_date = r.trade_date WHERE r.fwd_{max(horizons)} IS NOT NULL"""
+    # the newest month of the rows kept is an aggregate, joined as one row: a window over all rows would take them through one task
+    longest = max(horizons)
+    month = "year(trade_date) * 12 + month(trade_date)"
+    newest = f"""
+      SELECT max({month}) AS month_no FROM (SELECT symbol, trade_date, {lead('close', longest)} / nullif(close, 0) - 1 AS fwd FROM {rets}) x
+      LEFT SEMI JOIN {factors} k ON x.symbol = k.symbol AND x.trade_date = k.trade_date WHERE fwd IS NOT NULL"""
+    return f"""
+    SELECT /*+ BROADCAST(z) */ f.*, {', '.join(f'r.fwd_{h}' for h in horizons)}, exp(-0.001 * (z.month_no - r.month_no)) AS weight FROM {factors} f JOIN (
+      SELECT symbol, trade_date, {fw}, {month} AS month_no FROM {rets}) r ON f.symbol = r.symbol AND f.trade_date = r.trade_date CROSS JOIN ({newest}) z WHERE r.fwd_{longest} IS NOT NULL"""
 
 
 def long_form(d, panel: str, names=FACTORS) -> str:
