@@ -96,7 +96,7 @@ def ic_score(d, rows, weights):
     """Score of each row: mean of weight times winsorised z over usable factors; the largest contributions as text."""
     return f"""
     SELECT symbol, trade_date, avg(part) AS score, count(*) AS n_factors, max_by(factor, abs(part)) AS main_factor FROM (
-      SELECT r.symbol, r.trade_date, r.factor, w.weight * ({clip(div('r.value - s.mu', 's.sd'), -3.0, 3.0)}) AS part FROM {rows} r JOIN {weights} w ON r.factor = w.factor JOIN (
+      SELECT {d.pick('/*+ BROADCAST(w, s) */ ', '')}r.symbol, r.trade_date, r.factor, w.weight * ({clip(div('r.value - s.mu', 's.sd'), -3.0, 3.0)}) AS part FROM {rows} r JOIN {weights} w ON r.factor = w.factor JOIN (
         SELECT factor, avg(value) AS mu, stddev_pop(value) AS sd FROM {rows} GROUP BY factor) s ON r.factor = s.factor WHERE w.weight <> 0) x WHERE part IS NOT NULL GROUP BY symbol, trade_date"""
 
 
