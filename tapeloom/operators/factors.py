@@ -70,17 +70,35 @@ def date_ic(d, rows, least=10):
       SELECT factor, mon, corr(rx, ry) AS ic FROM (SELECT factor, mon, {average_rank('value', 'factor, mon')} AS rx, {average_rank('fwd_5', 'factor, mon')} AS ry FROM (SELECT *, {month} AS mon FROM {rows}) a) b GROUP BY factor, mon HAVING count(*) >= {least}) c GROUP BY factor"""
 
 
+def _percentiles(rows: str, q: int) -> str:
+    """Spark text of ``factor, edges``: exact percentiles, for which no task holds a factor's values.
+
+    Values are counted; the counts by bins of 1/1024 octave tell in which bins the
+    ranks lie that are asked for, and only the values of these bins are ordered.
+    """
+    size = "least(floor(log2(abs(value)) * 1024), 2000000) + 2000000"  # positive for all doubles
+    bins = f"CASE WHEN isnan(value) THEN 5000000 WHEN value = 0 THEN 0 WHEN value > 0 THEN CAST({size} AS BIGINT) ELSE -CAST({size} AS BIGINT) END"
+    shares = ", ".join(f"{k / q}D" for k in range(q + 1))
+    return f"""
+    WITH counted AS (SELECT *, {bins} AS bin FROM (SELECT factor, value, count(*) AS m FROM {rows} GROUP BY factor, value) x),
+    summed AS (SELECT factor, bin, m, sum(m) OVER (PARTITION BY factor ORDER BY bin) - m AS first, sum(m) OVER (PARTITION BY factor) AS n FROM (SELECT factor, bin, sum(m) AS m FROM counted GROUP BY factor, bin) x),
+    places AS (SELECT factor, place, explode(array_distinct(array(floor(place), ceil(place)))) AS nth FROM (SELECT factor, share * (n - 1) AS place FROM (SELECT factor, n, explode(array({shares})) AS share FROM (SELECT DISTINCT factor, n FROM summed) x) y) z),
+    asked AS (SELECT /*+ BROADCAST(a) */ a.factor, a.place, a.nth, s.bin, s.first FROM summed s JOIN places a ON s.factor = a.factor AND a.nth >= s.first AND a.nth < s.first + s.m),
+    near AS (SELECT *, sum(m) OVER (PARTITION BY factor, bin ORDER BY value) AS upto FROM (SELECT /*+ BROADCAST(k) */ c.* FROM counted c LEFT SEMI JOIN asked k ON c.factor = k.factor AND c.bin = k.bin) x),
+    found AS (SELECT /*+ BROADCAST(a) */ a.factor, a.place, a.nth, min(c.value) AS value FROM near c JOIN asked a ON c.factor = a.factor AND c.bin = a.bin AND a.first + c.upto > a.nth GROUP BY a.factor, a.place, a.nth),
+    pairs AS (SELECT factor, place, min_by(value, nth) AS low, max_by(value, nth) AS high FROM found GROUP BY factor, place)
+    SELECT factor, array_distinct(transform(array_sort(collect_list(struct(place, CASE WHEN low = high THEN low ELSE (ceil(place) - place) * low + (place - floor(place)) * high END AS edge))), e -> e.edge)) AS edges FROM pairs GROUP BY factor"""
+
+
 @operator
 def quantile_returns(d, rows, q=5):
     """Mean forward return by quantile of the factor; edges that coincide are one, as values equal to an edge belong below it."""
-    edges = d.pick(
-        "array_distinct(percentile(value, array(" + ", ".join(f"{k / q}D" for k in range(q + 1)) + ")))",
-        "list_distinct([" + ", ".join(f"quantile_cont(value, {k / q})" for k in range(q + 1)) + "])",
-    )
+    edges = "list_distinct([" + ", ".join(f"quantile_cont(value, {k / q})" for k in range(q + 1)) + "])"
+    by_factor = d.pick(_percentiles(rows, q), f"SELECT factor, {edges} AS edges FROM {rows} GROUP BY factor")
     lowest = d.pick("array_min(edges)", "list_min(edges)")
     place = d.size(d.filter("edges", f"r.value > x AND x > {lowest}"))
     return f"""
-    SELECT factor, bucket, count(*) AS n, avg(fwd_5) AS mean_fwd FROM (SELECT r.factor, {place} AS bucket, r.fwd_5 FROM {rows} r JOIN (SELECT factor, {edges} AS edges FROM {rows} GROUP BY factor) e ON r.factor = e.factor) x GROUP BY factor, bucket"""
+    SELECT factor, bucket, count(*) AS n, avg(fwd_5) AS mean_fwd FROM (SELECT {d.pick('/*+ BROADCAST(e) */ ', '')}r.factor, {place} AS bucket, r.fwd_5 FROM {rows} r JOIN ({by_factor}) e ON r.factor = e.factor) x GROUP BY factor, bucket"""
 
 
 @operator
