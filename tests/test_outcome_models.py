@@ -104,3 +104,14 @@ def test_gain_model_learns_nothing_that_reaches_into_its_test_part(spark):
     touched = {d for k, d in enumerate(D) if k + 20 >= len(D) or month[k + 20] > cut}
     changed = panel.withColumn("fwd_20", F.when(F.col("trade_date").isin(list(touched)), -F.col("fwd_20")).otherwise(F.col("fwd_20")))
     assert trees(models.fit_gain(changed, rounds=2)[0]) == trees(model)
+
+
+def test_models_read_stored_tables(spark):
+    """A fit goes over its rows many times: they aren't made anew from the trades each time."""
+    from tapeloom import catalog  # noqa: F401  registers the queries
+    from tapeloom.plans import learned
+
+    sf = "/root/testdata/sf0.001"
+    trades, _, bars, _ = learned._outcomes(spark, sf)
+    for df, label in ((learned._panel(spark, sf), "panel-"), (trades, "trades-"), (bars, "bars-")):
+        assert df.inputFiles() and all(label in f for f in df.inputFiles())
