@@ -63,3 +63,12 @@ def test_physics(odd, short, long):
 def test_physics_has_no_sliding_frame(spark):
     for name in ("p1_physics", "p1_physics_week", "p1_physics_month"):
         assert "MapInArrow" in (text := plan(spark, name)) and not SLIDING.search(text), name
+
+
+def test_setup(odd):
+    same(rolling.setup_features(odd), setup.setup_features(odd))
+    same(rolling.setup_features(odd, scored=True), setup.setup_frame(setup.setup_features(odd)))
+
+
+def test_setup_has_no_sliding_frame(spark):
+    assert "MapInArrow" in (text := plan(spark, "p5_p7_setup")) and not SLIDING.search(text)
