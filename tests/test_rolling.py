@@ -72,3 +72,8 @@ def test_setup(odd):
 
 def test_setup_has_no_sliding_frame(spark):
     assert "MapInArrow" in (text := plan(spark, "p5_p7_setup")) and not SLIDING.search(text)
+
+
+def test_cross_section_ranks_within_dates_only(spark):
+    text = plan(spark, "f6_setup_candidates")
+    assert not SLIDING.search(text) and not re.search(r"\], \[trade_date#\d+, _w", text)
