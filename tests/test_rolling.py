@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 
 from tapeloom.operators import bars as B
-from tapeloom.operators import rolling, scores, setup
+from tapeloom.operators import detectors, dual, rolling, scores, setup
+from tapeloom.operators import windows as W
 from tapeloom.plans import graph, market  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,28 @@ def test_setup_has_no_sliding_frame(spark):
 def test_cross_section_ranks_within_dates_only(spark):
     text = plan(spark, "f6_setup_candidates")
     assert not SLIDING.search(text) and not re.search(r"\], \[trade_date#\d+, _w", text)
+
+
+def flows(bars):
+    tiers = [f"{side}_{t}" for side in ("buy", "sell") for t in ("sm", "md", "lg", "elg")]
+    return bars.where("coalesce(close, 1) <> 0").selectExpr("*", *(f"abs(hash(symbol, trade_date, '{c}')) % 7 * 100e0 AS {c}" for c in tiers))
+
+
+def test_detectors(odd):
+    bars = flows(odd)
+    rets = W.returns(bars)
+    pe, long = W.permutation_entropy(rets), W.permutation_entropy(rets, n=60)
+    want = detectors.detector_frame(W.volume_ratios(bars), pe, W.irreversibility(rets), W.dominant_eigenvalue(rets), W.coherence(W.structure(rets)), W.tiered_flow(bars), W.entropy_motion(pe, long))
+    same(rolling.detector_frame(bars), want)
+
+
+def test_daily_summary(odd):
+    bars = odd.where("coalesce(close, 1) <> 0")
+    rets = W.returns(bars)
+    want = dual.daily_summary(rets, W.permutation_entropy(rets), W.permutation_entropy(rets, n=60), W.irreversibility(rets), W.dominant_eigenvalue(rets), W.variance_lift(rets))
+    same(rolling.daily_summary(bars), want)
+
+
+@pytest.mark.parametrize("name", ["detector_frame", "p27_daily_entropy"])
+def test_no_joins_of_frames_of_the_same_bars(spark, name):
+    assert "MapInArrow" in (text := plan(spark, name)) and "Join" not in text and not SLIDING.search(text)
