@@ -103,3 +103,16 @@ def test_daily_summary(odd):
 @pytest.mark.parametrize("name", ["detector_frame", "p27_daily_entropy"])
 def test_no_joins_of_frames_of_the_same_bars(spark, name):
     assert "MapInArrow" in (text := plan(spark, name)) and "Join" not in text and not SLIDING.search(text)
+
+
+def test_samples_read_their_factors_once(spark):
+    from tapeloom.operators import samples
+    from tapeloom.plans import learned
+
+    got = learned.sequence_samples(spark, SF)
+    text = got._jdf.queryExecution().toString()
+    assert "Join" not in text
+    factors = graph.frame(spark, SF, "w40_derived_factors")
+    dates = factors.selectExpr("symbol", "trade_date", "row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS cal_no")
+    want = samples.sequence_samples(factors, dates, n=60)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
