@@ -128,3 +128,33 @@ def test_keys_beside_a_missing_one_are_kept(spark, scans, tmp_path):
     batch = adaptive.adaptive_states(spark.createDataFrame(rows[:-1], SCAN).withColumnRenamed("ts", "trade_date").selectExpr("*", "0e0 AS aq", "0e0 AS bq"))
     plain = lambda df: sorted(map(repr, df.select("symbol", "scan_no", "state", "held").collect()))
     assert plain(got) == plain(batch) and got.where("symbol IS NULL").count() > 0
+
+
+def test_positions_with_a_missing_price_in_local_time(spark, tmp_path):
+    """Over a change of the clock, with times of microseconds, prices at a position's very end and one that is missing."""
+    r = random.Random(3)
+    start = datetime.datetime(2020, 2, 20)
+    at = lambda day, us=0: start + datetime.timedelta(days=day, microseconds=us)
+    rows = [(1, at(day, us), "price", None if day == 7 else 10 * (1 + r.random())) for day in range(50) for us in (0, 3, 4)]
+    rows += [(1, at(day, 3), "pick", 11.0) for day in (0, 5, 9)] + [(2, at(4), "pick", None), (2, at(5), "pick", 9.0)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        make = lambda s: keyed.position_stream(s.where("kind = 'pick'"), s.where("kind = 'price'"), late="60 days")
+        ends = [[(-1, at(400 + k), "price", 1.0)] for k in (0, 100)]
+        got, _ = run(spark, tmp_path, make, PRICE, [rows[::2], rows[1::2], *ends], "local")
+        df = spark.createDataFrame(rows, PRICE)
+        want = positions(df.where("kind = 'pick'"), df.where("kind = 'price'"))
+        plain = lambda x: sorted(map(repr, x.select(want.columns).collect()))
+        assert plain(got.where("symbol > 0")) == plain(want) and want.where("kind = 'closed'").count() == 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_state_comes_with_the_rows(spark):
+    """No call to the store for each key: its state is a column of the batch."""
+    rows = spark.readStream.schema(PRICE).parquet("/root/testdata/sf0.001/nation.parquet")
+    scans = spark.readStream.schema(SCAN).parquet("/root/testdata/sf0.001/nation.parquet")
+    for stream in (keyed.position_stream(rows, rows), keyed.adaptive_stream(scans)):
+        plan = stream._jdf.queryExecution().logical().toString()
+        assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan, plan
