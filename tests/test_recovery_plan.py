@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapeloom.operators import recovery_plan, scores, windows
 from tapeloom.plans import jobs
@@ -204,3 +205,14 @@ def test_sectors_equal_but_for_last_bits_are_ties(spark):
     market = spark.createDataFrame([(day(k), 0.0) for k in (1, 2)], "trade_date date, eq_5 double")
     got = {(r["trade_date"], r["industry"]): r["place"] for r in recovery_plan.sector_rank(df, market, members=2).collect()}
     assert got == {(day(k), i): p for k in (1, 2) for i, p in (("better", 1), ("worse", 2))}
+
+
+def test_market_of_sums_equals_market_of_rows(rows):
+    """Also on a date without a tradable symbol, and with missing values."""
+    df, pdf = rows
+    df = df.withColumn("tradable", F.col("tradable") & (F.col("trade_date") != F.lit(DAYS[7])))
+    got, want = (x.toPandas().sort_values("trade_date").reset_index(drop=True) for x in (recovery_plan.market_sums(df), recovery_plan.market_row(df)))
+    pd.testing.assert_frame_equal(got, want, rtol=1e-12)
+    assert len(got) == 60 and got.n[7] == 60 > got.n.drop(7).max()
+    text = recovery_plan.market_sums(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "partial_avg" in text

@@ -116,3 +116,15 @@ def test_samples_read_their_factors_once(spark):
     dates = factors.selectExpr("symbol", "trade_date", "row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS cal_no")
     want = samples.sequence_samples(factors, dates, n=60)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_recovery(odd):
+    same(rolling.recovery(odd), scores.recovery(W.returns(odd)))
+
+
+def test_plans_go_over_rows_made_once(spark):
+    """Recovery features have no sliding frame; plans read them as written, with sectors and timing broadcast."""
+    assert "MapInArrow" in (text := plan(spark, "p21_recovery")) and not SLIDING.search(text)
+    text = plan(spark, "p22_k2_portfolio")
+    assert "lineitem" not in text and "MapInArrow" not in text and "/recovery-" in text
+    assert text.count("BroadcastHashJoin") >= 2 and "any_tradable" not in text
