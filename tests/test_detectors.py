@@ -109,3 +109,10 @@ def test_filled_top_and_regime(spark):
     months = spark.createDataFrame([(dt.date(2024, 1, 31), 1.0, "BULL"), (dt.date(2024, 2, 29), 1.0, "RISK")], "month_end date, close double, lasting string")
     by = {r["trade_date"]: r["regime"] for r in D.regime_by_date(index, months).collect()}
     assert by[t[0]] == by[dt.date(2024, 2, 15)] == "BULL" and by[dt.date(2024, 3, 1)] == "RISK"
+
+
+def test_scores_equal_but_for_their_last_bits_are_ties(spark):
+    rows = [(3, 0.3, True), (1, 0.1 + 0.2, True), (2, 0.3 - 5e-17, True), (4, 0.4, True), (5, 0.9, False), (6, 0.9 - 2e-16, False), (7, None, None)]
+    scored = spark.createDataFrame([(s, DAY, x, r) for s, x, r in rows], "symbol long, trade_date date, resonance_score double, resonance_state boolean")
+    got = D.filled_top(scored, total=6).orderBy("place").collect()
+    assert [(r["symbol"], r["fallback"]) for r in got] == [(4, False), (1, False), (2, False), (3, False), (5, True), (6, True)]
