@@ -145,3 +145,21 @@ def test_entropies_are_added_as_the_text_adds_them():
                 total = total + (share * math.log(share) if share else 0.0)
             want.append(-total)
         assert rolling.histogram_entropy(v).tolist() == want
+
+
+def test_signals_of_equal_entropies(spark):
+    """p4_signals_at on a date whose week and month scores hold a difference of equal entropies."""
+    import duckdb
+
+    from tapeloom.functions.sqlkit import DUCK
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("lineitem",):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    text = graph.duckdb_sql("p2_resonance")
+    steps, shown_ = text[: text.rindex(" SELECT ")], "symbol, support_count, round(resonance_score, 6) AS score"
+    on = "DATE '1999-11-16'"
+    want = con.sql(f"{steps} SELECT {shown_} FROM ({dual.signals_at.sql(DUCK, 'n_p2_resonance', on=on, exact=False)}) x").df().sort_values("symbol")
+    got = dual.signals_at(graph.frame(spark, sf, "p2_resonance"), on=on, exact=False).selectExpr(*shown_.split(", ", 2)).toPandas().sort_values("symbol")
+    pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True), check_dtype=False)
