@@ -163,3 +163,24 @@ def test_signals_of_equal_entropies(spark):
     want = con.sql(f"{steps} SELECT {shown_} FROM ({dual.signals_at.sql(DUCK, 'n_p2_resonance', on=on, exact=False)}) x").df().sort_values("symbol")
     got = dual.signals_at(graph.frame(spark, sf, "p2_resonance"), on=on, exact=False).selectExpr(*shown_.split(", ", 2)).toPandas().sort_values("symbol")
     pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True), check_dtype=False)
+
+
+def test_embedding_spectrum(spark, odd):
+    """Against the SQL's DuckDB rows, with closes that stand still for longer than the windows; Spark's own text divides by 0 there."""
+    import duckdb
+
+    from tapeloom.functions.sqlkit import DUCK
+
+    bars = odd.where("coalesce(close, 1) <> 0").selectExpr("symbol", "trade_date", "CASE WHEN symbol = 4 AND close = 7.25 OR symbol = 2 THEN close WHEN symbol = 4 AND trade_date > DATE '2001-02-01' THEN 7.25e0 ELSE close END AS close")
+    con = duckdb.connect()
+    con.register("bars", bars.toPandas())
+    want = con.sql(f"WITH rets AS ({W.returns.sql(DUCK, 'bars')}) {W.embedding_spectrum.sql(DUCK, 'rets')}").df().sort_values(["symbol", "trade_date"]).reset_index(drop=True)
+    got = rolling.embedding_spectrum(bars).toPandas().sort_values(["symbol", "trade_date"]).reset_index(drop=True)
+    assert got.columns.tolist() == want.columns.tolist() and len(got) == len(want) > 200
+    assert (got.symbol.astype(str) == want.symbol.astype(str)).all() and (pd.to_datetime(got.trade_date) == pd.to_datetime(want.trade_date)).all()
+    np.testing.assert_allclose(got.spectrum, want.spectrum, rtol=1e-8, atol=1e-8)
+    assert 10 < got.spectrum.isna().sum() < 100
+
+
+def test_embedding_spectrum_has_no_sliding_frame(spark):
+    assert "MapInArrow" in (text := plan(spark, "w34_embedding_spectrum")) and "Window" not in text and not SLIDING.search(text)
