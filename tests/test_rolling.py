@@ -10,11 +10,12 @@ import pandas as pd
 import pytest
 
 from tapeloom.operators import bars as B
-from tapeloom.operators import detectors, dual, rolling, scores, setup
+from tapeloom.operators import detectors, dual, factors, kernels, rolling, scores, setup
 from tapeloom.operators import windows as W
 from tapeloom.plans import graph, market  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
+FOUR = ("mom_5", "mom_20", "vs_20", "reversal")
 SLIDING = re.compile(r"RowFrame, -\d+, currentrow")
 
 
@@ -184,3 +185,38 @@ def test_embedding_spectrum(spark, odd):
 
 def test_embedding_spectrum_has_no_sliding_frame(spark):
     assert "MapInArrow" in (text := plan(spark, "w34_embedding_spectrum")) and "Window" not in text and not SLIDING.search(text)
+
+
+def test_panel(odd):
+    rets = W.returns(odd)
+    same(rolling.panel(odd), factors.panel(W.derived_factors(rets), rets).drop("weight", "mom_60", "vs_60", "synergy"))
+
+
+def test_rank_correlations_of_many_windows_at_once(odd):
+    """Against pairwise ranks of one window at a time, with ties and missing returns."""
+    panel = rolling.panel(odd.selectExpr("symbol", "trade_date", "CASE WHEN symbol = 4 THEN close ELSE floor(close) END AS close"))
+    rows = panel.toPandas().sort_values(["symbol", "trade_date"])
+    want, gaps = {}, 0
+    for symbol, own in rows.groupby("symbol"):
+        for f in FOUR:
+            part = own[own[f].notna()]
+            x, y, ics = part[f].to_numpy(float), part["fwd_5"].to_numpy(float), []
+            for end in range(30, len(x) + 1, 4):
+                gaps += np.isnan(y[end - 30 : end]).any()
+                a, b = (kernels.average_ranks(v[end - 30 : end]) for v in (x, y))
+                if a.std() > 0 and b.std() > 0:
+                    ics.append(((a - a.mean()) * (b - b.mean())).mean() / (a.std() * b.std()))
+            if len(part):
+                want[symbol, f] = (len(ics), np.mean(ics) if ics else None, np.mean(ics) / np.std(ics, ddof=1) if len(ics) > 1 else None)
+    long = panel.selectExpr("symbol", "trade_date", "fwd_5", f"stack(4, {', '.join(f"'{f}', {f}" for f in FOUR)}) AS (factor, value)").where("value IS NOT NULL")
+    assert gaps and max(n for n, _, _ in want.values()) > 20
+    for got in (kernels.panel_rank_ic(panel, FOUR, window=30, step=4), kernels.rolling_rank_ic(long, window=30, step=4)):
+        got = {(r["symbol"], r["factor"]): (r["n_windows"], r["mean_ic"], r["ic_ir"]) for r in got.collect()}
+        assert got == {k: tuple(v if v is None else pytest.approx(v, abs=1e-9) for v in t) for k, t in want.items()}
+
+
+def test_rank_correlations_read_the_bars_once(spark):
+    from tapeloom.plans import learned
+
+    text = learned.rolling_rank_ic(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "FlatMapGroups" not in text and text.count("FileScan") == 1 and text.count("Exchange") == 2
