@@ -116,3 +116,27 @@ def test_scores_equal_but_for_their_last_bits_are_ties(spark):
     scored = spark.createDataFrame([(s, DAY, x, r) for s, x, r in rows], "symbol long, trade_date date, resonance_score double, resonance_state boolean")
     got = D.filled_top(scored, total=6).orderBy("place").collect()
     assert [(r["symbol"], r["fallback"]) for r in got] == [(4, False), (1, False), (2, False), (3, False), (5, True), (6, True)]
+
+
+def test_walk_forward_learns_the_same_rows_from_dates_made_with_the_panel(spark, monkeypatch):
+    rows = [(s, DAY + dt.timedelta(days=i * k), float(i)) for s, k, n in (("a", 1, 60), ("b", 2, 33), ("c", 1, 15)) for i in range(n)]
+    panel = spark.createDataFrame(rows, "symbol string, trade_date date, fwd_10 double")
+    seen = []
+
+    def fit(p, target, rounds):
+        assert "Window" not in p._jdf.queryExecution().optimizedPlan().toString() or "known_10" not in given.columns
+        known = models._known(p, target).select("symbol", "trade_date", "fwd_10", "known_at")
+        seen.append(sorted(map(str, known.collect())))
+
+    monkeypatch.setattr(models, "fit_return", fit)
+    monkeypatch.setattr(models, "predict_top", lambda model, p: p.select("symbol", "trade_date"))
+    cuts = ["2024-01-20", "2024-02-15"]
+    given = panel
+    plain = models.walk_forward(given, cuts)
+    want, seen = seen, []
+    ahead = "lead(trade_date, {0}) OVER (PARTITION BY symbol ORDER BY trade_date) AS known_{0}"
+    given = panel.selectExpr("*", *(ahead.format(n) for n in (10, 20))).localCheckpoint()
+    assert models.walk_forward(given, cuts).exceptAll(plain).count() == 0 and seen == want and len(want[1]) > 40
+    for at, part in zip(cuts, want):  # as two leads, one of the rows that the other has left
+        first = panel.selectExpr("*", "lead(trade_date, 10) OVER (PARTITION BY symbol ORDER BY trade_date) AS k").where(f"k <= '{at}'").drop("k")
+        assert part == sorted(map(str, first.selectExpr("*", "lead(trade_date, 10) OVER (PARTITION BY symbol ORDER BY trade_date) AS known_at").collect()))

@@ -189,7 +189,25 @@ def test_embedding_spectrum_has_no_sliding_frame(spark):
 
 def test_panel(odd):
     rets = W.returns(odd)
-    same(rolling.panel(odd), factors.panel(W.derived_factors(rets), rets).drop("weight", "mom_60", "vs_60", "synergy"))
+    want = factors.panel(W.derived_factors(rets), rets).drop("weight", "mom_60", "vs_60", "synergy")
+    same(rolling.panel(odd), want)
+    ahead = want.selectExpr("*", *(f"lead(trade_date, {n}) OVER (PARTITION BY symbol ORDER BY trade_date) AS known_{n}" for n in (10, 20)))
+    same(rolling.panel(odd, (10, 20), together=True), ahead)
+
+
+def test_panel_of_models_is_shuffled_once(spark, monkeypatch):
+    from tapeloom.plans import learned
+    from tapeloom.sources import workdir
+
+    made = []
+    monkeypatch.setattr(workdir, "written", lambda df, label: made.append(df) or (df, label))
+    got = learned._panel(spark, SF, "fwd_10", 10, 20)
+    text = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text
+    rets = graph.frame(spark, SF, "rets")
+    want = factors.panel(W.derived_factors(rets), rets)
+    got = got.drop("known_10", "known_20")
+    same(got, want.select(*got.columns))
 
 
 def test_rank_correlations_of_many_windows_at_once(odd):
