@@ -238,3 +238,11 @@ def test_rank_correlations_read_the_bars_once(spark):
 
     text = learned.rolling_rank_ic(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "FlatMapGroups" not in text and text.count("FileScan") == 1 and text.count("Exchange") == 2
+
+
+def test_samples_are_shuffled_once(spark):
+    """Trades go to their symbol; bars, factors and windows of samples stay there."""
+    from tapeloom.plans import learned
+
+    text = learned.sequence_samples(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text
